@@ -7,8 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_count, url_filter
-from .common import table
+from . import bpe, token_count, url_filter, warc
+from .common import shared_path, table
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc"), 0)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +28,13 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_url_filter": op4_url_filter,
     "op10_token_count": op10_token_count,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.SQL,
     "op4_url_filter": url_filter.SQL,
 }
