@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_count, url_filter, warc
+from . import bpe, kdtree, token_count, url_filter, warc
 from .common import shared_path, table
 
 
@@ -23,6 +23,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), 20, 64, 20)
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
@@ -31,10 +35,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_url_filter": op4_url_filter,
+    "op6_exact_top_k": op6_exact_top_k,
     "op10_token_count": op10_token_count,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.SQL,
     "op4_url_filter": url_filter.SQL,
+    "op6_exact_top_k": kdtree.SQL,
 }
