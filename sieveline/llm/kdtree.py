@@ -149,9 +149,11 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, query_modulus: int =
     blocks = max(1, math.ceil(queries.count() / block_rows))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64(F.col("vec_id") + 1), F.lit(blocks)).cast("int")
-    sharded = vecs.withColumn("shard", shard)
+    # renamed on both sides, so that the two sides of a cogroup share no attribute
+    sharded = vecs.withColumn("shard", shard).toDF("vec_id", "q", "shard")
     none = F.lit(None).cast("long")
     home = queries.select("vec_id", "q", shard.alias("shard"), none.alias("kth"), none.alias("kth_id"))
+    home = home.toDF(*home.columns)
     schema = "query_id long, vec_id long, score long"
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -164,6 +166,7 @@ def top_k(vectors: DataFrame, k: int = 20, scale: int = 64, query_modulus: int =
         worst = first.groupBy("query_id").agg(F.count("*").alias("c"), F.min(F.struct(F.col("score"), (-F.col("vec_id")).alias("i"))).alias("w")).where(F.col("c") >= k)
         known = queries.withColumn("home", shard).join(worst.select(F.col("query_id").alias("vec_id"), F.col("w.score").alias("kth"), (-F.col("w.i")).alias("kth_id")), "vec_id", "left")
         away = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home").select("vec_id", "q", "shard", block.alias("block"), "kth", "kth_id")
+        away = away.toDF(*away.columns)
         spread = sharded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         hits = first.union(away.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInPandas(run, schema))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
