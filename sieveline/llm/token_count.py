@@ -17,7 +17,7 @@ OUTSIDE = "\0outside"
 #: Longer stretches without a synchronising symbol are cut into chunks of this many symbols.
 CHUNK = 1024
 #: Words remembered, and transitions compiled, by a Python worker before it starts afresh.
-REMEMBERED, COMPILED = 400_000, 300_000
+REMEMBERED, COMPILED = 1_000_000, 500_000
 
 
 class Transducer:
@@ -43,9 +43,7 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.moves: list[dict[str, tuple[int, int]]] = []
+        self.states: dict[tuple, dict] = {}
         self.size = 0
         self.start = self._state(("", ((0, None, 0),)))
 
@@ -68,12 +66,11 @@ class Transducer:
     def _apart(self, a: str, b: str) -> bool:
         return self.merge(a + b) == [a, b]
 
-    def _state(self, key: tuple) -> int:
-        if (i := self.ids.get(key)) is None:
-            i = self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-        return i
+    def _state(self, key: tuple) -> dict:
+        """A state is the table of its compiled moves, symbol -> (state, count); None leads to its key."""
+        if (state := self.states.get(key)) is None:
+            state = self.states[key] = {None: key}
+        return state
 
     def _suffix(self, suffix: str, symbol: str) -> tuple[str, dict[int, str], frozenset[int]]:
         """Longest suffix that begins a token; tokens that end here, by size - 1; sizes at which one may go on."""
@@ -84,8 +81,8 @@ class Transducer:
         ends = {k - 1: grown[n - k :] for k in range(1, n + 1) if self.single(grown[n - k :])}
         return grown, ends, frozenset(k - 1 for k in range(1, n + 1) if grown[n - k :] in self.prefixes)
 
-    def _compile(self, state: int, symbol: str) -> tuple[int, int]:
-        suffix, history = self.states[state]
+    def _compile(self, state: dict, symbol: str) -> tuple[dict, int]:
+        suffix, history = state[None]
         grown, ends, open_ = self.suffix(suffix, symbol)
         token, rel, cost = OUTSIDE, 0, len(symbol.encode())
         for back, prev, count in reversed(history):  # longest token first
@@ -96,17 +93,19 @@ class Transducer:
         delta = rel + cost
         older = [(j + 1, prev, count - delta) for j, prev, count in history if j in open_]
         move = (self._state((grown, ((0, token, 0), *older))), delta)
-        self.moves[state][symbol] = move
+        state[symbol] = move
         self.size += 1
         return move
 
-    def run(self, state: int, text: str) -> tuple[int, int]:
+    def run(self, state: dict, text: str) -> tuple[dict, int]:
         """State after ``text``, and by how much the count of tokens changed."""
-        total, moves = 0, self.moves
+        total = 0
         for symbol in text:
-            move = moves[state].get(symbol) or self._compile(state, symbol)
-            state = move[0]
-            total += move[1]
+            if symbol in state:
+                state, delta = state[symbol]
+            else:
+                state, delta = self._compile(state, symbol)
+            total += delta
         return state, total
 
 
@@ -116,10 +115,10 @@ class StateMap:
     def __init__(self, fst: Transducer, text: str):
         self.fst, self.text, self.known = fst, text, {}
 
-    def __call__(self, state: int) -> tuple[int, int]:
-        if state not in self.known:
-            self.known[state] = self.fst.run(state, self.text)
-        return self.known[state]
+    def __call__(self, state: dict) -> tuple[dict, int]:
+        if id(state) not in self.known:  # states live as long as the transducer
+            self.known[id(state)] = self.fst.run(state, self.text)
+        return self.known[id(state)]
 
 
 class Composed:
@@ -128,23 +127,14 @@ class Composed:
     def __init__(self, a, b):
         self.a, self.b = a, b
 
-    def __call__(self, state: int) -> tuple[int, int]:
+    def __call__(self, state: dict) -> tuple[dict, int]:
         middle, x = self.a(state)
         end, y = self.b(middle)
         return end, x + y
 
 
-def prefix_scan(maps: list) -> list:
-    """Inclusive scan of state maps under composition, in a logarithmic number of rounds."""
-    out, step = list(maps), 1
-    while step < len(out):
-        out = [out[i] if i < step else Composed(out[i - step], out[i]) for i in range(len(out))]
-        step *= 2
-    return out
-
-
 def compose(maps: list):
-    """All maps in order, as a balanced tree."""
+    """All maps in order, as a balanced tree: the up-sweep of a parallel prefix scan."""
     while len(maps) > 1:
         maps = [Composed(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
     return maps[0]
@@ -156,7 +146,7 @@ class TokenCounter:
     Two neighbouring symbols that stand together in no token, a space symbol
     after another one above all, synchronise the transducer: no token crosses
     them, so a stretch between such places maps every entry state alike and its
-    count is a constant; the counts of a text's stretches add up. A stretch beyond CHUNK symbols is cut, and its
+    count is a constant; over constant maps the prefix scan is a running sum. A stretch beyond CHUNK symbols is cut, and its
     chunks' state maps are composed.
     """
 
