@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kdtree, quality, token_count, toxicity, url_filter, warc
+from . import bpe, jaccard, kdtree, quality, token_count, toxicity, url_filter, warc
 from .common import shared_path, table
 
 
@@ -35,6 +35,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), 20, 64, 20)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op6_exact_top_k": op6_exact_top_k,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_token_count": op10_token_count,
 }
 
@@ -53,4 +58,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.SQL,
     "op4_url_filter": url_filter.SQL,
     "op6_exact_top_k": kdtree.SQL,
+    "op8_jaccard_join": jaccard.SQL,
 }
