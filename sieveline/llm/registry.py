@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, kdtree, quality, token_count, toxicity, url_filter, warc
+from . import bpe, jaccard, kdtree, quality, suffix_dedup, token_count, toxicity, url_filter, warc
 from .common import shared_path, table
 
 
@@ -35,6 +35,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), 20, 64, 20)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_token_count": op10_token_count,
 }
