@@ -114,12 +114,25 @@ def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = BUCKETS, dim
     bias = np.array([np.log(1 - share), np.log(share)]) * 0.5
     if not len(labels) or labels.min() == labels.max():
         return BagModel(np.zeros(buckets, np.float32), float(bias[1] - bias[0]))
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    starts, ends, rows, h = words_of(data, offsets)
-    distinct, at, word = np.unique(h, return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    ids, cut = subwords([raw[starts[i] : ends[i]] for i in at], buckets)
+    # bounded runs of text at a time: hashing takes many times a run's bytes
+    hashes, owners, first_seen = [], [], {}
+    for first, _, data, offsets in chunks(pa.array(texts, pa.large_binary()).cast(pa.large_string())):
+        starts, ends, rows, h = words_of(data, offsets)
+        raw, (keys, at) = data.tobytes(), np.unique(h, return_index=True)
+        for key, i in zip(keys.tolist(), at.tolist(), strict=True):
+            if key not in first_seen:
+                first_seen[key] = raw[starts[i] : ends[i]]
+        hashes.append(h)
+        owners.append((rows + first).astype(np.int32))
+    rows = np.concatenate(owners)
+    distinct, word = np.unique(np.concatenate(hashes), return_inverse=True)
+    word = word.astype(np.int32)
+    hashes = owners = None
+    names = [first_seen[k] for k in distinct.tolist()]
+    parts = [subwords(names[k : k + 20_000], buckets) for k in range(0, len(names), 20_000)]
+    ids = np.concatenate([x.astype(np.int32) for x, _ in parts])
+    cut = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(c) for _, c in parts]))])
+    parts = first_seen = names = None
     counts = np.diff(cut)
     bag, owner = bags(rows)
     bag_cut = np.searchsorted(bag, np.arange(len(owner) + 1))
@@ -137,7 +150,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = BUCKETS, dim
         seen = rng.random(len(k)) < KEEP
         who = np.repeat(np.repeat(np.arange(len(b)), n), m)
         seen[np.flatnonzero(np.diff(who, prepend=-1))] = True
-        return ids[k[seen]], who[seen]
+        return ids[k[seen]].astype(np.int64), who[seen]
 
     for epoch in range(epochs):
         worst = None
