@@ -281,8 +281,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
         F.xxhash64("component", F.least("side", "other"), F.greatest("side", "other")).alias("task"),
     )
     tasks = cut(tasks, "candidate-tasks")
-    once = docs.where("doc_id is not null").join(tasks.select("rep").distinct(), docs.doc_id == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    rows = once.join(tasks, once.doc_id == tasks.rep).select("task", "side", "doc_id", "text")
+    # texts are shuffled once by id, at every size alike: the ids grow with the input, so neither side is broadcast
+    reps = tasks.select("rep").distinct().hint("merge")
+    once = docs.where("doc_id is not null").join(reps, docs.doc_id == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
+    rows = once.join(tasks.hint("merge"), once.doc_id == tasks.rep).select("task", "side", "doc_id", "text")
     links = cut(_verified(rows.repartition("task").sortWithinPartitions("task", "doc_id"), width, num, den, kind), "links")
     many = tasks.where("many").select("task").distinct()
     single = links.join(many, "task", "left_anti").select("doc_id", "root")
