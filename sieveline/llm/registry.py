@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, kdtree, quality, suffix_dedup, token_count, toxicity, url_filter, warc
+from . import bpe, decontam, jaccard, kdtree, quality, suffix_dedup, token_count, toxicity, url_filter, warc
 from .common import shared_path, table
 
 
@@ -43,6 +43,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_top_k": op6_exact_top_k,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_decontamination": op9_decontamination,
     "op10_token_count": op10_token_count,
 }
 
@@ -64,4 +69,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": url_filter.SQL,
     "op6_exact_top_k": kdtree.SQL,
     "op8_jaccard_join": jaccard.SQL,
+    "op9_decontamination": decontam.SQL,
 }
