@@ -69,6 +69,9 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[n
     return key, h(s, s + count + length - 1), row[first], s, count
 
 
+_RUN = "key bigint, span bigint, rid bigint, start bigint, windows int, step int, times int"
+
+
 def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes and offsets of texts, with each one's row and place in it; long texts in overlapping pieces."""
     for first, last, data, offsets in chunks(column):
@@ -80,24 +83,49 @@ def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
             yield data, offsets, np.arange(first, last), np.zeros(last - first, np.int64)
 
 
+def folded(row: np.ndarray, key: np.ndarray, span: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal runs at equal distances in one text, as one: which to keep, their distance and number.
+
+    A text that repeats a short string over and over has a run for every
+    period; folded before the shuffle, they are one row.
+    """
+    order = np.lexsort((start, span, key, row))
+    r, k, s, at = row[order], key[order], span[order], start[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+    first = np.flatnonzero(new)
+    if not len(first):
+        return order, at, at
+    size = np.diff(np.append(first, len(order)))
+    step = np.diff(at, prepend=0)
+    low = np.minimum.reduceat(np.where(new, np.iinfo(np.int64).max, step), first)
+    high = np.maximum.reduceat(np.where(new, 0, step), first)
+    even = np.repeat((size > 2) & (low == high), size)
+    keep = new | ~even
+    return order[keep], np.where(even, np.repeat(high, size), 0)[keep], np.where(even, np.repeat(size, size), 1)[keep]
+
+
 def _occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """``key, span, rid, start, windows``: every run of every text."""
+    """``key, span, rid, start, windows, step, times``: every run of every text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column(0).to_numpy()
             for data, offsets, rows, base in _pieces(batch.column(1), length):
                 key, span, row, start, count = anchored_runs(data, offsets, length)
+                o, step, times = folded(row, key, span, start)
+                key, span, row, start, count = key[o], span[o], row[o], start[o], count[o]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array(rid[rows[row]]), pa.array(start - offsets[row] + base[row]), pa.array(count.astype(np.int32))],
-                    names=["key", "span", "rid", "start", "windows"],
+                    [pa.array(key.view(np.int64)), pa.array(span.view(np.int64)), pa.array(rid[rows[row]]), pa.array(start - offsets[row] + base[row])]
+                    + [pa.array(x.astype(np.int32)) for x in (count, step, times)],
+                    names=["key", "span", "rid", "start", "windows", "step", "times"],
                 )
 
-    return docs.select("rid", "text").mapInArrow(run, "key bigint, span bigint, rid bigint, start bigint, windows int")
+    return docs.select("rid", "text").mapInArrow(run, _RUN)
 
 
 def _repeated_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and span, those whose key occurs again.
+    """Of rows sorted by key and span, those whose key occurs again (in another row, or several times in this one).
 
     Adds ``lead`` (first row of its span) and ``many`` (a lead whose span
     occurs again). Streams: only one row is held back between batches.
@@ -108,6 +136,7 @@ def _repeated_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         nonlocal held, before
         key, span = rows.column(0).to_numpy(), rows.column(1).to_numpy()
         n = len(key)
+        often = rows.column(6).to_numpy() > 1
         up = np.empty(n, bool)  # same key as the row before
         up[0] = before is not None and before[0] == key[0]
         up[1:] = key[1:] == key[:-1]
@@ -116,13 +145,13 @@ def _repeated_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         same[1:] = up[1:] & (span[1:] == span[:-1])
         down, again = np.append(up[1:], False), np.append(same[1:], False)
         stop = n if final else n - 1
-        pick = np.flatnonzero((up | down)[:stop])
+        pick = np.flatnonzero((up | down | often)[:stop])
         if stop:
             before = (key[stop - 1], span[stop - 1])
         held = None if final else rows.slice(n - 1, 1)
         if len(pick):
             out = rows.take(pa.array(pick))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(~same[pick]), pa.array((~same & again)[pick])], names=[*out.schema.names, "lead", "many"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(~same[pick]), pa.array((~same & (again | often))[pick])], names=[*out.schema.names, "lead", "many"])
 
     for batch in batches:
         if batch.num_rows:
@@ -263,10 +292,10 @@ def _sorted_groups(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[p
 
 
 def find_repeats(docs: DataFrame, length: int) -> DataFrame:
-    """``rid, ranges``: for each text (``rid, text``) the byte ranges that repeated strings of ``length`` bytes cover."""
+    """``rid, ranges``: for each text (``rid, text``) the byte ranges ``a, b`` that repeated strings of ``length`` bytes cover, each ``times`` times, ``step`` apart."""
     occ = _occurrences(docs, length)
     occ = occ.repartition("key").sortWithinPartitions("key", "span", "rid", "start")
-    occ = cut(occ.mapInArrow(_repeated_keys, "key bigint, span bigint, rid bigint, start bigint, windows int, lead boolean, many boolean"), "repeat-candidates")
+    occ = cut(occ.mapInArrow(_repeated_keys, _RUN + ", lead boolean, many boolean"), "repeat-candidates")
     leads = occ.where("lead").groupBy("rid").agg(F.collect_list(F.struct("start", "windows", "key", "span", "many")).alias("spans"))
 
     def slice_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,20 +307,38 @@ def find_repeats(docs: DataFrame, length: int) -> DataFrame:
                 parts = [raw[a : a + w + length - 1] for a, w in zip(start.tolist(), windows.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([v.field(2), v.field(3), v.field(4), v.field(1), pa.array(parts, pa.binary())], names=["key", "span", "many", "windows", "bytes"])
 
-    texts = docs.join(leads, "rid").select(F.col("text").cast("binary").alias("text"), "spans")
+    texts = docs.hint("merge").join(leads, "rid").select(F.col("text").cast("binary").alias("text"), "spans")
     spans = texts.mapInArrow(slice_out, "key bigint, span bigint, many boolean, windows int, bytes binary")
     spans = spans.repartition("key").sortWithinPartitions("key", "span")
     found = cut(spans.mapInArrow(lambda b: _sorted_groups(b, length), "key bigint, span bigint, `from` bigint, `to` bigint"), "repeats")
-    ranges = occ.join(found, ["key", "span"]).select("rid", F.struct((F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to")).alias("b")).alias("r"))
+    ranges = occ.join(found, ["key", "span"]).select("rid", F.struct((F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to")).alias("b"), "step", "times").alias("r"))
     return ranges.groupBy("rid").agg(F.collect_set("r").alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, *, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def kept_parts(raw: bytes, ranges: pa.Scalar) -> tuple[bytes, int, int]:
+    """What is left of a text without the ranges, the bytes removed, and in how many runs."""
+    if not ranges.is_valid or not len(ranges):
+        return raw, 0, 0
+    a, b, step, times = (ranges.values.field(i).to_numpy().astype(np.int64) for i in range(4))
+    shift = (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)) * np.repeat(step, times)
+    a, b = covered(np.repeat(a, times) + shift, np.repeat(b, times) + shift)
+    left, right = np.concatenate([[0], b]).tolist(), np.append(a, len(raw)).tolist()
+    return b"".join(raw[x:y] for x, y in zip(left, right, strict=True)), int((b - a).sum()), len(a)
+
+
+def _with_ranges(docs: DataFrame, key: str, text: str, length: int, *columns: str) -> DataFrame:
+    """``columns`` (of ``docs``, or ``_row``, all of them as a struct), the text as ``_text`` and its repeated ``_ranges``."""
+    src = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(key, F.coalesce(F.col(text), F.lit(""))).alias("rid"))
+    ranges = find_repeats(src.select("rid", "text"), length)
+    picked = [F.col("_row") if c == "_row" else F.col("_row").getField(c).alias("doc_id") for c in columns]
+    # every text is shuffled by rid, at every size alike
+    return src.hint("merge").join(ranges, "rid", "left").select(*picked, F.col("text").cast("binary").alias("_text"), F.col("ranges").alias("_ranges"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts elsewhere.
 
-    Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and with
-    ``with_text`` also ``kept`` (text: where a cut fell inside a character, its
-    left-over bytes go as well). Texts are taken as UTF-8 bytes, null as empty;
+    Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``. Texts are taken as UTF-8 bytes, null as empty;
     strings do not cross texts, and are judged on the input, so every copy goes,
     overlapping ones too. Texts shorter than ``length`` lose nothing. Repeated
     rows are copies of one another.
@@ -303,38 +350,44 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, key: str = "doc_id", t
     rows stream through sorted partitions. All bytes that a match needs are
     compared; hashes only decide what is compared.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    src = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    src = src.withColumn("rid", F.xxhash64("doc_id", "text"))
-    ranges = find_repeats(src.select("rid", "text"), length)
-    rows = src.join(ranges, "rid", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "ranges")
-    schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept string" if with_text else "")
+    rows = _with_ranges(docs, key, text, length, key)
+    schema = f"doc_id {docs.schema[key].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, spans, sha, kept = [], [], [], [], []
-            for text_, ranges_ in zip(batch.column(1), batch.column(2), strict=True):
-                raw = text_.as_py()
+            n, gone, spans, sha = [], [], [], []
+            for value, ranges in zip(batch.column(1), batch.column(2), strict=True):
+                raw = value.as_py()
+                kept, removed, runs = kept_parts(raw, ranges)
                 n.append(len(raw))
-                if ranges_.is_valid and len(ranges_):
-                    v = ranges_.values
-                    a, b = covered(v.field(0).to_numpy(), v.field(1).to_numpy())
-                    left = np.concatenate([[0], b])
-                    right = np.append(a, len(raw))
-                    gone.append(int((b - a).sum()))
-                    spans.append(len(a))
-                    raw = b"".join(raw[x:y] for x, y in zip(left.tolist(), right.tolist(), strict=True))
-                else:
-                    gone.append(0)
-                    spans.append(0)
-                sha.append(hashlib.sha256(raw).hexdigest())
-                if with_text:
-                    kept.append(raw.decode(errors="ignore"))
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                cols.append(pa.array(kept, pa.string()))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                gone.append(removed)
+                spans.append(runs)
+                sha.append(hashlib.sha256(kept).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return rows.mapInArrow(run, schema)
+
+
+def cut_repeats(docs: DataFrame, length: int = 400, *, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, with repeated strings cut out of the texts.
+
+    Where a cut falls inside a character, the character's other bytes go as
+    well. A column ``chars`` gets the new number of characters. A row goes when
+    cutting left nothing but white space; null and empty texts stay as they are.
+    """
+    rows = _with_ranges(docs, key, text, length, "_row")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, removed = [], []
+            for value, ranges in zip(batch.column(1), batch.column(2), strict=True):
+                raw, gone, _ = kept_parts(value.as_py(), ranges)
+                kept.append(raw.decode(errors="ignore") if gone else None)
+                removed.append(gone)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(removed, pa.int64())], names=["_row", "_kept", "_removed"])
+
+    out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, _kept string, _removed bigint")
+    out = out.where("_removed = 0 or trim(both from regexp_replace(_kept, '\\\\s+', ' ')) <> ''")
+    new = F.when(F.col("_removed") > 0, F.col("_kept")).otherwise(F.col("_row").getField(text))
+    put = {text: new} | ({chars: F.when(F.col("_removed") > 0, F.length("_kept")).otherwise(F.col("_row").getField(chars)).cast(docs.schema[chars].dataType)} if chars in docs.columns else {})
+    return out.select(*(put.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
