@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables, read through Spark's own readers."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +49,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     Cuts the lineage, and a lost executor costs only the tasks that ran on it.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = shared_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -138,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     bad = contaminated(docs, benchmark, key=key, text=text).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(bad, key, "left_anti")
+    return docs.join(bad.hint("merge"), key, "left_anti")
 
 
 SQL = r"""

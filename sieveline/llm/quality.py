@@ -180,6 +180,18 @@ def score_quality(docs: DataFrame, model: LogisticModel, threshold: float = 0.7,
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
+def keep_quality(docs: DataFrame, model: LogisticModel, threshold: float, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text scores ``threshold`` or more. No shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            keep = np.concatenate([model.score(data, offsets) >= threshold for _, _, data, offsets in chunks(column)] or [np.zeros(0, bool)])
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, *, modulus: int = 4, held_out: int = 2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Fit on labels outside the held-out fold, score every text: ``doc_id, held_out, score, predicted``.
 
