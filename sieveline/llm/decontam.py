@@ -77,8 +77,10 @@ def _templated(src: DataFrame, keys: list[str]) -> DataFrame:
 def _windows(src: DataFrame, keys: list[str], width: int) -> DataFrame:
     """``keys, at, t, v``: templates and raw values of every window, from frames ``keys, text``."""
     both = _templated(src, keys)
-    both = both.select(*keys, F.col("_w.t").alias("_t"), F.col("_w.v").alias("_v"), F.explode(F.when(F.size("_w") >= width, F.sequence(F.lit(1), F.size("_w") - (width - 1)))).alias("at"))
-    return both.select(*keys, "at", F.slice("_t", F.col("at"), width).alias("t"), F.slice("_v", F.col("at"), width).alias("v"))
+    # (transform, not a field of the array: that would be extracted again for every window)
+    both = both.select(*keys, F.transform("_w", lambda x: x["t"]).alias("_t"), F.transform("_w", lambda x: x["v"]).alias("_v"))
+    each = F.transform(F.sequence(F.lit(1), F.size("_t") - (width - 1)), lambda i: F.struct(i.alias("at"), F.slice("_t", i, width).alias("t"), F.slice("_v", i, width).alias("v")))
+    return both.select(*keys, F.explode(F.when(F.size("_t") >= width, each)).alias("_x")).select(*keys, "_x.at", "_x.t", "_x.v")
 
 
 def _telling(t: Column, width: int) -> Column:
