@@ -15,6 +15,10 @@ from .textbytes import RangeHash, chunks, mix, runs
 
 #: Class representatives that one verification task compares at most with one another.
 BLOCK = 1024
+#: Members that a signature needs, or it is left out where a set can spare it.
+FEW = 2
+#: Signatures that a task gathers before it deals them out, and that are merged at a time.
+GATHER = 1_000_000
 #: Sets that a task remembers to have signed, so that copies are signed once.
 SIGNED = 1_000_000
 
@@ -72,11 +76,17 @@ class PartEnum:
     Sizes fall into bands whose ends are den/num apart, so that similar sets
     lie in one band or in neighbours; a set signs the scheme of its own band and
     of the next. In the scheme of a band up to size r, similar sets differ in at
-    most k = 2r(den-num)/(den+num) members. The domain is cut into n1 parts, so
-    that some part holds at most one difference, and each part into n2 pieces,
-    of which all but one are then equal: every choice of n2 - 1 pieces of every
-    part is a signature, and similar sets share one. A band with k = 0 holds
-    equal sets only and needs none.
+    most k = 2r(den-num)/(den+num) members. The domain is cut into n1 parts and
+    each part into n2 pieces; every choice of n2 - 1 pieces of a part is a
+    signature. Two similar sets share one for each part in which they differ in
+    at most one member, and there are at least n1 - k/2 of those.
+
+    Signatures of fewer than ``FEW`` members would bring unrelated sets
+    together. So there are ``spare`` parts more than needed, and a set with such
+    signatures in at most that many parts leaves them out: one part at least
+    stays in which it shares a signature with any similar set. A set with more
+    of them keeps them all. A band with k = 0 holds equal sets only and signs
+    nothing.
     """
 
     def __init__(self, num: int, den: int, largest: int = 1 << 40):
@@ -86,11 +96,15 @@ class PartEnum:
             ends.append((ends[-1] + 1) * den // num)
         self.ends = np.array(ends[1:])
 
-    def scheme(self, band: int) -> tuple[int, int]:
-        """n1 and n2 of a band; n1 is 0 where only equal sets are similar."""
-        k = 2 * int(self.ends[band]) * (self.den - self.num) // (self.den + self.num)
-        n1 = (k + 2) // 2 if k else 0
-        return n1, 5 if n1 <= 8 else 3
+    def scheme(self, band: int) -> tuple[int, int, int]:
+        """n1, n2 and the spare parts of a band; n1 is 0 where only equal sets are similar."""
+        r = int(self.ends[band])
+        k = 2 * r * (self.den - self.num) // (self.den + self.num)
+        if not k:
+            return 0, 0, 0
+        need = k // 2 + 1
+        spare = (need + 4) // 5
+        return need + spare, 2 if r >= 12 * (need + spare) else 3, spare
 
     def signatures(self, sets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All signatures of all sets: (signature, row of its set)."""
@@ -105,7 +119,7 @@ class PartEnum:
                 at = np.repeat(cuts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 who = np.repeat(np.arange(len(mine)), n)
                 for scheme in (b, b + 1):
-                    n1, n2 = self.scheme(scheme)
+                    n1, n2, spare = self.scheme(scheme)
                     if not n1:
                         continue
                     pieces = n1 * n2
@@ -117,8 +131,12 @@ class PartEnum:
                     each = (low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))).reshape(len(mine), n1, n2)
                     sums = each.sum(2, keepdims=True, dtype=np.uint64) - each  # all pieces but one
                     name = (np.arange(pieces, dtype=np.uint64) + np.uint64((int(scheme) + 1) << 40)).reshape(1, n1, n2)
-                    out.append(mix(sums + mix(name)).ravel())
-                    rows.append(np.repeat(mine, pieces))
+                    count = np.bincount(slot, minlength=len(mine) * pieces).reshape(len(mine), n1, n2)
+                    few = count.sum(2, keepdims=True) - count < FEW
+                    few &= (few.any(2).sum(1) <= spare)[:, None, None]
+                    keep = ~few.ravel()
+                    out.append(mix(sums + mix(name)).ravel()[keep])
+                    rows.append(np.repeat(mine, pieces)[keep])
         return np.concatenate(out), np.concatenate(rows)
 
 
@@ -173,11 +191,46 @@ def _fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n bigint, a bigint, b bigint")
 
 
-def _signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``s, a``: signatures and the set that signs, each set once a task."""
+def _signatures(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
+    """``bucket, entries, ids``: signatures dealt out by hash, packed.
+
+    An entry is a signature's upper 48 bits and, below them, the place of the
+    set that signs in ``ids``. A set is signed once a task, and a signature that
+    sets of one gathering share is sent once: the others are linked to its
+    first set at once (``links``).
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, signed = PartEnum(num, den), set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def deal() -> pa.RecordBatch:
+            s, a = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(s, kind="stable")
+            s, a = s[order], a[order]
+            new = np.ones(len(s), bool)
+            new[1:] = s[1:] != s[:-1]
+            lead = a[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            other = lead != a
+            links = np.unique(np.stack([np.minimum(lead, a)[other], np.maximum(lead, a)[other]], 1), axis=0)
+            s, a = s[new], a[new]
+            bucket = (s % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+            numbers, entries, ids = [], [], []
+            for x, y in zip(edges.tolist(), np.append(edges[1:], len(by)).tolist(), strict=True):
+                for z in range(x, y, 1 << 16):
+                    part = by[z : min(y, z + (1 << 16))]
+                    who, place = np.unique(a[part], return_inverse=True)
+                    numbers.append(int(bucket[part[0]]))
+                    entries.append(((s[part] & ~np.uint64(0xFFFF)) | place.astype(np.uint64)).tobytes())
+                    ids.append(who.tobytes())
+            joined = [b""] * len(numbers)
+            if len(links):
+                joined[0] = links.tobytes()
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(entries, pa.binary()), pa.array(ids, pa.binary()), pa.array(joined, pa.binary())], names=["bucket", "entries", "ids", "links"])
+
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
                 sets, cuts = shingle_sets(data, offsets, width)
@@ -192,26 +245,59 @@ def _signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 size = np.where(new, np.diff(cuts), 0)
                 keep = np.repeat(new, np.diff(cuts))
                 s, rows = scheme.signatures(sets[keep], np.concatenate([[0], np.cumsum(size)]))
-                for k in range(0, len(s), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(s[k : k + (1 << 16)].view(np.int64)), pa.array(a[rows[k : k + (1 << 16)]].view(np.int64))], names=["s", "a"])
+                if len(s):
+                    held.append((s, a[rows]))
+                if sum(len(x) for x, _ in held) > GATHER:
+                    yield deal()
+        if held:
+            yield deal()
 
-    return docs.select("text").mapInArrow(run, "s bigint, a bigint")
+    return docs.select("text").mapInArrow(run, "bucket int, entries binary, ids binary, links binary")
 
 
 def _same_signature(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted ``s, a`` rows to edges between neighbours of one signature: a chain, never all pairs."""
-    last_s, last_a = None, None
+    """Rows of :func:`_signatures` sorted by bucket, to edges: each set to the first that signed alike.
+
+    Streams: held are one gathering and, for each signature of the bucket, its
+    first set. A signature's sets are strung to that one, never paired.
+    """
+    bucket, held, count = None, [], 0
+    sigs, firsts = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def merge() -> np.ndarray:
+        nonlocal held, count, sigs, firsts
+        s, a = (np.concatenate(x) for x in zip(*held, strict=True))
+        held, count = [], 0
+        # what is known goes first, so it stays each signature's first
+        s, a = np.concatenate([sigs, s]), np.concatenate([firsts, a])
+        order = np.argsort(s, kind="stable")
+        s, a = s[order], a[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        lead = a[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        sigs, firsts = s[new], a[new]
+        other = lead != a
+        return np.stack([np.minimum(lead, a)[other], np.maximum(lead, a)[other]], 1)
+
+    def edges(pairs: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(pairs, axis=0).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
     for batch in batches:
-        s, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(s):
-            continue
-        if last_s is not None:
-            s, a = np.concatenate([[last_s], s]), np.concatenate([[last_a], a])
-        last_s, last_a = s[-1], a[-1]
-        hit = np.flatnonzero((s[1:] == s[:-1]) & (a[1:] != a[:-1]))
-        if len(hit):
-            pairs = np.unique(np.stack([np.minimum(a[hit], a[hit + 1]), np.maximum(a[hit], a[hit + 1])], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        for number, entries, ids, links in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
+            if number != bucket:
+                if held:
+                    yield edges(merge())
+                bucket, sigs, firsts = number, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            if len(links.as_py()):
+                yield edges(np.frombuffer(links.as_py(), np.uint64).reshape(-1, 2))
+            e = np.frombuffer(entries.as_py(), np.uint64)
+            held.append((e >> np.uint64(16), np.frombuffer(ids.as_py(), np.uint64)[(e & np.uint64(0xFFFF)).astype(np.int64)]))
+            count += len(e)
+            if count > GATHER:
+                yield edges(merge())
+    if held:
+        yield edges(merge())
 
 
 def _verified(rows: DataFrame, width: int, num: int, den: int, kind: str) -> DataFrame:
@@ -267,8 +353,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = cut(_fingerprints(docs, width), "fingerprints")
-    spread = _signatures(docs, width, num, den)
-    spread = spread.repartition("s").sortWithinPartitions("s", "a")
+    # about a million shingles a bucket, whatever the input's size
+    total = prints.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000 + 1)
+    spread = _signatures(docs, width, num, den, buckets).repartition("bucket").sortWithinPartitions("bucket")
     edges = cut(spread.mapInArrow(_same_signature, "u bigint, v bigint").distinct(), "candidates")
     groups = cut(connected_components(edges), "candidate-groups")
     classes = prints.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
