@@ -14,7 +14,7 @@ from .components import connected_components
 from .textbytes import RangeHash, chunks, mix, runs
 
 #: Class representatives that one verification task compares at most with one another.
-BLOCK = 1024
+BLOCK = 8192
 #: Members that a signature needs, or it is left out where a set can spare it.
 FEW = 2
 #: Signatures that a task gathers before it deals them out, and that are merged at a time.
@@ -346,7 +346,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     hold every link. Each component's representatives are compared exactly:
     up to ``block`` in one task, more in tasks of two blocks each, so that no
     task holds an unbounded group; their results join in another components
-    run. Texts without words, and null texts, have empty sets and link with
+    run. A larger group is first cut by size, into windows of two neighbouring
+    bands, as sets further apart in size cannot be similar. Texts without words, and null texts, have empty sets and link with
     nothing. Null ids share links but never name a component (unless all ids of
     it are null). Repeated rows are each returned; other columns are not read.
     """
@@ -360,13 +361,19 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     edges = cut(spread.mapInArrow(_same_signature, "u bigint, v bigint").distinct(), "candidates")
     groups = cut(connected_components(edges), "candidate-groups")
     classes = prints.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    named = cut(classes.join(groups.withColumnRenamed("node", "a"), "a").where("rep is not null").select("rep", "component"), "candidate-classes")
-    sizes = named.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    named = cut(classes.join(groups.withColumnRenamed("node", "a"), "a").where("rep is not null").select("rep", "n", "component"), "candidate-classes")
+    # similar sets lie in one band of sizes or in neighbours: a group falls into windows of two bands
+    ends = F.array(*[F.lit(int(e)) for e in PartEnum(num, den).ends])
+    band = F.size(F.filter(ends, lambda e: e < F.col("n")))
+    sized = named.join(named.groupBy("component").agg(F.count("*").alias("all")), "component").where(F.col("all") > 1)
+    small = F.col("all") <= block  # one task, without windows
+    placed = sized.withColumn("window", F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.array(band, band + 1)))).select("rep", "component", "window")
+    sizes = placed.groupBy("component", "window").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / block).cast("int")
-    placed = named.join(sizes, "component").withColumns({"blocks": blocks}).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = placed.join(sizes, ["component", "window"]).withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("rep"), "side", (F.col("blocks") > 1).alias("many"),
-        F.xxhash64("component", F.least("side", "other"), F.greatest("side", "other")).alias("task"),
+        F.col("rep"), "side", (F.col("window") >= 0).alias("many"),
+        F.xxhash64("component", "window", F.least("side", "other"), F.greatest("side", "other")).alias("task"),
     )
     tasks = cut(tasks, "candidate-tasks")
     # texts are shuffled once by id, at every size alike: the ids grow with the input, so neither side is broadcast
