@@ -1 +1,6 @@
+"""Named queries over the bound tables."""
 
+from . import claim_plans, dedup_plans, retrieval_plans, scans, texts
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "claim_plans", "dedup_plans", "retrieval_plans", "scans", "texts"]
