@@ -1,6 +1,8 @@
 """Named queries over the bound tables."""
 
-from . import claim_plans, dedup_plans, retrieval_plans, scans, texts
+from . import claim_plans, dedup_plans, graph_plans, log_plans, retrieval_plans, scans, source_plans, stream_plans, texts
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "claim_plans", "dedup_plans", "retrieval_plans", "scans", "texts"]
+__all__ = [
+    "ORACLE_SQL", "QUERIES", "claim_plans", "dedup_plans", "graph_plans", "log_plans", "retrieval_plans", "scans", "source_plans", "stream_plans", "texts",
+]

@@ -172,11 +172,11 @@ def first_appearance(spark, d):
     return b.evidence(spark, d).groupBy("source_key").agg(F.min("published_at").alias("first_at"))
 
 
-@query("union_timelines", "SELECT * FROM (SELECT 'event' AS kind, event_id AS id, ts AS at FROM events WHERE event_type = 'signup' UNION ALL SELECT 'publication', o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F') ORDER BY at NULLS LAST, kind, id LIMIT 200")
+@query("union_timelines", "SELECT * FROM (SELECT 'event' AS kind, event_id AS id, ts AS moment FROM events WHERE event_type = 'signup' UNION ALL SELECT 'publication', o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F') ORDER BY moment NULLS LAST, kind, id LIMIT 200")
 def union_timelines(spark, d):
-    e = b.table(spark, d, "events").where("event_type = 'signup'").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("at"))
-    o = b.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.lit("publication").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
-    return e.unionByName(o).orderBy(F.asc_nulls_last("at"), "kind", "id").limit(200)
+    e = b.table(spark, d, "events").where("event_type = 'signup'").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("moment"))
+    o = b.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.lit("publication").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("moment"))
+    return e.unionByName(o).orderBy(F.asc_nulls_last("moment"), "kind", "id").limit(200)
 
 
 # --- entities ---------------------------------------------------------------

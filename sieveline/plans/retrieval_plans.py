@@ -52,9 +52,9 @@ met AS (SELECT t.query_id, round(coalesce(found, 0) / total, 6) AS recall, round
   round(coalesce(dcg, 0) / list_sum([1 / log2(i + 1) for i in range(1, least(total, 10) + 1)]), 6) AS ndcg FROM tot t LEFT JOIN hit USING (query_id))"""
 
 
-@query("bm25", f"WITH {_BM} SELECT query_id, id, round(score, 4) AS score FROM sc WHERE score > 2")
+@query("bm25", f"WITH {_BM} SELECT query_id, id, score FROM sc WHERE score > 2")
 def bm25(spark, d):
-    return ret.bm25(_index(spark, d), _queries(spark, d)).where("score > 2").select("query_id", "id", F.round("score", 4).alias("score"))
+    return ret.bm25(_index(spark, d), _queries(spark, d)).where("score > 2")
 
 
 @query("lexical_search", f"WITH {_BM} SELECT query_id, id, rank FROM lex WHERE rank <= 5")
