@@ -200,7 +200,7 @@ def ablation_eval(spark, d):
     for name, run in (("lexical", _lexical(spark, d)), ("all", _hybrid(spark, d))):
         m = ret.ranking_metrics(run.select("query_id", "id", "rank"), rel).agg(F.lit(name).alias("combo"), F.round(F.avg("recall"), 4).alias("recall"), F.count("*").alias("queries"))
         out = m if out is None else out.unionByName(m)
-    return out
+    return out.where("queries > 0")
 
 
 @query("confusion_matrix", """WITH p AS (SELECT l.quality = 1 AS actual, NOT regexp_matches(d.text, '[*$&%#]{3}|!!| \\| ') AS predicted FROM labels l JOIN documents d USING (doc_id)),
