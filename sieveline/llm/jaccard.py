@@ -106,16 +106,22 @@ class PartEnum:
         spare = (need + 4) // 5
         return need + spare, 2 if r >= 12 * (need + spare) else 3, spare
 
-    def signatures(self, sets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All signatures of all sets: (signature, row of its set)."""
-        size = np.diff(cuts)
+    def signatures(self, sets: np.ndarray, cuts: np.ndarray, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All signatures of all sets: (signature, row of its set).
+
+        ``size``: the sets' sizes, where members that no other set has are left
+        out of ``sets``. Differences only shrink by that, so schemes by the true
+        sizes still hold.
+        """
+        held = np.diff(cuts)
+        size = held if size is None else size
         band = np.searchsorted(self.ends, size)
         out, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         with np.errstate(over="ignore"):
             place, value = mix(sets ^ np.uint64(0x9E3779B97F4A7C15)), mix(sets + np.uint64(0x2545F4914F6CDD1D))
             for b in np.unique(band[size > 0]):
                 mine = np.flatnonzero((band == b) & (size > 0))
-                n = size[mine]
+                n = held[mine]
                 at = np.repeat(cuts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 who = np.repeat(np.arange(len(mine)), n)
                 for scheme in (b, b + 1):
@@ -140,18 +146,19 @@ class PartEnum:
         return np.concatenate(out), np.concatenate(rows)
 
 
-def link_groups(sets: np.ndarray, cuts: np.ndarray, num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
+def link_groups(sets: np.ndarray, cuts: np.ndarray, num: int, den: int, side: np.ndarray | None = None, size: np.ndarray | None = None) -> np.ndarray:
     """Number of the component of each set, where sets of similarity num/den or more are linked.
 
     A set is compared with all others at once, by counting its members'
     occurrences in them. Sets of the largest component found so far need no
     comparison with one another, so after one set of it only those outside it
     are compared; no pair is listed. ``side``: only sets of different sides
-    need to be compared (those of one side are compared elsewhere).
+    need to be compared (those of one side are compared elsewhere). ``size``:
+    the sets' sizes, where members that no other set has are left out.
     """
     m = len(cuts) - 1
-    size = np.diff(cuts)
-    owner = np.repeat(np.arange(m), size)
+    owner = np.repeat(np.arange(m), np.diff(cuts))
+    size = np.diff(cuts) if size is None else size
     _, inverse, count = np.unique(sets, return_inverse=True, return_counts=True)
     order = np.argsort(inverse, kind="stable")
     posting, start = owner[order], np.concatenate([[0], np.cumsum(count)])
@@ -191,72 +198,183 @@ def _fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n bigint, a bigint, b bigint")
 
 
-def _signatures(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
-    """``bucket, entries, ids``: signatures dealt out by hash, packed.
+def _packed(s: np.ndarray, a: np.ndarray, buckets: int) -> tuple[list, list, list]:
+    """Pairs of a hash (ascending) and a set, dealt out by hash: bucket numbers, entries, ids.
 
-    An entry is a signature's upper 48 bits and, below them, the place of the
-    set that signs in ``ids``. A set is signed once a task, and a signature that
-    sets of one gathering share is sent once: the others are linked to its
-    first set at once (``links``).
+    An entry is the hash's upper 48 bits and, below them, the place of the set
+    in ``ids``; the bucket carries what the lower bits decided.
     """
+    bucket = (s % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+    numbers, entries, ids = [], [], []
+    for x, y in zip(edges.tolist(), np.append(edges[1:], len(by)).tolist(), strict=True):
+        for z in range(x, y, 1 << 16):
+            part = by[z : min(y, z + (1 << 16))]
+            who, place = np.unique(a[part], return_inverse=True)
+            numbers.append(int(bucket[part[0]]))
+            entries.append(((s[part] & ~np.uint64(0xFFFF)) | place.astype(np.uint64)).tobytes())
+            ids.append(who.tobytes())
+    return numbers, entries, ids
+
+
+def _unpacked(entries: pa.Scalar, ids: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    e = np.frombuffer(entries.as_py(), np.uint64)
+    return e >> np.uint64(16), np.frombuffer(ids.as_py(), np.uint64)[(e & np.uint64(0xFFFF)).astype(np.int64)]
+
+
+def _new_sets(docs: DataFrame, width: int, work, schema: str) -> DataFrame:
+    """``work`` on an iterator of (sets, cuts, sizes, ids), in which a task has each set of its texts once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme, signed = PartEnum(num, den), set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def deal() -> pa.RecordBatch:
-            s, a = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.argsort(s, kind="stable")
-            s, a = s[order], a[order]
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            lead = a[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            other = lead != a
-            links = np.unique(np.stack([np.minimum(lead, a)[other], np.maximum(lead, a)[other]], 1), axis=0)
-            s, a = s[new], a[new]
-            bucket = (s % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-            numbers, entries, ids = [], [], []
-            for x, y in zip(edges.tolist(), np.append(edges[1:], len(by)).tolist(), strict=True):
-                for z in range(x, y, 1 << 16):
-                    part = by[z : min(y, z + (1 << 16))]
-                    who, place = np.unique(a[part], return_inverse=True)
-                    numbers.append(int(bucket[part[0]]))
-                    entries.append(((s[part] & ~np.uint64(0xFFFF)) | place.astype(np.uint64)).tobytes())
-                    ids.append(who.tobytes())
-            joined = [b""] * len(numbers)
-            if len(links):
-                joined[0] = links.tobytes()
-            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(entries, pa.binary()), pa.array(ids, pa.binary()), pa.array(joined, pa.binary())], names=["bucket", "entries", "ids", "links"])
+        def sets_of() -> Iterator[tuple]:
+            signed: set[int] = set()
+            for batch in batches:
+                for _, _, data, offsets in chunks(batch.column(0)):
+                    sets, cuts = shingle_sets(data, offsets, width)
+                    a, _ = set_keys(sets, cuts)
+                    new = np.zeros(len(a), bool)
+                    for i, key in enumerate(a.tolist()):
+                        if key not in signed:
+                            signed.add(key)
+                            new[i] = True
+                    if len(signed) > SIGNED:
+                        signed.clear()
+                    size = np.diff(cuts)
+                    yield sets[np.repeat(new, size)], np.concatenate([[0], np.cumsum(size[new])]), size[new], a[new]
+
+        yield from work(sets_of())
+
+    return docs.select("text").mapInArrow(run, schema)
+
+
+def _sign(sets_of: Iterator[tuple], num: int, den: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """``bucket, entries, ids, links``: signatures, packed.
+
+    A signature that sets of one gathering share is sent once: the others are
+    linked to its first set at once (``links``).
+    """
+    scheme, held = PartEnum(num, den), []
 
-        for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
-                sets, cuts = shingle_sets(data, offsets, width)
-                a, _ = set_keys(sets, cuts)
-                new = np.zeros(len(a), bool)
-                for i, key in enumerate(a.tolist()):
-                    if key not in signed:
-                        signed.add(key)
-                        new[i] = True
-                if len(signed) > SIGNED:
-                    signed.clear()
-                size = np.where(new, np.diff(cuts), 0)
-                keep = np.repeat(new, np.diff(cuts))
-                s, rows = scheme.signatures(sets[keep], np.concatenate([[0], np.cumsum(size)]))
-                if len(s):
-                    held.append((s, a[rows]))
-                if sum(len(x) for x, _ in held) > GATHER:
-                    yield deal()
-        if held:
+    def deal() -> pa.RecordBatch:
+        s, a = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(s, kind="stable")
+        s, a = s[order], a[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        lead = a[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        other = lead != a
+        links = np.unique(np.stack([np.minimum(lead, a)[other], np.maximum(lead, a)[other]], 1), axis=0)
+        numbers, entries, ids = _packed(s[new], a[new], buckets)
+        joined = [links.tobytes(), *[b""] * (len(numbers) - 1)]
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *(pa.array(x, pa.binary()) for x in (entries, ids, joined))], names=["bucket", "entries", "ids", "links"])
+
+    for sets, cuts, size, a in sets_of:
+        s, rows = scheme.signatures(sets, cuts, size)
+        if len(s):
+            held.append((s, a[rows]))
+        if sum(len(x) for x, _ in held) > GATHER:
+            yield deal()
+    if held:
+        yield deal()
+
+
+_SIGNED = "bucket int, entries binary, ids binary, links binary"
+
+
+def _members(sets_of: Iterator[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    """``bucket, entries, ids``: every member of every set, packed."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def deal() -> pa.RecordBatch:
+        s, a = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(s)
+        numbers, entries, ids = _packed(s[order], a[order], buckets)
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(entries, pa.binary()), pa.array(ids, pa.binary())], names=["bucket", "entries", "ids"])
+
+    for sets, _, size, a in sets_of:
+        if len(sets):
+            held.append((sets, np.repeat(a, size)))
+        if sum(len(x) for x, _ in held) > GATHER:
             yield deal()
+    if held:
+        yield deal()
+
+
+def _recurring(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`_members` sorted by bucket, to ``a, x``: the members that at least two sets have.
 
-    return docs.select("text").mapInArrow(run, "bucket int, entries binary, ids binary, links binary")
+    Streams: held are one gathering and, for each member of the bucket, the
+    first set that has it. A member of any number of sets gives one row a set.
+    """
+    bucket, held, count = None, [], 0
+    known, firsts, shown = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def merge() -> pa.RecordBatch:
+        nonlocal held, count, known, firsts, shown
+        s, a = (np.concatenate(x) for x in zip((known, firsts), *held, strict=True))
+        old = np.concatenate([shown, np.zeros(len(s) - len(shown), bool)])
+        held, count = [], 0
+        order = np.argsort(s, kind="stable")
+        s, a, old = s[order], a[order], old[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        other = a != a[first][group]
+        more = np.zeros(len(first), bool)
+        more[group[other]] = True
+        lead = first[more & ~old[first]]
+        known, firsts, shown = s[first], a[first], old[first] | more
+        pick = np.concatenate([lead, np.flatnonzero(other)])
+        with np.errstate(over="ignore"):
+            x = mix((s[pick] << np.uint64(16)) + np.uint64(bucket))
+        return pa.RecordBatch.from_arrays([pa.array(a[pick].view(np.int64)), pa.array(x.view(np.int64))], names=["a", "x"])
+
+    for batch in batches:
+        for number, entries, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if number != bucket:
+                if held:
+                    yield merge()
+                bucket = number
+                known, firsts, shown = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+            held.append(_unpacked(entries, ids))
+            count += len(held[-1][0])
+            if count > GATHER:
+                yield merge()
+    if held:
+        yield merge()
+
+
+def _by_set(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``a, x`` sorted by ``a``, to ``a, x``: each set's distinct members as one array (bounded by its text)."""
+    rest_a, rest_x = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def out(a: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((x, a))
+        a, x = a[order], x[order]
+        keep = np.ones(len(a), bool)
+        keep[1:] = (a[1:] != a[:-1]) | (x[1:] != x[:-1])
+        a, x = a[keep], x[keep]
+        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(a)).astype(np.int32)), pa.array(x))
+        return pa.RecordBatch.from_arrays([pa.array(a[start]), lists], names=["a", "x"])
+
+    for batch in batches:
+        if batch.num_rows:
+            a, x = np.concatenate([rest_a, batch.column(0).to_numpy()]), np.concatenate([rest_x, batch.column(1).to_numpy()])
+            cut_ = int(np.searchsorted(a, a[-1])) if a[0] <= a[-1] else 0
+            if cut_:
+                yield out(a[:cut_], x[:cut_])
+            rest_a, rest_x = a[cut_:], x[cut_:]
+    if len(rest_a):
+        yield out(rest_a, rest_x)
 
 
 def _same_signature(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of :func:`_signatures` sorted by bucket, to edges: each set to the first that signed alike.
+    """Rows of :func:`_sign` sorted by bucket, to edges: each set to the first that signed alike.
 
     Streams: held are one gathering and, for each signature of the bucket, its
     first set. A signature's sets are strung to that one, never paired.
@@ -291,9 +409,8 @@ def _same_signature(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 bucket, sigs, firsts = number, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
             if len(links.as_py()):
                 yield edges(np.frombuffer(links.as_py(), np.uint64).reshape(-1, 2))
-            e = np.frombuffer(entries.as_py(), np.uint64)
-            held.append((e >> np.uint64(16), np.frombuffer(ids.as_py(), np.uint64)[(e & np.uint64(0xFFFF)).astype(np.int64)]))
-            count += len(e)
+            held.append(_unpacked(entries, ids))
+            count += len(held[-1][0])
             if count > GATHER:
                 yield edges(merge())
     if held:
@@ -301,40 +418,49 @@ def _same_signature(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _verified(rows: DataFrame, width: int, num: int, den: int, kind: str) -> DataFrame:
-    """Rows ``task, side, doc_id, text``, sorted by task, to ``task, doc_id, root``: links within each task."""
-
-    def solve(task: int, sides: list, ids: list, texts: list) -> pa.RecordBatch:
-        parts, sizes = [], []
-        for _, _, data, offsets in chunks(pa.array(texts, pa.large_string())):
-            sets, cuts = shingle_sets(data, offsets, width)
-            parts.append(sets)
-            sizes.append(np.diff(cuts))
-        cuts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    """Rows ``task, side, doc_id, n, held``, sorted by task, to ``task, doc_id, root``: links within each task.
+
+    ``held`` is a text, or an array of the members that other sets have too.
+    """
+
+    def solve(task: int, sides: list, ids: list, true: list, held: list) -> pa.RecordBatch:
+        if isinstance(held[0], str):
+            parts, sizes = [], []
+            for _, _, data, offsets in chunks(pa.array(held, pa.large_string())):
+                sets, cuts = shingle_sets(data, offsets, width)
+                parts.append(sets)
+                sizes.append(np.diff(cuts))
+            sets, sizes = np.concatenate(parts), np.concatenate(sizes)
+        else:
+            sets, sizes = np.concatenate(held), np.array([len(x) for x in held])
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
         side = np.array(sides)
-        label = link_groups(np.concatenate(parts), cuts, num, den, None if side.min() == side.max() else side)
+        label = link_groups(sets, cuts, num, den, None if side.min() == side.max() else side, np.array(true, np.int64))
         root: dict[int, int] = {}
         for l, i in zip(label.tolist(), ids, strict=True):
             root[l] = min(root.get(l, i), i)
         return pa.RecordBatch.from_arrays([pa.array([task] * len(ids), pa.int64()), pa.array(ids), pa.array([root[l] for l in label.tolist()])], names=["task", "doc_id", "root"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, sides, ids, texts = None, [], [], []
+        task, sides, ids, true, held = None, [], [], [], []
         for batch in batches:
-            for t, s, i, x in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            arrays = pa.types.is_list(batch.schema.field(4).type)
+            for t, s, i, n, x in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
                 if t != task and ids:
-                    yield solve(task, sides, ids, texts)
-                    sides, ids, texts = [], [], []
+                    yield solve(task, sides, ids, true, held)
+                    sides, ids, true, held = [], [], [], []
                 task = t
                 sides.append(s)
                 ids.append(i)
-                texts.append(x)
+                true.append(n)
+                held.append(x.values.to_numpy() if arrays else x.as_py())
         if ids:
-            yield solve(task, sides, ids, texts)
+            yield solve(task, sides, ids, true, held)
 
     return rows.mapInArrow(run, f"task bigint, doc_id {kind}, root {kind}")
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, *, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, *, key: str = "doc_id", text: str = "text", block: int = BLOCK, thin: bool = False) -> DataFrame:
     """Connected components of the exact Jaccard join: ``doc_id, n_shingles, component_id``.
 
     Two texts link when den * |intersection| >= num * |union| of their sets of
@@ -346,7 +472,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     hold every link. Each component's representatives are compared exactly:
     up to ``block`` in one task, more in tasks of two blocks each, so that no
     task holds an unbounded group; their results join in another components
-    run. A larger group is first cut by size, into windows of two neighbouring
+    run. With ``thin``, for lower thresholds, members that only one set has are
+    left out first, counted by a packed exchange of all members; a set of which
+    less than num / den is left links with nothing, and the others sign and are
+    compared without texts (members then are 48 bits of hash and a bucket).
+    A larger group is first cut by size, into windows of two neighbouring
     bands, as sets further apart in size cannot be similar. Texts without words, and null texts, have empty sets and link with
     nothing. Null ids share links but never name a component (unless all ids of
     it are null). Repeated rows are each returned; other columns are not read.
@@ -357,29 +487,47 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     # about a million shingles a bucket, whatever the input's size
     total = prints.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000 + 1)
-    spread = _signatures(docs, width, num, den, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    classes = prints.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
+    if thin:
+        rows = _new_sets(docs, width, lambda sets: _members(sets, buckets), "bucket int, entries binary, ids binary")
+        pairs = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_recurring, "a bigint, x bigint")
+        left = pairs.repartition("a").sortWithinPartitions("a").mapInArrow(_by_set, "a bigint, x array<bigint>")
+        left = cut(left.join(classes, "a").where(F.col("rep").isNotNull() & (F.size("x") * den >= F.col("n") * num)).select("a", "n", "rep", "x"), "thinned")
+
+        def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+            for batch in batches:
+                x = batch.column(2)
+                cuts = np.asarray(x.offsets, np.int64)
+                yield x.values.to_numpy().view(np.uint64)[cuts[0] : cuts[-1]], cuts - cuts[0], batch.column(1).to_numpy(), batch.column(0).to_numpy().view(np.uint64)
+
+        spread = left.select("a", "n", "x").mapInArrow(lambda batches: _sign(sets_of(batches), num, den, buckets), _SIGNED)
+    else:
+        spread = _new_sets(docs, width, lambda sets: _sign(sets, num, den, buckets), _SIGNED)
+    spread = spread.repartition("bucket").sortWithinPartitions("bucket")
     edges = cut(spread.mapInArrow(_same_signature, "u bigint, v bigint").distinct(), "candidates")
     groups = cut(connected_components(edges), "candidate-groups")
-    classes = prints.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
-    named = cut(classes.join(groups.withColumnRenamed("node", "a"), "a").where("rep is not null").select("rep", "n", "component"), "candidate-classes")
+    named = cut(classes.join(groups.withColumnRenamed("node", "a"), "a").where("rep is not null").select("rep", "n", "a", "component"), "candidate-classes")
     # similar sets lie in one band of sizes or in neighbours: a group falls into windows of two bands
     ends = F.array(*[F.lit(int(e)) for e in PartEnum(num, den).ends])
     band = F.size(F.filter(ends, lambda e: e < F.col("n")))
     sized = named.join(named.groupBy("component").agg(F.count("*").alias("all")), "component").where(F.col("all") > 1)
     small = F.col("all") <= block  # one task, without windows
-    placed = sized.withColumn("window", F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.array(band, band + 1)))).select("rep", "component", "window")
+    placed = sized.withColumn("window", F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.array(band, band + 1)))).select("rep", "n", "a", "component", "window")
     sizes = placed.groupBy("component", "window").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / block).cast("int")
     placed = placed.join(sizes, ["component", "window"]).withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("rep"), "side", (F.col("window") >= 0).alias("many"),
+        F.col("rep"), "n", "a", "side", (F.col("window") >= 0).alias("many"),
         F.xxhash64("component", "window", F.least("side", "other"), F.greatest("side", "other")).alias("task"),
     )
     tasks = cut(tasks, "candidate-tasks")
-    # texts are shuffled once by id, at every size alike: the ids grow with the input, so neither side is broadcast
-    reps = tasks.select("rep").distinct().hint("merge")
-    once = docs.where("doc_id is not null").join(reps, docs.doc_id == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    rows = once.join(tasks.hint("merge"), once.doc_id == tasks.rep).select("task", "side", "doc_id", "text")
+    if thin:
+        rows = tasks.hint("merge").join(left.select("a", "x").hint("merge"), "a").select("task", "side", F.col("rep").alias("doc_id"), "n", F.col("x").alias("held"))
+    else:
+        # texts are shuffled once by id, at every size alike: the ids grow with the input, so neither side is broadcast
+        reps = tasks.select("rep").distinct().hint("merge")
+        once = docs.where("doc_id is not null").join(reps, docs.doc_id == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
+        rows = once.join(tasks.hint("merge"), once.doc_id == tasks.rep).select("task", "side", "doc_id", "n", F.col("text").alias("held"))
     links = cut(_verified(rows.repartition("task").sortWithinPartitions("task", "doc_id"), width, num, den, kind), "links")
     many = tasks.where("many").select("task").distinct()
     single = links.join(many, "task", "left_anti").select("doc_id", "root")

@@ -206,8 +206,8 @@ def brute_jaccard(texts, width, num, den):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("width", "num", "block"), [(3, 90, 8192), (5, 80, 8192), (3, 90, 2), (5, 80, 3)])
-def test_jaccard_equals_brute_force(spark, width, num, block):
+@pytest.mark.parametrize(("width", "num", "block", "thin"), [(3, 90, 8192, False), (5, 80, 8192, False), (3, 90, 2, False), (5, 80, 3, False), (5, 80, 8192, True), (3, 90, 8192, True), (5, 80, 3, True)])
+def test_jaccard_equals_brute_force(spark, width, num, block, thin):
     texts = [*ODD, (9, "two words"), (10, "TWO  words"), (11, "words two")]
     for g in range(8):
         base = words(rnd.choice([12, 40, 150])).split()
@@ -216,7 +216,7 @@ def test_jaccard_equals_brute_force(spark, width, num, block):
             for _ in range(rnd.randrange(4)):
                 w[rnd.randrange(len(w))] = f"edit{rnd.randrange(99)}"
             texts.append((100 + 10 * g + k, " ".join(w)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, texts), width, num, 100, block=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, texts), width, num, 100, block=block, thin=thin).collect()}
     assert got == brute_jaccard(texts, width, num, 100)
 
 
