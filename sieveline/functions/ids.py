@@ -55,3 +55,35 @@ def id_prefix(key: Column) -> Column:
 def id_ordinal(key: Column) -> Column:
     """The number of an id, by which ids sort."""
     return F.nullif(F.regexp_extract(key, _ID, 2), F.lit("")).cast("bigint")
+
+
+def extract_dois(text: Column, limit: int = 20) -> Column:
+    """Distinct DOIs of a text in order, ``limit`` at most."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"""\b(10\.\d{4,9}/[^\s"'<>]+)"""), F.lit(1))
+    return F.slice(F.array_distinct(F.filter(F.transform(found, normalize_doi), lambda x: x.isNotNull())), 1, limit)
+
+
+def doi_to_url(raw: Column) -> Column:
+    return F.concat(F.lit("https://doi.org/"), normalize_doi(raw))
+
+
+def split_authors(raw: Column) -> Column:
+    """Names of a list written with semicolons, pipes, commas or a final ``and``."""
+    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), r"\s*(?:;|\||,|\band\b)\s*"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+#: What marks a work as a preprint.
+PREPRINTS = r"(?i)preprint|arxiv|biorxiv|medrxiv|ssrn|posted-content|10\.48550/|research ?square"
+
+
+def classify_work(kind: Column, venue: Column, doi: Column, url: Column) -> Column:
+    """Preprint by type, venue, DOI or url; else peer-reviewed."""
+    return F.when(F.concat_ws(" ", kind, venue, doi, url).rlike(PREPRINTS), "academic_preprint").otherwise("academic_peer_reviewed")
+
+
+def family_for(source_type: Column) -> Column:
+    """Family of a source type."""
+    return (
+        F.when(source_type.startswith("academic"), "academic").when(source_type.contains("news"), "news").when(source_type.isin("press_release", "corporate_filing"), "corporate")
+        .when(source_type.isin("regulatory_document", "government_document"), "government").when(source_type.isin("social_post", "forum_post", "video"), "social").otherwise("web")
+    )

@@ -138,3 +138,15 @@ def safe_filename(name: Column, limit: int = 80) -> Column:
 def injection_marker(text: Column) -> Column:
     """Whether external text imitates a role header or an envelope tag."""
     return F.coalesce(text, F.lit("")).rlike(r"(?im)^\s*(system|assistant|user|developer)\s*:|</?\s*(document|evidence|system|instructions?)\b")
+
+
+def sanitize(text: Column) -> Column:
+    """External text whose role headers and envelope tags are defanged."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?im)^(\s*)(system|assistant|user|developer)(\s*):", r"$1[$2]$3;")
+    return F.regexp_replace(t, r"(?i)<(/?\s*(?:document|evidence|system|instructions?)\b)", r"($1")
+
+
+def json_in(prose: Column) -> Column:
+    """The JSON object in a fenced block, else from the first brace to the last; null without one."""
+    fenced = F.regexp_extract(prose, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(F.regexp_extract(prose, r"(?s)\{.*\}", 0), F.lit("")))
