@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import zlib
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -83,6 +86,68 @@ def parse_html(html: str) -> tuple[str, str, str, list[str], str]:
     return title, page.lang, "\n".join(x for x in lines if x), page.links, page.meta.get("canonical") or page.meta.get("og:url") or ""
 
 
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+_SHOWN = re.compile(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]+>|\bT\*|\bTd\b|\bTD\b|\bET\b", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+
+
+def _unescape(m: re.Match) -> bytes:
+    return bytes([int(m.group(1), 8) & 255]) if m.group(1).isdigit() else _ESCAPES.get(m.group(1), m.group(1))
+
+
+def pdf_text(raw: bytes) -> str:
+    """Text that a PDF's content streams show, line by line; empty where its fonts hide it (scans need OCR)."""
+    out = []
+    for m in _STREAM.finditer(raw):
+        data = m.group(1)
+        try:
+            data = zlib.decompress(data)
+        except zlib.error:
+            pass  # a stream that is not compressed
+        if b"Tj" not in data and b"TJ" not in data:
+            continue
+        for token in _SHOWN.findall(data):
+            if token[:1] == b"(":
+                out.append(re.sub(rb"\\([0-7]{1,3}|.)", _unescape, token[1:-1], flags=re.S).decode("latin-1"))
+            elif token[:1] == b"<":
+                digits = re.sub(rb"\s", b"", token[1:-1]).decode()
+                text = bytes.fromhex(digits + "0" * (len(digits) % 2))
+                out.append(text[2:].decode("utf-16-be", "replace") if text[:2] == b"\xfe\xff" else text.decode("latin-1"))
+            else:
+                out.append("\n")
+    return re.sub(r"\n\s*\n+", "\n", "".join(out)).strip()
+
+
+def json_ld(html: str, depth: int = 4) -> dict:
+    """Headline, date, authors and publisher from a page's JSON-LD blocks, to ``depth`` levels; the first of each stays."""
+    found: dict = {}
+
+    def name(x):
+        return x.get("name") if isinstance(x, dict) else x
+
+    def walk(x, left: int) -> None:
+        if left < 0:
+            return
+        if isinstance(x, list):
+            for y in x:
+                walk(y, left - 1)
+        elif isinstance(x, dict):
+            for key, to in (("headline", "headline"), ("datePublished", "published"), ("publisher", "publisher"), ("author", "authors")):
+                if x.get(key) and to not in found:
+                    v = x[key]
+                    found[to] = [n for n in map(name, v if isinstance(v, list) else [v]) if n] if to == "authors" else name(v)
+            for y in x.values():
+                if isinstance(y, (dict, list)):
+                    walk(y, left - 1)
+
+    for block in re.findall(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script>", html or "", re.S | re.I):
+        try:
+            walk(json.loads(block), depth)
+        except ValueError:
+            continue
+    return found
+
+
 def extract_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """``page_id, title, lang, text, links, canonical`` of each page, batch by batch."""
     src = pages.select(F.col(key).alias("page_id"), F.col(html).alias("html"))
@@ -98,8 +163,8 @@ def extract_pages(pages: DataFrame, key: str = "page_id", html: str = "html") ->
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """``path, kind, title, text`` of every readable file under a folder; hidden and oversized files are left out.
 
-    Dates are never taken from the file system. PDF and Office files are named
-    by kind, with no text.
+    Dates are never taken from the file system. Office files are named by kind,
+    with no text.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.substring_index("path", "/", -1)
@@ -112,6 +177,9 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
                 title, text = "", ""
                 if kind == "html":
                     title, _, text, _, _ = parse_html(decode_bytes(content))
+                elif kind == "pdf":
+                    text = pdf_text(content)
+                    title = text.split("\n", 1)[0][:120]
                 elif kind in ("text", "markdown", "json"):
                     text = decode_bytes(content)
                     if kind == "markdown" and text.startswith("---\n") and (end := text.find("\n---", 4)) > 0:

@@ -144,3 +144,15 @@ def test_no_nested_loop_in_similarity_plans(spark, sf):
     for name in ("join_lsh_candidates", "dedup_near_lsh", "join_edge_both_ends"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_pdf_and_json_ld(spark, tmp_path):
+    import zlib
+
+    body = b"BT (Hello \\(PDF\\)) Tj 0 -14 Td (line \\050two\\051) Tj <FEFF00E9> Tj ET"
+    raw = b"%PDF-1.4\n1 0 obj\n<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(body) + b"\nendstream\nendobj\n%%EOF"
+    assert files.pdf_text(raw) == "Hello (PDF)\nline (two)é"
+    (tmp_path / "x.pdf").write_bytes(raw)
+    assert files.read_folder(spark, str(tmp_path)).first().title == "Hello (PDF)"
+    html = '<script type="application/ld+json">{"@graph": [{"headline": "H", "author": [{"name": "A"}, "B"], "publisher": {"name": "P"}}]}</script><script type="application/ld+json">{bad</script>'
+    assert files.json_ld(html) == {"headline": "H", "authors": ["A", "B"], "publisher": "P"}
