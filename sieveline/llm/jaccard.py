@@ -252,14 +252,14 @@ def _sign(sets_of: Iterator[tuple], num: int, den: int, buckets: int) -> Iterato
     """``bucket, entries, ids, links``: signatures, packed.
 
     A signature that sets of one gathering share is sent once: the others are
-    linked to its first set at once (``links``).
+    linked to its smallest set at once (``links``).
     """
     scheme, held = PartEnum(num, den), []
 
     def deal() -> pa.RecordBatch:
         s, a = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.argsort(s, kind="stable")
+        order = np.lexsort((a, s))  # the smallest set leads, so that a group's signatures name the same links
         s, a = s[order], a[order]
         new = np.ones(len(s), bool)
         new[1:] = s[1:] != s[:-1]
@@ -374,10 +374,10 @@ def _by_set(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _same_signature(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of :func:`_sign` sorted by bucket, to edges: each set to the first that signed alike.
+    """Rows of :func:`_sign` sorted by bucket, to edges: each set to the smallest that signed alike.
 
     Streams: held are one gathering and, for each signature of the bucket, its
-    first set. A signature's sets are strung to that one, never paired.
+    smallest set. A signature's sets are strung to that one, never paired.
     """
     bucket, held, count = None, [], 0
     sigs, firsts = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -386,9 +386,9 @@ def _same_signature(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         nonlocal held, count, sigs, firsts
         s, a = (np.concatenate(x) for x in zip(*held, strict=True))
         held, count = [], 0
-        # what is known goes first, so it stays each signature's first
+        # what led so far is linked to a smaller set that comes later
         s, a = np.concatenate([sigs, s]), np.concatenate([firsts, a])
-        order = np.argsort(s, kind="stable")
+        order = np.lexsort((a, s))
         s, a = s[order], a[order]
         new = np.ones(len(s), bool)
         new[1:] = s[1:] != s[:-1]
@@ -500,7 +500,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
                 cuts = np.asarray(x.offsets, np.int64)
                 yield x.values.to_numpy().view(np.uint64)[cuts[0] : cuts[-1]], cuts - cuts[0], batch.column(1).to_numpy(), batch.column(0).to_numpy().view(np.uint64)
 
-        spread = left.select("a", "n", "x").mapInArrow(lambda batches: _sign(sets_of(batches), num, den, buckets), _SIGNED)
+        kept = left.agg(F.sum(F.size("x"))).first()[0] or 0
+        spread = left.select("a", "n", "x").mapInArrow(lambda batches: _sign(sets_of(batches), num, den, kept // 1_000_000 + 1), _SIGNED)
     else:
         spread = _new_sets(docs, width, lambda sets: _sign(sets, num, den, buckets), _SIGNED)
     spread = spread.repartition("bucket").sortWithinPartitions("bucket")
