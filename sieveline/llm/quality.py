@@ -138,7 +138,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bucke
         rng.shuffle(order)
         for k in order.tolist():
             idx, val = rows[k]
-            idx, val = np.append(idx, buckets), np.append(val, 1.0)
+            idx, val = np.append(idx.astype(np.int64), buckets), np.append(val.astype(np.float64), 1.0)
             zi, ni = z[idx], n[idx]
             w = solve(zi, ni)
             p = 1 / (1 + np.exp(-np.clip(w @ val, -500, 500)))
@@ -163,8 +163,12 @@ def fit(train: DataFrame, *, buckets: int = BUCKETS) -> LogisticModel:
                 )
 
     got = train.mapInArrow(run, "id string, y int, idx array<int>, val array<float>").toArrow().sort_by("id")
-    rows = [(np.asarray(i.values, np.int64), np.asarray(v.values, np.float64)) for i, v in zip(got["idx"], got["val"], strict=True)]
-    return ftrl(rows, got["y"].to_numpy().astype(float), buckets=buckets)
+    # views of what was collected, widened one example at a time; given back to the system when fitted
+    rows = [(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(got["idx"], got["val"], strict=True)]
+    model = ftrl(rows, got["y"].to_numpy().astype(float), buckets=buckets)
+    del rows, got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_quality(docs: DataFrame, model: LogisticModel, threshold: float = 0.7, *, key: str = "doc_id", text: str = "text") -> DataFrame:
