@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,16 +69,21 @@ def _hashes(words: Column, width: int) -> Column:
     return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _templated(src: DataFrame, keys: list[str]) -> DataFrame:
+def _words(toks: Column) -> Column:
+    """Each token in lower case; null for marks."""
+    return F.transform(toks, lambda x: F.when(~_mark(x), F.lower(x)))
+
+
+def _templated(src: DataFrame, keys: list[str], kinds: Callable[[Column], Column] = templates) -> DataFrame:
     """``keys, _w``: tokens and templates. Each step is a column of its own, so that none is worked out again for every token."""
     toks = src.select(*keys, tokens(F.col("text")).alias("_k"))
-    both = toks.select(*keys, F.arrays_zip(F.col("_k").alias("v"), templates(F.col("_k")).alias("t")).alias("_z"))
+    both = toks.select(*keys, F.arrays_zip(F.col("_k").alias("v"), kinds(F.col("_k")).alias("t")).alias("_z"))
     return both.select(*keys, F.filter("_z", lambda x: x["t"].isNotNull()).alias("_w"))
 
 
-def _windows(src: DataFrame, keys: list[str], width: int) -> DataFrame:
+def _windows(src: DataFrame, keys: list[str], width: int, kinds: Callable[[Column], Column] = templates) -> DataFrame:
     """``keys, at, t, v``: templates and raw values of every window, from frames ``keys, text``."""
-    both = _templated(src, keys)
+    both = _templated(src, keys, kinds)
     # (transform, not a field of the array: that would be extracted again for every window)
     both = both.select(*keys, F.transform("_w", lambda x: x["t"]).alias("_t"), F.transform("_w", lambda x: x["v"]).alias("_v"))
     each = F.transform(F.sequence(F.lit(1), F.size("_t") - (width - 1)), lambda i: F.struct(i.alias("at"), F.slice("_t", i, width).alias("t"), F.slice("_v", i, width).alias("v")))
@@ -87,6 +94,63 @@ def _telling(t: Column, width: int) -> Column:
     return F.size(F.filter(t, lambda x: ~x.isin(NUM, UNIT, NAME))) >= max(1, min(LITERALS, width - width // 4))
 
 
+def _forms(windows: DataFrame, hits: int) -> DataFrame:
+    """``f`` added: the window's templates, also with an item's first word as a name or a unit, which it may be inside a document.
+
+    Only for items all of whose windows have to match: of others, enough match without the first.
+    """
+    few = windows.groupBy("item_id").agg((F.countDistinct("at") <= hits).alias("_few"))
+    windows = windows.join(few, "item_id")
+    x, t, rest = F.get("v", F.lit(0)), F.get("t", F.lit(0)), F.slice("t", 2, 1 << 30)
+    low = F.lower(x)
+    first = F.col("_few") & (F.col("at") == 1) & ~t.isin(NUM, UNIT, NAME)
+    name = first & (low != x) & (F.length(x) > 1) & (F.substring(x, 2, 1 << 30) == F.substring(low, 2, 1 << 30))
+    forms = F.array(F.col("t"), F.when(name, F.concat(F.array(F.lit(NAME)), rest)), F.when(first & low.isin(*UNITS), F.concat(F.array(F.lit(UNIT)), rest)))
+    return windows.withColumn("f", F.explode(F.filter(forms, lambda y: y.isNotNull())))
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, width: int, hits: int) -> DataFrame:
+    """``rid, doc_id, item_id, n, n_windows``: the texts that hold items; ``rid`` is the hash of id and text."""
+    items = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("item_id"), F.col(item_text).alias("text")).distinct()
+    sized = items.join(_templated(items, ["item_id", "text"]).select("item_id", "text", F.size("_w").alias("_n")), ["item_id", "text"]).where("_n > 0")
+    # sizes of windows: one, and for shorter items their own
+    widths = sorted(r[0] for r in sized.select(F.least("_n", F.lit(width))).distinct().collect())
+    src = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    src = src.withColumn("rid", F.xxhash64("doc_id", "text"))
+    kinds = f"rid bigint, doc_id {docs.schema[key].dataType.simpleString()}, item_id {benchmark.schema[item].dataType.simpleString()}, n bigint, n_windows bigint"
+    out = docs.sparkSession.createDataFrame([], kinds)
+    for w in widths:
+        mine = sized.where(F.least("_n", F.lit(width)) == w).select("item_id", "text")
+        told = _windows(mine, ["item_id", "text"], w).where(_telling(F.col("t"), w))
+        plain = mine.join(told.select("item_id", "text").distinct(), ["item_id", "text"], "left_anti")
+        # items whose windows say too little as templates are sought word by word
+        for named, of in ((_forms(told, hits), templates), (_windows(plain, ["item_id"], w, _words).withColumn("f", F.col("t")), _words)):
+            index = cut(named.select("item_id", "at", "t", "v", "f", F.xxhash64(F.transform("f", lambda x: F.xxhash64(x))).alias("h")), "benchmark-windows")
+            rows = index.count()
+            if not rows:
+                continue
+            hint = F.broadcast if rows <= BROADCAST_ROWS else (lambda x: x)
+            # first pass: hashes only
+            words = _templated(src, ["rid"], of).select("rid", F.transform("_w", lambda x: F.xxhash64(x["t"])).alias("_w"))
+            probes = words.select("rid", F.explode(_hashes(F.col("_w"), w)).alias("h"))
+            found = cut(probes.join(hint(index.select("h").distinct()), "h").select("rid").distinct(), "decontam-hits")
+            # second pass: windows with their values, of the texts that were hit
+            # (the hits grow with the input, so they are joined by a shuffle at every size)
+            texts = src.join(found.hint("merge"), "rid", "left_semi").dropDuplicates(["rid"])
+            mine_w = _windows(texts, ["rid", "doc_id"], w, of).withColumn("h", F.xxhash64(F.transform("t", lambda x: F.xxhash64(x))))
+            pairs = mine_w.join(hint(index.select("item_id", "h", F.col("at").alias("item_at"), "f", F.col("t").alias("item_t"), F.col("v").alias("item_v"))), "h").where("t = f")
+            # an item's first word stays that word where the document takes it for a name or a unit
+            pairs = pairs.where((F.get("t", F.lit(0)) == F.get("item_t", F.lit(0))) | (F.lower(F.get("v", F.lit(0))) == F.get("item_t", F.lit(0))))
+            pairs = cut(pairs.select("rid", "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("line"), "item_at", F.col("item_t").alias("t"), "v", "item_v"), "decontam-pairs")
+            slots = pairs.select("rid", "item_id", "line", F.explode(F.arrays_zip("t", "v", "item_v")).alias("s")).where(F.col("s.t").isin(NUM, UNIT, NAME))
+            odd = slots.groupBy("rid", "item_id", "line", "s.t", "s.item_v").agg(F.min("s.v").alias("a"), F.max("s.v").alias("b")).where("a <> b").select("rid", "item_id", "line").distinct()
+            total = index.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
+            lines = pairs.join(odd, ["rid", "item_id", "line"], "left_anti").groupBy("rid", "doc_id", "item_id", "line").agg(F.countDistinct("item_at").alias("n"))
+            good = lines.join(hint(total), "item_id").where(F.col("n") >= F.least(F.col("n_windows"), F.lit(hits)))
+            out = out.union(good.select("rid", "doc_id", "item_id", "n", "n_windows"))
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, hits: int = HITS) -> DataFrame:
     """Documents that hold benchmark items: ``doc_id, item_id, n_matched, n_windows``.
 
@@ -97,7 +161,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     number, unit or name, the document repeats whatever stands for it. So a
     question with other numbers is caught, and a chance likeness of
     placeholders is not. Windows with fewer than ``LITERALS`` ordinary words do
-    not count. ``n_matched`` is the largest number of windows in line.
+    not count; an item that has no others is sought word by word. Where all of
+    an item's windows have to match, its first word also counts where its place
+    in the document makes it a name or a unit. ``n_matched`` is the largest
+    number of windows in line.
 
     Every window of every document is probed, in one pass without a shuffle
     while the benchmark's windows are at most ``BROADCAST_ROWS``; only texts
@@ -105,36 +172,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     empty table gives an empty result, repeated rows count once, other columns
     are not read.
     """
-    items = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("item_id"), F.col(item_text).alias("text")).distinct()
-    sized = items.join(_templated(items, ["item_id", "text"]).select("item_id", "text", F.size("_w").alias("_n")), ["item_id", "text"]).where("_n > 0")
-    # sizes of windows: one, and for shorter items their own
-    widths = sorted(r[0] for r in sized.select(F.least("_n", F.lit(width))).distinct().collect())
-    src = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    src = src.withColumn("rid", F.xxhash64("doc_id", "text"))
-    kinds = f"doc_id {docs.schema[key].dataType.simpleString()}, item_id {benchmark.schema[item].dataType.simpleString()}, n_matched bigint, n_windows bigint"
-    out = docs.sparkSession.createDataFrame([], kinds)
-    for w in widths:
-        mine = sized.where(F.least("_n", F.lit(width)) == w).select("item_id", "text")
-        index = cut(_windows(mine, ["item_id"], w).where(_telling(F.col("t"), w)).withColumn("h", F.xxhash64(F.transform("t", lambda x: F.xxhash64(x)))), "benchmark-windows")
-        small = index.count() <= BROADCAST_ROWS
-        hint = F.broadcast if small else (lambda x: x)
-        # first pass: hashes only
-        words = _templated(src, ["rid"]).select("rid", F.transform("_w", lambda x: F.xxhash64(x["t"])).alias("_w"))
-        probes = words.select("rid", F.explode(_hashes(F.col("_w"), w)).alias("h"))
-        found = cut(probes.join(hint(index.select("h").distinct()), "h").select("rid").distinct(), "decontam-hits")
-        # second pass: windows with their values, of the texts that were hit
-        # (the hits grow with the input, so they are joined by a shuffle at every size)
-        texts = src.join(found.hint("merge"), "rid", "left_semi").dropDuplicates(["rid"])
-        mine_w = _windows(texts, ["rid", "doc_id"], w).withColumn("h", F.xxhash64(F.transform("t", lambda x: F.xxhash64(x))))
-        pairs = mine_w.join(hint(index.select("item_id", "h", F.col("at").alias("item_at"), F.col("t").alias("item_t"), F.col("v").alias("item_v"))), "h").where("t = item_t")
-        pairs = cut(pairs.select("rid", "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("line"), "item_at", "t", "v", "item_v"), "decontam-pairs")
-        slots = pairs.select("rid", "item_id", "line", F.explode(F.arrays_zip("t", "v", "item_v")).alias("s")).where(F.col("s.t").isin(NUM, UNIT, NAME))
-        odd = slots.groupBy("rid", "item_id", "line", "s.t", "s.item_v").agg(F.min("s.v").alias("a"), F.max("s.v").alias("b")).where("a <> b").select("rid", "item_id", "line").distinct()
-        total = index.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
-        lines = pairs.join(odd, ["rid", "item_id", "line"], "left_anti").groupBy("rid", "doc_id", "item_id", "line").agg(F.countDistinct("item_at").alias("n"))
-        good = lines.join(hint(total), "item_id").where(F.col("n") >= F.least(F.col("n_windows"), F.lit(hits)))
-        out = out.union(good.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_matched"), F.max("n_windows").alias("n_windows")))
-    return out
+    held = _held(docs, benchmark, key, text, item, item_text, width, hits)
+    return held.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_matched"), F.max("n_windows").alias("n_windows"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -252,6 +252,17 @@ def test_decontamination_slots(spark):
     assert (3, 10) not in got
 
 
+def test_decontamination_exact_copies(spark):
+    items = [
+        (1, "Question: What is the capital city of the old northern land today?"), (2, "Compute 3 + 4 * Alice Bob Carol 5 6 kg."),
+        (3, "Days pass and the river runs on"), (4, "7 8 9"), (5, "Water boils"),
+    ]
+    texts = [(i, f"see here the next one {t} and so on") for i, t in items] + [(10 + i, f"It ends. {t} And so on") for i, t in items]
+    texts += [(20, "we have 3 " + items[2][1]), (21, "see Answer" + items[0][1][8:]), (22, "Compute 3 + 4 * Dora Bob Carol 5 6 kg."), (23, "7 8 10"), (24, "see Alice boils")]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i + k, i) for i, _ in items for k in (0, 10)} | {(20, 3)}
+
+
 def accuracy(rows, labels, held):
     right = [(r.predicted == labels[r.doc_id]) for r in rows if r.doc_id in labels and r.held_out == held]
     return sum(right) / max(1, len(right))
