@@ -30,10 +30,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near-duplicates."""
+    """Keep the document of smallest id of each group of near-duplicates.
+
+    Rows that agree in id and text are one document. Different texts under one
+    id, or under a null id, are different documents and all stay.
+    """
     groups = jaccard.jaccard_components(docs, WORDS, NUM, DEN, thin=True)
     keep = groups.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(keep.hint("merge"), docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return docs.join(keep.hint("merge"), docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

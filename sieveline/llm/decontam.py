@@ -177,9 +177,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    bad = contaminated(docs, benchmark, key=key, text=text).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(bad.hint("merge"), key, "left_anti")
+    """The documents that hold no benchmark item, with all their columns; each row is judged by its own text, whatever its id."""
+    bad = _held(docs, benchmark, key, text, "item_id", "text", WINDOW, HITS).select(F.col("rid").alias("_bad")).distinct()
+    rid = F.when(F.col(text).isNotNull(), F.xxhash64(key, text))
+    return docs.join(bad.hint("merge"), rid == F.col("_bad"), "left_anti")
 
 
 SQL = r"""

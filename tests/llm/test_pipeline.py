@@ -61,6 +61,15 @@ def test_no_benchmark_item_is_left(spark, docs):
     assert docs.count() - len(kept) == len(held)
 
 
+def test_texts_without_an_id_of_their_own(spark, docs):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, "one text that nothing else is like at all"), (None, "quite another story about rivers and hills"), (None, "quite another story about rivers and hills"), (1, "first words under this very id"), (1, "second thing told by the same number"), (None, f"Here it is. {item}"), (None, None), (2, f"Here it is. {item}"), (2, "clean text under two")]
+    odd = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], docs.schema)
+    texts = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    assert texts(cp.near_duplicate_stage(spark, odd, SF)) == sorted({(i or 0, t or "") for i, t in rows})
+    assert texts(cp.decontamination_stage(spark, odd, SF)) == sorted((i or 0, t or "") for i, t in rows if item not in (t or ""))
+
+
 def test_stages_take_empty_tables(spark, docs):
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
