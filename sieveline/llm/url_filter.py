@@ -50,26 +50,52 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return fits[0] if len(fits) == 1 else F.greatest(*fits)
 
 
+def _no_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    closed = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(closed, "/").otherwise(""))
+
+
+def _decoded(target: Column) -> Column:
+    """The basic character references of an attribute, and those of ``& / :`` by number."""
+    for ref, char in ((r"lt|#0*60|#x0*3c", "<"), (r"gt|#0*62|#x0*3e", ">"), (r"quot|#0*34|#x0*22", '"'), (r"apos|#0*39|#x0*27", "'"), (r"#0*47|#x0*2f", "/"), (r"#0*58|#x0*3a", ":"), (r"amp|#0*38|#x0*26", "&")):
+        target = F.regexp_replace(target, f"(?i)&(?:{ref});", char)
+    return target
+
+
 def _absolute(target: Column, url: Column) -> Column:
-    """Resolve a link target against the page's url."""
+    """Resolve a link target against the page's url; null for other schemes, and for relative ones on a url without ``://``."""
     origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     scheme = F.regexp_extract(url, r"(?s)^(.*?):", 1)
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
     return (
         F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (origin == ""), None)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(origin, target))
+        .when(target.startswith("/"), F.concat(origin, _no_dots(path), rest))
+        .when(target.startswith("?"), F.concat(origin, path_of(url), target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(url, r"(?s)^([^#]*)", 1), target))
+        .otherwise(F.concat(origin, _no_dots(F.concat(folder, path)), rest))
     )
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Alias edges ``u, v`` between urls: canonical links and meta-refresh redirects."""
+    """Alias edges ``u, v`` between urls: all canonical links and meta-refresh redirects."""
     tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
     refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
     src = pages.select(F.col(url).alias("_u"), F.col(html).alias("_h")).where("_u is not null and _h is not null")
     # a plain substring test spares the regular expressions on pages that have neither
     low = F.lower("_h")
     src = src.where(low.contains("canonical") | low.contains("refresh"))
-    links = src.select("_u", F.explode(F.array(F.regexp_extract("_h", tag, 1), F.regexp_extract("_h", refresh, 1))).alias("_t"))
+    links = src.select("_u", F.explode(F.concat(F.regexp_extract_all("_h", F.lit(tag), F.lit(1)), F.regexp_extract_all("_h", F.lit(refresh), F.lit(1)))).alias("_t"))
+    links = links.select("_u", _decoded(F.col("_t")).alias("_t"))
     return (
         links.where("_t <> ''").select(F.col("_u").alias("u"), _absolute(F.col("_t"), F.col("_u")).alias("v")).where("v is not null and u <> v").distinct()
     )

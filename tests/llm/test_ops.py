@@ -237,6 +237,20 @@ def test_similar_sets_share_a_signature(num, den):
         assert set(s[rows == 0].tolist()) & set(s[rows == 1].tolist())
 
 
+def test_url_filter_follows_every_link(spark):
+    canon = lambda t: f'<link rel="canonical" href="{t}">'
+    base = "http://a.com/fr/"
+    rows = [
+        (1, "http://a.com/en/x", ""), (2, base + "y", canon("../en/x")), (3, base + "z", canon("y")), (4, base + "q?id=1", canon("http://a.com/en/x?a=1&amp;b=2")),
+        (5, "http://a.com/en/x?a=1&b=2", ""), (6, base + "two", canon("http://c.net/none") + canon("/de/../en/x")), (7, base + "r", canon("?id=1")), (8, base + "r?id=1", canon("./y")),
+        (9, base + "s", '<meta http-equiv="refresh" content="0; url=http://c.net/n"><meta http-equiv="refresh" content="5; url=../en/x">'), (10, base + "m", canon("mailto:x@a.com")), (11, "http://b.com", canon("free")), (12, "http://b.com/free", ""),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7, 8, 9}
+    edges = {(r.u, r.v) for r in url_filter.link_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {("http://b.com", "http://b.com/free"), (base + "q?id=1", "http://a.com/en/x?a=1&b=2")} <= edges
+
+
 def test_decontamination_slots(spark):
     item = "A train leaves the old station at 40 km and a second train follows at 60 km so when after 40 minutes do they meet"
     same = item.replace("40", "35").replace("60", "75")
