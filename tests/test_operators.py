@@ -156,3 +156,11 @@ def test_pdf_and_json_ld(spark, tmp_path):
     assert files.read_folder(spark, str(tmp_path)).first().title == "Hello (PDF)"
     html = '<script type="application/ld+json">{"@graph": [{"headline": "H", "author": [{"name": "A"}, "B"], "publisher": {"name": "P"}}]}</script><script type="application/ld+json">{bad</script>'
     assert files.json_ld(html) == {"headline": "H", "authors": ["A", "B"], "publisher": "P"}
+
+
+def test_passage_queries_take_the_whole_query_set(spark, sf):
+    from sieveline.plans import QUERIES
+
+    want = {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id % 20 = 0").collect()}
+    for name in ("select_passages", "bm25_passage"):
+        assert {r.query_id for r in QUERIES[name](spark, sf).select("query_id").distinct().collect()} == want
