@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop_cut
 from .components import connected_components
-from .textbytes import RangeHash, chunks, mix, runs
+from .textbytes import IdentityHash, chunks, mix, runs
 
 #: Class representatives that one verification task compares at most with one another.
 BLOCK = 8192
@@ -37,7 +37,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     n = len(offsets) - 1
     data = _FOLD[data]
     starts, ends, rows = runs(_WORD[data], offsets)
-    h = RangeHash(data)(starts, ends)
+    h = IdentityHash(data)(starts, ends)
     count = np.bincount(rows, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])
     with np.errstate(over="ignore"):

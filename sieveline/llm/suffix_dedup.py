@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textbytes import RangeHash, chunks
+from .textbytes import IdentityHash, RangeHash, chunks
 
 #: Bytes of the grams among which a window's anchor is the smallest.
 GRAM = 32
@@ -64,9 +64,10 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[n
     # what all windows of the run share, around the anchor
     begin = np.where(is_left, a - reach, a)
     end = np.where(is_left, a + gram, a + gram + (length - gram - reach))
-    key = h(begin, end)
+    same = IdentityHash(data)
+    key = same(begin, end)
     key ^= is_left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return key, h(s, s + count + length - 1), row[first], s, count
+    return key, same(s, s + count + length - 1), row[first], s, count
 
 
 _RUN = "key bigint, span bigint, rid bigint, start bigint, windows int, step int, times int"
@@ -347,8 +348,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, key: str = "doc_id", t
     (see :func:`anchored_runs`); keys that occur once are dropped, equal spans
     are sorted once. Each group of spans is put in order by two-stage suffix
     sorting, and neighbours' common prefixes tell which windows repeat. A key's
-    rows stream through sorted partitions. All bytes that a match needs are
-    compared; hashes only decide what is compared.
+    rows stream through sorted partitions. Equal spans are recognised within a
+    key by a hash modulo the prime 2**61 - 1, on top of the key's own; windows
+    of different spans are compared by all their bytes.
     """
     rows = _with_ranges(docs, key, text, length, key)
     schema = f"doc_id {docs.schema[key].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"

@@ -35,7 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class RangeHash:
-    """Hash of any byte range of ``data`` in constant time; equal bytes give equal hashes."""
+    """Hash of any byte range of ``data`` in constant time; equal bytes give equal hashes.
+
+    For features and anchors only: modulo a power of two, texts made for it
+    collide. Where equal hashes are taken for equal bytes, see :class:`IdentityHash`.
+    """
 
     def __init__(self, data: np.ndarray):
         self.pows, self.invs = _powers(len(data))
@@ -47,6 +51,66 @@ class RangeHash:
             return mix((self.acc[end] - self.acc[start]) * self.invs[start] + (end - start).astype(np.uint64))
 
 
+_PRIME = np.uint64((1 << 61) - 1)
+_POINT = 0x0B7F3A5D9C61E482 % ((1 << 61) - 1)
+_BLOCK = 1 << 18
+_tables = {k: np.ones(1, np.uint64) for k in (1, -1)}
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """The same modulo 2**61 - 1, at most seven above it."""
+    return (x & _PRIME) + (x >> np.uint64(61))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _folded(x)
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it, in halves of 31 and 30 bits."""
+    half, rest = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    al, ah, bl, bh = a & half, a >> np.uint64(31), b & half, b >> np.uint64(31)
+    cross = al * bh + ah * bl
+    return _reduced((ah * bh << np.uint64(1)) + (cross >> np.uint64(30)) + ((cross & rest) << np.uint64(31)) + al * bl)
+
+
+def _point_powers(n: int, sign: int) -> np.ndarray:
+    """_POINT**(sign * i) modulo 2**61 - 1, for i up to n."""
+    table = _tables[sign]
+    while len(table) <= n:
+        step = np.uint64(pow(_POINT, sign * len(table), int(_PRIME)))
+        table = _tables[sign] = np.concatenate([table, _times(table, step)])
+    return table
+
+
+class IdentityHash:
+    """Hash of any byte range of ``data``, by which equal bytes are recognised.
+
+    The bytes are the coefficients of a polynomial, taken modulo the prime
+    2**61 - 1 at one point: two ranges of n bytes agree for at most n of 2**61
+    points, whatever the bytes. The range's size enters the hash as well.
+    """
+
+    def __init__(self, data: np.ndarray):
+        power = _point_powers(len(data), 1)
+        self.inverse = _point_powers(len(data), -1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        half = np.uint64((1 << 31) - 1)
+        for k in range(0, len(data), _BLOCK):  # sums of up to 2**22 products of 9 and 31 bits fit 64 bits
+            byte = data[k : k + _BLOCK].astype(np.uint64) + np.uint64(1)
+            each = power[k : k + len(byte)]
+            low, high = (byte * (each & half)).cumsum(dtype=np.uint64), _folded((byte * (each >> np.uint64(31))).cumsum(dtype=np.uint64))
+            # times 2**31 is a rotation of 61 bits
+            high = ((high << np.uint64(31)) & _PRIME) + (high >> np.uint64(30))
+            self.sums[k + 1 : k + 1 + len(byte)] = _reduced(_folded(low) + high + self.sums[k])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = _times(_reduced(self.sums[end] + (_PRIME - self.sums[start])), self.inverse[start])
+        with np.errstate(over="ignore"):
+            return mix(h + mix((end - start).astype(np.uint64)))
+
+
 def chunks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows of a text column in runs of about ``limit`` bytes.
 

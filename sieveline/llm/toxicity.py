@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import _KIND, in_split, training_rows
-from .textbytes import RangeHash, chunks, runs
+from .textbytes import IdentityHash, RangeHash, chunks, runs
 
 #: Labelled rows that a model is fitted on at most: a bounded sample, by hash of the id.
 SAMPLE_ROWS = 4000
@@ -49,7 +49,7 @@ def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of letters and digits): starts, ends, rows, hashes."""
     starts, ends, rows = runs(_KIND[data] == 1, offsets)
-    return starts, ends, rows, RangeHash(data)(starts, ends)
+    return starts, ends, rows, IdentityHash(data)(starts, ends)
 
 
 def bags(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
