@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbytes import RangeHash, chunks, mix
+from .textbytes import chunks
 
 SPACE = "▁"
 #: Marks a symbol outside the vocabulary; it never merges and costs its UTF-8 bytes.
 OUTSIDE = "\0outside"
 #: Longer stretches without a synchronising symbol are cut into chunks of this many symbols.
 CHUNK = 1024
-#: Words remembered, and transitions compiled, by a Python worker before it starts afresh.
-REMEMBERED, COMPILED = 1_000_000, 500_000
+#: Stretches remembered, bytes of them, and transitions compiled, by a Python worker before it starts afresh.
+REMEMBERED, REMEMBERED_BYTES, COMPILED = 1_000_000, 64 << 20, 500_000
 
 
 class Transducer:
@@ -37,9 +37,8 @@ class Transducer:
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.prefixes = {t[:k] for t in scores for k in range(1, len(t) + 1)} | {""}
-        self.single = cache(self._single)
-        self.apart = cache(self._apart)
-        self.suffix = cache(self._suffix)
+        # least recently used results go beyond the bound
+        self.single, self.apart, self.suffix = (lru_cache(COMPILED)(f) for f in (self._single, self._apart, self._suffix))
         self.reset()
 
     def reset(self) -> None:
@@ -110,34 +109,55 @@ class Transducer:
 
 
 class StateMap:
-    """What a chunk does to each entry state: exit state and count; worked out for the states that occur."""
+    """What a stretch of text does to entry states: exit state and change of the count for each.
 
-    def __init__(self, fst: Transducer, text: str):
-        self.fst, self.text, self.known = fst, text, {}
+    ``entries`` are worked out at once, before it is known which state the text
+    before the stretch leads to; a state that is not among them is added when
+    it occurs. The map of two neighbouring stretches is their composition.
+    """
+
+    def __init__(self, run, entries: Iterable[dict]):
+        self.run, self.known = run, {}
+        for state in entries:
+            self(state)
 
     def __call__(self, state: dict) -> tuple[dict, int]:
         if id(state) not in self.known:  # states live as long as the transducer
-            self.known[id(state)] = self.fst.run(state, self.text)
-        return self.known[id(state)]
+            self.known[id(state)] = (state, *self.run(state))
+        return self.known[id(state)][1:]
 
+    def then(self, other: StateMap) -> StateMap:
+        """This map, then the other's: associative, so neighbours combine in any order."""
 
-class Composed:
-    """Two maps one after the other; composition is associative, so maps combine in a balanced tree."""
+        def run(state: dict) -> tuple[dict, int]:
+            middle, x = self(state)
+            end, y = other(middle)
+            return end, x + y
 
-    def __init__(self, a, b):
-        self.a, self.b = a, b
+        return StateMap(run, [entry for entry, _, _ in self.known.values()])
 
-    def __call__(self, state: dict) -> tuple[dict, int]:
-        middle, x = self.a(state)
-        end, y = self.b(middle)
-        return end, x + y
 
+def entry_states(fst: Transducer, before: str, reach: int) -> list[dict]:
+    """States in which a chunk may be entered: those that the text before it leads to from the start state, begun at each of its last ``reach`` symbols."""
+    found = {}
+    for k in range(max(0, len(before) - reach), len(before)):
+        state, _ = fst.run(fst.start, before[k:])
+        found[id(state)] = state
+    return list(found.values())
 
-def compose(maps: list):
-    """All maps in order, as a balanced tree: the up-sweep of a parallel prefix scan."""
-    while len(maps) > 1:
-        maps = [Composed(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
+
+def scan(maps: list[StateMap]) -> list[StateMap]:
+    """The maps of all prefixes, by a work-efficient parallel scan.
+
+    Neighbours are combined, the half as many combined ones are scanned, and
+    every other prefix is one of those and one map more; all compositions of a
+    level are independent of one another.
+    """
+    if len(maps) < 2:
+        return maps
+    pairs = [maps[i].then(maps[i + 1]) for i in range(0, len(maps) - 1, 2)]
+    done = scan(pairs)
+    return [maps[0]] + [done[i // 2] if i % 2 else done[i // 2 - 1].then(maps[i]) for i in range(1, len(maps))]
 
 
 class TokenCounter:
@@ -146,8 +166,11 @@ class TokenCounter:
     Two neighbouring symbols that stand together in no token, a space symbol
     after another one above all, synchronise the transducer: no token crosses
     them, so a stretch between such places maps every entry state alike and its
-    count is a constant; over constant maps the prefix scan is a running sum. A stretch beyond CHUNK symbols is cut, and its
-    chunks' state maps are composed.
+    count is a constant; over constant maps the prefix scan is a running sum. A stretch beyond CHUNK symbols is cut; its
+    chunks' state maps are worked out for the states that may enter them, and combined by a prefix scan.
+
+    Counts of stretches are remembered by their bytes: short ones as a number
+    that holds the bytes themselves, longer ones as they are.
     """
 
     def __init__(self, path: str):
@@ -172,16 +195,28 @@ class TokenCounter:
                 if a < 128 and b < 128:
                     self.together[a, b] = True
         self.fst = Transducer(scores)
-        self.known: dict[int, int] = {}
+        self.reach = max(map(len, scores), default=1)
+        self.short: dict[int, int] = {}
+        self.long: dict[tuple[bool, bytes], int] = {}
+        self.held = 0
+
+    def chunk_maps(self, text: str) -> list[StateMap]:
+        """A state map for every chunk of a stretch; equal chunks after equal symbols share one."""
+        maps, made = [], {}
+        for i in range(0, len(text), CHUNK):
+            chunk, before = text[i : i + CHUNK], text[max(0, i - 2 * self.reach) : i]
+            if (before, chunk) not in made:
+                entries = entry_states(self.fst, before, self.reach) if i else [self.fst.start]
+                made[before, chunk] = StateMap(partial(self.fst.run, text=chunk), entries)
+            maps.append(made[before, chunk])
+        return maps
 
     def count_unit(self, unit: str, first: bool) -> int:
         """Tokens of one stretch; ``first`` puts the model's own space symbol before it."""
         text = (SPACE if first else "") + unit.replace(" ", SPACE)
         if len(text) <= CHUNK:
             return self.fst.run(self.fst.start, text)[1]
-        parts = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
-        maps = {p: StateMap(self.fst, p) for p in set(parts)}
-        return compose([maps[p] for p in parts])(self.fst.start)[1]
+        return scan(self.chunk_maps(text))[-1](self.fst.start)[1]
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text, given the texts' UTF-8 bytes and offsets."""
@@ -197,20 +232,35 @@ class TokenCounter:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
         first = edge[starts]  # the model's own space symbol comes before it
-        key = RangeHash(data)(starts, ends)
-        key = np.where(first, mix(key + np.uint64(1)), key)
-        distinct, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        values = np.empty(len(distinct), np.int64)
-        known, raw = self.known, data.tobytes()
-        for i, (h, j) in enumerate(zip(distinct.tolist(), at.tolist(), strict=True)):
-            c = known.get(h)
-            if c is None:
-                c = known[h] = self.count_unit(raw[starts[j] : ends[j]].decode(), bool(first[j]))
-            values[i] = c
-        sums = np.concatenate([[0], np.cumsum(values[inverse])])
+        size = ends - starts
+        values, raw = np.empty(len(starts), np.int64), data.tobytes()
+        # up to seven bytes: the bytes, their number and the flag are one 64-bit number
+        brief = size <= 7
+        at = starts[brief]
+        word = np.ndarray(n, "<u8", raw + bytes(8), strides=(1,))[at]
+        bits = (size[brief] * 8).astype(np.uint64)
+        key = (word & ((np.uint64(1) << bits) - np.uint64(1))) | (bits << np.uint64(53)) | (first[brief].astype(np.uint64) << np.uint64(60))
+        distinct, where, inverse = np.unique(key, return_index=True, return_inverse=True)
+        counts = np.empty(len(distinct), np.int64)
+        for i, (k, a, j) in enumerate(zip(distinct.tolist(), at[where].tolist(), (size[brief][where]).tolist(), strict=True)):
+            if (c := self.short.get(k)) is None:
+                c = self.short[k] = self.count_unit(raw[a : a + j].decode(), bool(k >> 60))
+            counts[i] = c
+        values[brief] = counts[inverse]
+        found, known = [], self.long
+        for a, b, f in zip(starts[~brief].tolist(), ends[~brief].tolist(), first[~brief].tolist(), strict=True):
+            unit = raw[a:b]
+            if (c := known.get((f, unit))) is None:
+                c = known[f, unit] = self.count_unit(unit.decode(), f)
+                self.held += len(unit)
+            found.append(c)
+        values[~brief] = found
+        sums = np.concatenate([[0], np.cumsum(values)])
         where = np.searchsorted(starts, offsets)
-        if len(known) > REMEMBERED:
+        if len(self.short) + len(known) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.short.clear()
             known.clear()
+            self.held = 0
         if self.fst.size > COMPILED:
             self.fst.reset()
         return sums[where[1:]] - sums[where[:-1]]
