@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe, components, decontam, jaccard, kdtree, quality, registry, suffix_dedup, token_count, toxicity, url_filter, warc
+from sieveline.llm import bpe, components, decontam, jaccard, kdtree, quality, registry, suffix_dedup, textbytes, token_count, toxicity, url_filter, warc
 from sieveline.llm.common import shared_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -66,13 +68,58 @@ def test_token_counts_equal_library(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 100), t
 
 
-def test_chunk_maps_compose():
+def thue_morse(a: str, b: str, n: int) -> str:
+    """Two letters in an order on which hashes modulo a power of two collide with its complement's."""
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+TWINS = [thue_morse(*pair, n) for x, y in ("in", "er", "es", "ab") for n in (1024, 2048) for pair in ((x, y), (y, x))]
+
+
+def test_token_counts_of_twins(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = {r.doc_id: r.n_tokens for r in token_count.token_counts(docs_of(spark, list(enumerate(TWINS))).coalesce(1), MODEL).collect()}
+    assert got == {i: len(sp.encode(t)) for i, t in enumerate(TWINS)}
+
+
+def test_twins_are_different_texts(spark):
+    df = docs_of(spark, list(enumerate(TWINS)))
+    assert all(r.component_id == r.doc_id for r in jaccard.jaccard_components(df).collect())
+    want = brute_repeats({i: t.encode() for i, t in enumerate(TWINS)}, 400)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, 400).collect()} == want
+
+
+def test_identity_hash():
+    data = np.frombuffer("".join(TWINS).encode() * 60, np.uint8)  # over several blocks
+    h = textbytes.IdentityHash(data)
+    n = len("".join(TWINS))
+    start = np.cumsum([0] + [len(t) for t in TWINS])[:-1]
+    size = np.array([len(t) for t in TWINS])
+    once = h(start, start + size)
+    assert len(set(once.tolist())) == len(TWINS) and (h(start + 59 * n, start + 59 * n + size) == once).all()
+    p = 2**61 - 1
+    want = 0
+    for i, c in enumerate(data[:3000].tolist()):
+        want = (want + (c + 1) * pow(textbytes._POINT, i, p)) % p
+    assert int(h.sums[3000]) == want
+
+
+@pytest.mark.parametrize("chunk", [5, 97, 1024])
+def test_chunk_maps_compose(monkeypatch, chunk):
+    monkeypatch.setattr(token_count, "CHUNK", chunk)
     c = token_count.TokenCounter(MODEL)
-    text = "abcdefghij" * 700
-    whole = c.fst.run(c.fst.start, text)
-    parts = [token_count.StateMap(c.fst, text[i : i + 97]) for i in range(0, len(text), 97)]
-    end, n = token_count.compose(parts)(c.fst.start)
-    assert n == whole[1] and end is whole[0]
+    for text in ("abcdefghij" * 700, thue_morse("in", "er", 3000), "the" * 900, "".join(rnd.choice("theinrsa") for _ in range(4000))):
+        maps = c.chunk_maps(text)
+        prefixes = token_count.scan(maps)
+        state, n = c.fst.start, 0
+        for i in range(0, len(text), chunk):
+            state, more = c.fst.run(state, text[i : i + chunk])
+            n += more
+            assert prefixes[i // chunk](c.fst.start) == (state, n)
+        # entry states were known before the scan
+        assert sum(len(m.known) for m in maps) >= len(maps)
 
 
 def test_warc_chain_rejects_magic_in_payloads(spark):
@@ -145,6 +192,32 @@ def test_top_k_shards(spark):
     assert not got and kdtree.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_beyond_64_bits(spark):
+    vecs = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 5.0]), (3, [1e-3, 2.0]), (4, [0.0, -3e16]), (20, [1e308, 1e308]), (40, [1e9, 1.0]), (5, [1.0])]
+    got = {}
+    for r in kdtree.top_k(spark.createDataFrame(vecs, "vec_id long, embedding array<double>"), 3, 64, 20, shard_rows=2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    q = {i: [max(-(10**300), min(10**300, math.floor(64 * Fraction(x)))) for x in v] for i, v in vecs}
+    most = 2**63 - 1
+    for i in (0, 20, 40):
+        score = {j: max(-most, min(most, sum(a * b for a, b in zip(q[i], q[j], strict=True)))) for j in q if j not in (i, 5)}
+        want = sorted((-s, j) for j, s in score.items())[:3]
+        assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(want)]
+
+
+def test_tree_opens_few_nodes():
+    rng = np.random.default_rng(4)
+    points = np.floor(64 * rng.normal(size=(4000, 3)))
+    tree, opened = kdtree.KDTree(np.arange(4000), points, 16), []
+    scan = tree._scan
+    tree._scan = lambda q, rows, *rest: (opened.append(len(q)), scan(q, rows, *rest))
+    queries = points[:50]
+    scores, ids = tree.search(np.arange(50), queries, 5, np.full(50, -np.inf), np.full(50, 2**62))
+    every = queries @ points.T
+    every[np.arange(50), np.arange(50)] = -np.inf
+    assert (scores == -np.sort(-every, 1)[:, :5]).all() and sum(opened) < 0.2 * 50 * (tree.child < 0).sum()
+
+
 def brute_repeats(texts: dict, length: int) -> dict:
     c = Counter(t[i : i + length] for t in texts.values() for i in range(len(t) - length + 1))
     out = {}
