@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ WINDOW = 8
 LITERALS = 4
 #: Windows in line that make a document contaminated, or all of an item's.
 HITS = 6
-#: Benchmark windows up to which they are broadcast; beyond, both sides are shuffled.
+#: Rows (benchmark windows, or ids of texts that were hit) up to which they are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 #: Unit words, which count as units right after a number.
@@ -63,35 +64,61 @@ def templates(toks: Column) -> Column:
     return F.transform(toks, one)
 
 
-def _hashes(words: Column, width: int) -> Column:
-    """A hash for every window of ``width`` templates, given each template's hash."""
-    n = F.size(words)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<bigint>"))
-
-
 def _words(toks: Column) -> Column:
     """Each token in lower case; null for marks."""
     return F.transform(toks, lambda x: F.when(~_mark(x), F.lower(x)))
 
 
-def _templated(src: DataFrame, keys: list[str], kinds: Callable[[Column], Column] = templates) -> DataFrame:
+#: How a text is read: as templates, or word by word. The place in this tuple is a window's ``kind``.
+READINGS: tuple[Callable[[Column], Column], ...] = (templates, _words)
+
+
+def _read(src: DataFrame, keys: list[str], kind: int) -> DataFrame:
     """``keys, _w``: tokens and templates. Each step is a column of its own, so that none is worked out again for every token."""
     toks = src.select(*keys, tokens(F.col("text")).alias("_k"))
-    both = toks.select(*keys, F.arrays_zip(F.col("_k").alias("v"), kinds(F.col("_k")).alias("t")).alias("_z"))
+    both = toks.select(*keys, F.arrays_zip(F.col("_k").alias("v"), READINGS[kind](F.col("_k")).alias("t")).alias("_z"))
     return both.select(*keys, F.filter("_z", lambda x: x["t"].isNotNull()).alias("_w"))
 
 
-def _windows(src: DataFrame, keys: list[str], width: int, kinds: Callable[[Column], Column] = templates) -> DataFrame:
-    """``keys, at, t, v``: templates and raw values of every window, from frames ``keys, text``."""
-    both = _templated(src, keys, kinds)
+def _each(size: Column, width: int, of: Callable[[Column], Column]) -> Column:
+    """``of`` every window's first place, counted from 1; null where there is none."""
+    return F.when(size >= width, F.transform(F.sequence(F.lit(1), size - (width - 1)), of))
+
+
+def _hash(t: Column) -> Column:
+    return F.xxhash64(F.transform(t, lambda x: F.xxhash64(x)))
+
+
+def _probes(src: DataFrame, kind: int, widths: list[int]) -> DataFrame:
+    """``rid, kind, width, h``: the hash of every window of every width, in one pass over the texts."""
+    words = _read(src, ["rid"], kind).select("rid", F.transform("_w", lambda x: F.xxhash64(x["t"])).alias("_w"))
+
+    def one(w: int) -> Column:
+        return F.coalesce(_each(F.size("_w"), w, lambda i: F.xxhash64(F.slice("_w", i, w))), F.array().cast("array<bigint>"))
+
+    def tagged(w: int) -> Column:
+        return F.transform(one(w), lambda h: F.struct(F.lit(w).alias("width"), h.alias("h")))
+
+    if len(widths) == 1:
+        return words.select("rid", F.lit(kind).alias("kind"), F.lit(widths[0]).alias("width"), F.explode(one(widths[0])).alias("h"))
+    return words.select("rid", F.explode(F.concat(*map(tagged, widths))).alias("_x")).select("rid", F.lit(kind).alias("kind"), "_x.width", "_x.h")
+
+
+def _windows(src: DataFrame, keys: list[str], kind: int, widths: list[int]) -> DataFrame:
+    """``keys, kind, width, at, t, v``: templates and raw values of every window, from frames ``keys, text``."""
+    both = _read(src, keys, kind)
     # (transform, not a field of the array: that would be extracted again for every window)
     both = both.select(*keys, F.transform("_w", lambda x: x["t"]).alias("_t"), F.transform("_w", lambda x: x["v"]).alias("_v"))
-    each = F.transform(F.sequence(F.lit(1), F.size("_t") - (width - 1)), lambda i: F.struct(i.alias("at"), F.slice("_t", i, width).alias("t"), F.slice("_v", i, width).alias("v")))
-    return both.select(*keys, F.explode(F.when(F.size("_t") >= width, each)).alias("_x")).select(*keys, "_x.at", "_x.t", "_x.v")
 
+    def every(w: int) -> Column:
+        return _each(F.size("_t"), w, lambda i: F.struct(F.lit(kind).alias("kind"), F.lit(w).alias("width"), i.alias("at"), F.slice("_t", i, w).alias("t"), F.slice("_v", i, w).alias("v")))
+
+    some = F.flatten(F.filter(F.array(*map(every, widths)), lambda x: x.isNotNull()))
+    return both.select(*keys, F.explode(some).alias("_x")).select(*keys, "_x.kind", "_x.width", "_x.at", "_x.t", "_x.v")
 
-def _telling(t: Column, width: int) -> Column:
-    return F.size(F.filter(t, lambda x: ~x.isin(NUM, UNIT, NAME))) >= max(1, min(LITERALS, width - width // 4))
+
+def _telling(t: Column, width: Column) -> Column:
+    return F.size(F.filter(t, lambda x: ~x.isin(NUM, UNIT, NAME))) >= F.greatest(F.lit(1), F.least(F.lit(LITERALS), width - F.floor(width / 4)))
 
 
 def _forms(windows: DataFrame, hits: int) -> DataFrame:
@@ -99,8 +126,8 @@ def _forms(windows: DataFrame, hits: int) -> DataFrame:
 
     Only for items all of whose windows have to match: of others, enough match without the first.
     """
-    few = windows.groupBy("item_id").agg((F.countDistinct("at") <= hits).alias("_few"))
-    windows = windows.join(few, "item_id")
+    few = windows.groupBy("item_id", "text").agg((F.countDistinct("at") <= hits).alias("_few"))
+    windows = windows.join(few, ["item_id", "text"])
     x, t, rest = F.get("v", F.lit(0)), F.get("t", F.lit(0)), F.slice("t", 2, 1 << 30)
     low = F.lower(x)
     first = F.col("_few") & (F.col("at") == 1) & ~t.isin(NUM, UNIT, NAME)
@@ -109,46 +136,60 @@ def _forms(windows: DataFrame, hits: int) -> DataFrame:
     return windows.withColumn("f", F.explode(F.filter(forms, lambda y: y.isNotNull())))
 
 
+def _index(benchmark: DataFrame, item: str, item_text: str, width: int, hits: int) -> DataFrame:
+    """``item_id, kind, width, at, t, v, f, h``: the benchmark's windows, written to the shared folder.
+
+    An item's windows are ``width`` long, or as long as the item. Items whose
+    windows say too little as templates have theirs word by word.
+    """
+    items = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("item_id"), F.col(item_text).alias("text")).distinct()
+    keys = ["item_id", "text"]
+    size = _read(items, keys, 0).select(*keys, F.least(F.size("_w"), F.lit(width)).alias("_n")).where("_n > 0")
+    widths = sorted(r[0] for r in size.select("_n").distinct().collect())  # at most ``width`` numbers
+    if not widths:
+        widths = [width]
+    mine = lambda kind: _windows(items, keys, kind, widths).join(size, keys).where("width = _n").drop("_n")
+    told = mine(0).where(_telling(F.col("t"), F.col("width")))
+    plain = mine(1).join(told.select(*keys).distinct(), keys, "left_anti")
+    named = _forms(told, hits).unionByName(plain.withColumn("f", F.col("t")), allowMissingColumns=True)
+    return cut(named.select("item_id", "kind", "width", "at", "t", "v", "f", _hash(F.col("f")).alias("h")), "benchmark-windows")
+
+
 def _held(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, width: int, hits: int) -> DataFrame:
     """``rid, doc_id, item_id, n, n_windows``: the texts that hold items; ``rid`` is the hash of id and text."""
-    items = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("item_id"), F.col(item_text).alias("text")).distinct()
-    sized = items.join(_templated(items, ["item_id", "text"]).select("item_id", "text", F.size("_w").alias("_n")), ["item_id", "text"]).where("_n > 0")
-    # sizes of windows: one, and for shorter items their own
-    widths = sorted(r[0] for r in sized.select(F.least("_n", F.lit(width))).distinct().collect())
     src = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     src = src.withColumn("rid", F.xxhash64("doc_id", "text"))
-    kinds = f"rid bigint, doc_id {docs.schema[key].dataType.simpleString()}, item_id {benchmark.schema[item].dataType.simpleString()}, n bigint, n_windows bigint"
-    out = docs.sparkSession.createDataFrame([], kinds)
-    for w in widths:
-        mine = sized.where(F.least("_n", F.lit(width)) == w).select("item_id", "text")
-        told = _windows(mine, ["item_id", "text"], w).where(_telling(F.col("t"), w))
-        plain = mine.join(told.select("item_id", "text").distinct(), ["item_id", "text"], "left_anti")
-        # items whose windows say too little as templates are sought word by word
-        for named, of in ((_forms(told, hits), templates), (_windows(plain, ["item_id"], w, _words).withColumn("f", F.col("t")), _words)):
-            index = cut(named.select("item_id", "at", "t", "v", "f", F.xxhash64(F.transform("f", lambda x: F.xxhash64(x))).alias("h")), "benchmark-windows")
-            rows = index.count()
-            if not rows:
-                continue
-            hint = F.broadcast if rows <= BROADCAST_ROWS else (lambda x: x)
-            # first pass: hashes only
-            words = _templated(src, ["rid"], of).select("rid", F.transform("_w", lambda x: F.xxhash64(x["t"])).alias("_w"))
-            probes = words.select("rid", F.explode(_hashes(F.col("_w"), w)).alias("h"))
-            found = cut(probes.join(hint(index.select("h").distinct()), "h").select("rid").distinct(), "decontam-hits")
-            # second pass: windows with their values, of the texts that were hit
-            # (the hits grow with the input, so they are joined by a shuffle at every size)
-            texts = src.join(found.hint("merge"), "rid", "left_semi").dropDuplicates(["rid"])
-            mine_w = _windows(texts, ["rid", "doc_id"], w, of).withColumn("h", F.xxhash64(F.transform("t", lambda x: F.xxhash64(x))))
-            pairs = mine_w.join(hint(index.select("item_id", "h", F.col("at").alias("item_at"), "f", F.col("t").alias("item_t"), F.col("v").alias("item_v"))), "h").where("t = f")
-            # an item's first word stays that word where the document takes it for a name or a unit
-            pairs = pairs.where((F.get("t", F.lit(0)) == F.get("item_t", F.lit(0))) | (F.lower(F.get("v", F.lit(0))) == F.get("item_t", F.lit(0))))
-            pairs = cut(pairs.select("rid", "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("line"), "item_at", F.col("item_t").alias("t"), "v", "item_v"), "decontam-pairs")
-            slots = pairs.select("rid", "item_id", "line", F.explode(F.arrays_zip("t", "v", "item_v")).alias("s")).where(F.col("s.t").isin(NUM, UNIT, NAME))
-            odd = slots.groupBy("rid", "item_id", "line", "s.t", "s.item_v").agg(F.min("s.v").alias("a"), F.max("s.v").alias("b")).where("a <> b").select("rid", "item_id", "line").distinct()
-            total = index.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
-            lines = pairs.join(odd, ["rid", "item_id", "line"], "left_anti").groupBy("rid", "doc_id", "item_id", "line").agg(F.countDistinct("item_at").alias("n"))
-            good = lines.join(hint(total), "item_id").where(F.col("n") >= F.least(F.col("n_windows"), F.lit(hits)))
-            out = out.union(good.select("rid", "doc_id", "item_id", "n", "n_windows"))
-    return out
+    index = _index(benchmark, item, item_text, width, hits)
+    sorts: dict[int, list[int]] = {}
+    rows = 0
+    for kind, w, n in sorted(index.groupBy("kind", "width").count().collect()):  # at most 2 * ``width`` rows
+        sorts.setdefault(kind, []).append(w)
+        rows += n
+    if not rows:
+        kinds = f"rid bigint, doc_id {docs.schema[key].dataType.simpleString()}, item_id {benchmark.schema[item].dataType.simpleString()}, n bigint, n_windows bigint"
+        return docs.sparkSession.createDataFrame([], kinds)
+    hint = F.broadcast if rows <= BROADCAST_ROWS else (lambda x: x)
+    join = ["kind", "width", "h"]
+    # first pass: hashes only
+    known = hint(index.select(*join).distinct())
+    found = reduce(DataFrame.union, [_probes(src, kind, widths).join(known, join).select("rid") for kind, widths in sorts.items()])
+    found = cut(found.distinct(), "decontam-hits")
+    # second pass: windows with their values, of the texts that were hit; no text is
+    # shuffled while the hits' ids are few enough to be broadcast
+    few = found.count() <= BROADCAST_ROWS
+    texts = src.join(F.broadcast(found) if few else found.hint("merge"), "rid", "left_semi").dropDuplicates(["rid"])
+    mine = reduce(DataFrame.union, [_windows(texts, ["rid", "doc_id"], kind, widths) for kind, widths in sorts.items()]).withColumn("h", _hash(F.col("t")))
+    pairs = mine.join(hint(index.select("item_id", *join, F.col("at").alias("item_at"), "f", F.col("t").alias("item_t"), F.col("v").alias("item_v"))), join).where("t = f")
+    # an item's first word stays that word where the document takes it for a name or a unit
+    pairs = pairs.where((F.get("t", F.lit(0)) == F.get("item_t", F.lit(0))) | (F.lower(F.get("v", F.lit(0))) == F.get("item_t", F.lit(0))))
+    line = ["rid", "item_id", "kind", "width", "line"]
+    pairs = cut(pairs.select("rid", "doc_id", "item_id", "kind", "width", (F.col("at") - F.col("item_at")).alias("line"), "item_at", F.col("item_t").alias("t"), "v", "item_v"), "decontam-pairs")
+    slots = pairs.select(*line, F.explode(F.arrays_zip("t", "v", "item_v")).alias("s")).where(F.col("s.t").isin(NUM, UNIT, NAME))
+    odd = slots.groupBy(*line, "s.t", "s.item_v").agg(F.min("s.v").alias("a"), F.max("s.v").alias("b")).where("a <> b").select(*line).distinct()
+    total = index.groupBy("item_id", "kind", "width").agg(F.countDistinct("at").alias("n_windows"))
+    lines = pairs.join(odd, line, "left_anti").groupBy("doc_id", *line).agg(F.countDistinct("item_at").alias("n"))
+    good = lines.join(hint(total), ["item_id", "kind", "width"]).where(F.col("n") >= F.least(F.col("n_windows"), F.lit(hits)))
+    return good.select("rid", "doc_id", "item_id", "n", "n_windows")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, hits: int = HITS) -> DataFrame:
@@ -166,9 +207,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     in the document makes it a name or a unit. ``n_matched`` is the largest
     number of windows in line.
 
-    Every window of every document is probed, in one pass without a shuffle
-    while the benchmark's windows are at most ``BROADCAST_ROWS``; only texts
-    with a hit are read a second time. Null texts and items match nothing, an
+    Every window of every document is probed, in one pass for each reading that
+    the benchmark needs, without a shuffle while its windows are at most
+    ``BROADCAST_ROWS``. The table is then read again for the texts that were
+    hit, filtered by their ids: broadcast while they are at most
+    ``BROADCAST_ROWS``, joined by a shuffle beyond. Null texts and items match nothing, an
     empty table gives an empty result, repeated rows count once, other columns
     are not read.
     """
