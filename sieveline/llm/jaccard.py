@@ -13,8 +13,8 @@ from .common import cut, drop_cut
 from .components import connected_components
 from .textbytes import IdentityHash, chunks, mix, runs
 
-#: Class representatives that one verification task compares at most with one another.
-BLOCK = 8192
+#: Class representatives, and shingles of theirs, of a block; a verification task holds two blocks at most.
+BLOCK, BLOCK_SHINGLES = 8192, 4_000_000
 #: Members that a signature needs, or it is left out where a set can spare it.
 FEW = 2
 #: Signatures that a task gathers before it deals them out, and that are merged at a time.
@@ -185,17 +185,18 @@ def link_groups(sets: np.ndarray, cuts: np.ndarray, num: int, den: int, side: np
 
 
 def _fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, a, b``: number of distinct shingles and the set's two hashes."""
+    """``doc_id, rid, n, a, b``: a row's key, number of distinct shingles and the set's two hashes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in chunks(batch.column(1)):
+            for first, last, data, offsets in chunks(batch.column(2)):
                 sets, cuts = shingle_sets(data, offsets, width)
                 a, b = set_keys(sets, cuts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(cuts).astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "n", "a", "b"])
+                own = [batch.column(k).slice(first, last - first) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(cuts).astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "rid", "n", "a", "b"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n bigint, a bigint, b bigint")
+    return docs.select("doc_id", "rid", "text").mapInArrow(run, f"doc_id {kind}, rid bigint, n bigint, a bigint, b bigint")
 
 
 def _packed(s: np.ndarray, a: np.ndarray, buckets: int) -> tuple[list, list, list]:
@@ -417,8 +418,8 @@ def _same_signature(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield edges(merge())
 
 
-def _verified(rows: DataFrame, width: int, num: int, den: int, kind: str) -> DataFrame:
-    """Rows ``task, side, doc_id, n, held``, sorted by task, to ``task, doc_id, root``: links within each task.
+def _verified(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Rows ``task, side, a, n, held``, sorted by task, to ``task, a, root``: links within each task.
 
     ``held`` is a text, or an array of the members that other sets have too.
     """
@@ -439,7 +440,7 @@ def _verified(rows: DataFrame, width: int, num: int, den: int, kind: str) -> Dat
         root: dict[int, int] = {}
         for l, i in zip(label.tolist(), ids, strict=True):
             root[l] = min(root.get(l, i), i)
-        return pa.RecordBatch.from_arrays([pa.array([task] * len(ids), pa.int64()), pa.array(ids), pa.array([root[l] for l in label.tolist()])], names=["task", "doc_id", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([task] * len(ids), ids, [root[l] for l in label.tolist()])], names=["task", "a", "root"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, sides, ids, true, held = None, [], [], [], []
@@ -457,42 +458,48 @@ def _verified(rows: DataFrame, width: int, num: int, den: int, kind: str) -> Dat
         if ids:
             yield solve(task, sides, ids, true, held)
 
-    return rows.mapInArrow(run, f"task bigint, doc_id {kind}, root {kind}")
+    return rows.mapInArrow(run, "task bigint, a bigint, root bigint")
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, *, key: str = "doc_id", text: str = "text", block: int = BLOCK, thin: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, *, key: str = "doc_id", text: str = "text", block: int = BLOCK, thin: bool = False, rows: bool = False) -> DataFrame:
     """Connected components of the exact Jaccard join: ``doc_id, n_shingles, component_id``.
 
     Two texts link when den * |intersection| >= num * |union| of their sets of
-    distinct ``width``-word shingles (compared as 64-bit hashes). A component is
+    distinct ``width``-word shingles (as 64-bit hashes of their words' hashes, which
+    are polynomials modulo the prime 2**61 - 1). A component is
     named by its smallest id.
 
     Texts with equal sets are one class, signed once. Sets that share a PartEnum
     signature are candidates, strung together in chains; the chains' components
     hold every link. Each component's representatives are compared exactly:
-    up to ``block`` in one task, more in tasks of two blocks each, so that no
-    task holds an unbounded group; their results join in another components
-    run. With ``thin``, for lower thresholds, members that only one set has are
+    up to ``block``, and ``BLOCK_SHINGLES`` shingles, in one task, more in tasks
+    of two blocks each, so that no task holds an unbounded group, be it of many
+    or of long texts; their results join in another components run. With ``thin``, for lower thresholds, members that only one set has are
     left out first, counted by a packed exchange of all members; a set of which
     less than num / den is left links with nothing, and the others sign and are
     compared without texts (members then are 48 bits of hash and a bucket).
     A larger group is first cut by size, into windows of two neighbouring
     bands, as sets further apart in size cannot be similar. Texts without words, and null texts, have empty sets and link with
     nothing. Null ids share links but never name a component (unless all ids of
-    it are null). Repeated rows are each returned; other columns are not read.
+    it are null). Repeated rows are each returned, and rows of one id with
+    different texts are documents of their own; other columns are not read. With
+    ``rows``, also ``rid``, a row's key (the hash of its id and text, a null text
+    as an empty one), and ``root``, which names its component whatever the ids
+    (null for an empty set).
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     prints = cut(_fingerprints(docs, width), "fingerprints")
     # about a million shingles a bucket, whatever the input's size
     total = prints.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000 + 1)
-    classes = prints.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
+    # a class is known by ``a``; ``rep`` is its smallest id, ``rid`` a row that has its text
+    classes = prints.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"))
     if thin:
-        rows = _new_sets(docs, width, lambda sets: _members(sets, buckets), "bucket int, entries binary, ids binary")
-        pairs = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_recurring, "a bigint, x bigint")
+        members = _new_sets(docs, width, lambda sets: _members(sets, buckets), "bucket int, entries binary, ids binary")
+        pairs = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_recurring, "a bigint, x bigint")
         left = pairs.repartition("a").sortWithinPartitions("a").mapInArrow(_by_set, "a bigint, x array<bigint>")
-        left = cut(left.join(classes, "a").where(F.col("rep").isNotNull() & (F.size("x") * den >= F.col("n") * num)).select("a", "n", "rep", "x"), "thinned")
+        left = cut(left.join(classes.select("n", "a"), "a").where(F.size("x") * den >= F.col("n") * num).select("a", "n", "x"), "thinned")
 
         def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             for batch in batches:
@@ -507,37 +514,39 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     spread = spread.repartition("bucket").sortWithinPartitions("bucket")
     edges = cut(spread.mapInArrow(_same_signature, "u bigint, v bigint").distinct(), "candidates")
     groups = cut(connected_components(edges), "candidate-groups")
-    named = cut(classes.join(groups.withColumnRenamed("node", "a"), "a").where("rep is not null").select("rep", "n", "a", "component"), "candidate-classes")
+    named = cut(classes.join(groups.withColumnRenamed("node", "a"), "a").select("rid", "n", "a", "component"), "candidate-classes")
     # similar sets lie in one band of sizes or in neighbours: a group falls into windows of two bands
     ends = F.array(*[F.lit(int(e)) for e in PartEnum(num, den).ends])
     band = F.size(F.filter(ends, lambda e: e < F.col("n")))
-    sized = named.join(named.groupBy("component").agg(F.count("*").alias("all")), "component").where(F.col("all") > 1)
-    small = F.col("all") <= block  # one task, without windows
-    placed = sized.withColumn("window", F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.array(band, band + 1)))).select("rep", "n", "a", "component", "window")
-    sizes = placed.groupBy("component", "window").agg(F.count("*").alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    placed = placed.join(sizes, ["component", "window"]).withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sized = named.join(named.groupBy("component").agg(F.count("*").alias("all"), F.sum("n").alias("members")), "component").where(F.col("all") > 1)
+    small = (F.col("all") <= block) & (F.col("members") <= BLOCK_SHINGLES)  # one task, without windows
+    placed = sized.withColumn("window", F.explode(F.when(small, F.array(F.lit(-1))).otherwise(F.array(band, band + 1)))).select("rid", "n", "a", "component", "window")
+    sizes = placed.groupBy("component", "window").agg(F.count("*").alias("size"), F.sum("n").alias("members")).where("size > 1")
+    blocks = F.least(F.col("size"), F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("members") / BLOCK_SHINGLES))).cast("int")
+    placed = placed.join(sizes, ["component", "window"]).withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("rep"), "n", "a", "side", (F.col("window") >= 0).alias("many"),
+        "rid", "n", "a", "side", (F.col("window") >= 0).alias("many"),
         F.xxhash64("component", "window", F.least("side", "other"), F.greatest("side", "other")).alias("task"),
     )
     tasks = cut(tasks, "candidate-tasks")
     if thin:
-        rows = tasks.hint("merge").join(left.select("a", "x").hint("merge"), "a").select("task", "side", F.col("rep").alias("doc_id"), "n", F.col("x").alias("held"))
+        compared = tasks.hint("merge").join(left.select("a", "x").hint("merge"), "a").select("task", "side", "a", "n", F.col("x").alias("held"))
     else:
-        # texts are shuffled once by id, at every size alike: the ids grow with the input, so neither side is broadcast
-        reps = tasks.select("rep").distinct().hint("merge")
-        once = docs.where("doc_id is not null").join(reps, docs.doc_id == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-        rows = once.join(tasks.hint("merge"), once.doc_id == tasks.rep).select("task", "side", "doc_id", "n", F.col("text").alias("held"))
-    links = cut(_verified(rows.repartition("task").sortWithinPartitions("task", "doc_id"), width, num, den, kind), "links")
+        # texts are shuffled once by row, at every size alike: the rows grow with the input, so neither side is broadcast
+        reps = tasks.select("rid").distinct().hint("merge")
+        once = docs.join(reps, "rid", "left_semi").dropDuplicates(["rid"])
+        compared = once.join(tasks.hint("merge"), "rid").select("task", "side", "a", "n", F.col("text").alias("held"))
+    links = cut(_verified(compared.repartition("task").sortWithinPartitions("task", "a"), width, num, den), "links")
     many = tasks.where("many").select("task").distinct()
-    single = links.join(many, "task", "left_anti").select("doc_id", "root")
-    wide = cut(links.join(many, "task", "left_semi").where("doc_id <> root").select(F.col("doc_id").alias("u"), F.col("root").alias("v")).distinct(), "wide-links")
-    roots = single if wide.isEmpty() else single.union(connected_components(wide).select(F.col("node").alias("doc_id"), F.col("component").alias("root")))
-    final = classes.join(roots.where("doc_id <> root").withColumnRenamed("doc_id", "rep"), "rep", "left").select("n", "a", "b", F.coalesce("root", "rep").alias("class_root"))
+    single = links.join(many, "task", "left_anti").select("a", "root")
+    wide = cut(links.join(many, "task", "left_semi").where("a <> root").select(F.col("a").alias("u"), F.col("root").alias("v")).distinct(), "wide-links")
+    roots = single if wide.isEmpty() else single.union(connected_components(wide).select(F.col("node").alias("a"), F.col("component").alias("root")))
+    linked = classes.join(roots, "a").select("n", "a", "b", "rep", "root")
+    names = linked.groupBy("root").agg(F.min("rep").alias("name"))
+    final = classes.join(linked.join(names, "root").select("n", "a", "b", "name", "root"), ["n", "a", "b"], "left").select("n", "a", "b", F.coalesce("name", "rep").alias("class_root"), F.coalesce("root", "a").alias("root"))
     out = prints.join(final, ["n", "a", "b"], "left")
     drop_cut(edges)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_root", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_root", "doc_id").alias("component_id"), *(["rid", "root"] if rows else []))
 
 
 SQL = r"""
