@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 NONE = np.int32(2**31 - 1)
 #: Pieces remembered by a Python worker before it starts afresh.
 REMEMBERED = 200_000
-#: Pieces up to this many bytes go through the matrices; longer ones are a row of their own.
+#: Up to this many bytes, rows share a matrix; a longer stretch is a matrix of one row.
 WIDEST = 256
 
 
@@ -86,24 +86,46 @@ class BpeCodec:
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.pairs = PairTable(self.ranks)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        # pairs of bytes that stand together in some token; no merge joins any other two
+        self.together = np.zeros((256, 256), bool)
+        for token in self.ranks:
+            row = np.frombuffer(token, np.uint8)
+            self.together[row[:-1], row[1:]] = True
         self.known: dict[str, bytes] = {}
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
+        rows, parts = list(pieces), {}
         buckets: dict[int, list[int]] = {}
+
+        def deal(i: int) -> None:
+            buckets.setdefault(max(4, 1 << (len(rows[i]) - 1).bit_length()), []).append(i)
+
         for i, piece in enumerate(pieces):
             if (whole := self.ranks.get(piece)) is not None:
                 out[i] = whole.to_bytes(4, "little")
-            elif len(piece) > WIDEST:
-                out[i] = self._long(piece)
-            else:
-                buckets.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
-        for width, rows in buckets.items():
+            elif len(piece) <= WIDEST:
+                deal(i)
+            else:  # cut where no merge can reach across; the parts are rows of their own
+                byte = np.frombuffer(piece, np.uint8)
+                edges = [0, *(np.flatnonzero(~self.together[byte[:-1], byte[1:]]) + 1).tolist(), len(piece)]
+                parts[i] = range(len(rows), len(rows) + len(edges) - 1)
+                rows += [piece[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+                out += [b""] * len(parts[i])
+                for k in parts[i]:
+                    deal(k)
+        for width, some in buckets.items():
+            if width > WIDEST:
+                for i in some:
+                    out[i] = self._long(rows[i])
+                continue
             step = max(1, (1 << 20) // width)
-            for k in range(0, len(rows), step):
-                self._matrix(width, rows[k : k + step], pieces, out)
-        return out
+            for k in range(0, len(some), step):
+                self._matrix(width, some[k : k + step], rows, out)
+        for i, those in parts.items():
+            out[i] = b"".join(out[k] for k in those)
+        return out[: len(pieces)]
 
     def _matrix(self, width: int, rows: list[int], pieces: list[bytes], out: list[bytes]) -> None:
         """Merge the leftmost minimum-rank pair of every row, round by round; finished rows leave."""
@@ -138,7 +160,10 @@ class BpeCodec:
             ranks[each[left], pos[left] - 1] = self.pairs(ids[each[left], pos[left] - 1], low[left])
 
     def _long(self, piece: bytes) -> bytes:
-        """One long row: all equal minimum pairs of a round at once where that cannot change the result."""
+        """A matrix of one row, whose rounds merge more than the leftmost minimum-rank pair: also the equal ones that would follow.
+
+        They follow until a merge opens a better pair, with which the next round begins.
+        """
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
         while True:
             ranks = self.pairs(ids[:-1], ids[1:])
@@ -153,10 +178,13 @@ class BpeCodec:
             left[occ == 0] = -1
             right = np.where(occ + 2 < len(ids), ids[np.minimum(occ + 2, len(ids) - 1)], -1)
             merged = np.full(len(occ), low)
-            if min(self.pairs(left, merged).min(), self.pairs(merged, right).min()) < low:
-                occ = occ[:1]  # a merge opens a better pair: one at a time
+            opens = np.flatnonzero(np.minimum(self.pairs(left, merged), self.pairs(merged, right)) < low)
+            if len(opens):
+                occ = occ[: opens[0] + 1]
             ids[occ] = low
-            ids = np.delete(ids, occ + 1)
+            keep = np.ones(len(ids), bool)
+            keep[occ + 1] = False
+            ids = ids[keep]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
