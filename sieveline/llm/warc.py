@@ -66,10 +66,14 @@ def write_archives(records: DataFrame, path: str, records_per_file: int = 20_000
 
 
 class _Open:
-    """A candidate record whose bytes are still arriving; keeps the header, and a digest in place of the payload."""
+    """A candidate record whose bytes are still arriving; keeps the header, and a digest in place of the payload.
 
-    def __init__(self, offset: int):
-        self.offset, self.head, self.fields = offset, b"", None
+    ``whole`` is false for one that no earlier candidate ends at: nothing can
+    reach it, so only its successor is wanted and its payload is not read.
+    """
+
+    def __init__(self, offset: int, whole: bool = True):
+        self.offset, self.whole, self.head, self.fields = offset, whole, b"", None
         self.left, self.http, self.sha, self.size, self.ended = 0, b"", None, 0, False
 
     def feed(self, data: bytes) -> bool:
@@ -91,6 +95,8 @@ class _Open:
                 self.fields = None
                 return True
             self.next = self.offset + len(_MAGIC) + at + 4 + self.left + 4
+            if not self.whole:
+                return True
         data = data[: self.left]
         self.left -= len(data)
         if self.sha is None:
@@ -107,7 +113,11 @@ class _Open:
         return self.ended
 
     def row(self) -> tuple | None:
-        if self.fields is None or not self.ended or self.sha is None:
+        if self.fields is None:
+            return None
+        if not self.whole:
+            return (self.offset, self.next, *[None] * 6, False)
+        if not self.ended or self.sha is None:
             return None
         f = self.fields
         digest = base64.b32encode(self.sha.digest()).decode()
@@ -151,7 +161,8 @@ def read_archives(spark: SparkSession, path: str, key: str = "bigint") -> DataFr
     each occurrence into a candidate with the offset of its successor (where
     its declared length ends), and keeps what :func:`reachable` reaches from
     the start of the file. Memory: one segment, the headers of candidates, and
-    a running digest for each record still open. Occurrences without a sound
+    a running digest for each record still open that a candidate before it ends
+    at, so that magic lines in a payload cost their headers only. Occurrences without a sound
     header or cut short by the end of the file are no candidates; an empty
     archive has no records. ``verified`` says that a response's payload has the
     digest that its header names.
@@ -168,13 +179,16 @@ def read_archives(spark: SparkSession, path: str, key: str = "bigint") -> DataFr
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, at, found, open_ = None, 0, [], []
+        file, at, found, open_, ends = None, 0, [], [], {0}
 
         def feed(data: bytes) -> None:
             nonlocal open_
             left = []
             for c in open_:
-                if not c.feed(data):
+                done = c.feed(data)
+                if c.fields is not None:
+                    ends.add(c.next)
+                if not done:
                     left.append(c)
                 elif (row := c.row()) is not None:
                     found.append(row)
@@ -186,11 +200,11 @@ def read_archives(spark: SparkSession, path: str, key: str = "bigint") -> DataFr
                 if name != file:
                     if found:
                         yield flush(found)
-                    file, at, found, open_ = name, len(segment), [], []  # what stands before the first magic line
+                    file, at, found, open_, ends = name, len(segment), [], [], {0}  # what stands before the first magic line
                     continue
                 if open_:
                     feed(_MAGIC)
-                open_.append(_Open(at))
+                open_.append(_Open(at, at in ends))
                 at += len(_MAGIC) + len(segment)
                 feed(segment)
         if found:
