@@ -19,7 +19,8 @@ SAMPLE_ROWS = 4000
 BUCKETS, DIM = 1 << 17, 12
 #: Subwords are the byte n-grams of a word between boundary marks, and the word itself.
 GRAMS = range(3, 7)
-#: Words in a bag: a text is read in bags of neighbouring words, and its score is that of its worst bag.
+#: Words in a bag: a text is read in bags of neighbouring words, each averaged, and its score is that of
+#: its worst bag. With 0 a text is one bag, all its subwords averaged.
 BAG = 6
 #: Share of a bag's subwords that a training step sees.
 KEEP = 0.5
@@ -52,13 +53,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, rows, IdentityHash(data)(starts, ends)
 
 
-def bags(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the bag of each word, and the row of each bag; bags do not cross rows."""
+def bags(rows: np.ndarray, size: int = BAG) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the bag of each word, and the row of each bag; bags do not cross rows. ``size`` 0: a row is one bag."""
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     start = np.flatnonzero(np.diff(rows, prepend=-1))
     place = np.arange(len(rows)) - start[np.searchsorted(start, np.arange(len(rows)), "right") - 1]
-    new = place % BAG == 0
+    new = place % size == 0 if size else place == 0
     return np.cumsum(new) - 1, rows[new]
 
 
@@ -71,10 +72,11 @@ class BagModel:
 
     subword: np.ndarray
     bias: float
+    bag: int = BAG
     known: dict[int, tuple[float, int]] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"subword": self.subword, "bias": self.bias, "known": {}}
+        return {"subword": self.subword, "bias": self.bias, "bag": self.bag, "known": {}}
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probability of label 1 of each text: that of its worst bag; the bias alone without words."""
@@ -92,7 +94,7 @@ class BagModel:
             each = np.array([self.known[k] for k in keys])
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            bag, owner = bags(rows)
+            bag, owner = bags(rows, self.bag)
             each = each[inverse]
             logit = np.bincount(bag, each[:, 0]) / np.bincount(bag, each[:, 1]) + self.bias
             first = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -100,7 +102,7 @@ class BagModel:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 24, rate: float = 0.5, seed: int = 11) -> BagModel:
+def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 24, rate: float = 0.5, seed: int = 11, bag_words: int = BAG) -> BagModel:
     """Embeddings and softmax weights together, by AdaGrad on bags.
 
     The first epochs draw bags of each text at random under the text's label;
@@ -113,7 +115,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = BUCKETS, dim
     share = min(max(float(labels.mean()) if len(labels) else 0.5, 1e-3), 1 - 1e-3)
     bias = np.array([np.log(1 - share), np.log(share)]) * 0.5
     if not len(labels) or labels.min() == labels.max():
-        return BagModel(np.zeros(buckets, np.float32), float(bias[1] - bias[0]))
+        return BagModel(np.zeros(buckets, np.float32), float(bias[1] - bias[0]), bag_words)
     # bounded runs of text at a time: hashing takes many times a run's bytes
     hashes, owners, first_seen = [], [], {}
     for first, _, data, offsets in chunks(pa.array(texts, pa.large_binary()).cast(pa.large_string())):
@@ -134,7 +136,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = BUCKETS, dim
     cut = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(c) for _, c in parts]))])
     parts = first_seen = names = None
     counts = np.diff(cut)
-    bag, owner = bags(rows)
+    bag, owner = bags(rows, bag_words)
     bag_cut = np.searchsorted(bag, np.arange(len(owner) + 1))
     row_cut = np.searchsorted(owner, np.arange(len(labels) + 1))
     usable = np.flatnonzero(np.diff(row_cut) > 0)
@@ -188,7 +190,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = BUCKETS, dim
             out -= rate * 0.2 * go / np.sqrt(seen_o)
             seen_b += gb * gb
             bias = bias - rate * 0.2 * gb / np.sqrt(seen_b)
-    return BagModel((emb @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
+    return BagModel((emb @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]), bag_words)
 
 
 def misspell(text: str, rng: np.random.Generator, share: float = 0.6) -> str:
@@ -212,13 +214,13 @@ def with_misspellings(texts: list[str], labels: np.ndarray, seed: int = 5) -> tu
     return [t.encode() for t in [*texts, *(misspell(texts[i], rng) for i in more)]], np.concatenate([labels, labels[more]])
 
 
-def fit(rows: DataFrame) -> BagModel:
+def fit(rows: DataFrame, bag_words: int = BAG) -> BagModel:
     """A model from a bounded frame ``_id, y, text``."""
     got = rows.toArrow()
     order = np.argsort(np.array(got["_id"].cast(pa.string()).to_pylist()))
     texts = got["text"].to_pylist()
     y = got["y"].to_numpy().astype(float)
-    return train(*with_misspellings([(texts[i] or "").lower() for i in order], y[order]))
+    return train(*with_misspellings([(texts[i] or "").lower() for i in order], y[order]), bag_words=bag_words)
 
 
 def score_toxicity(docs: DataFrame, model: BagModel, threshold: float = 0.7, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,15 +236,16 @@ def score_toxicity(docs: DataFrame, model: BagModel, threshold: float = 0.7, *,
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, *, modulus: int = 3, held_out: int = 1, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, *, modulus: int = 3, held_out: int = 1, sample_rows: int = SAMPLE_ROWS, bag_words: int = BAG) -> DataFrame:
     """Fit on labels outside the held-out fold, score every text: ``doc_id, held_out, score, predicted``.
 
     The model is fitted on at most ``sample_rows`` labelled texts (``SAMPLE_ROWS``
-    by default), chosen by hash of the id; the texts scored are all. Without
-    labels of both kinds the score is the share of label 1. Null labels and ids
+    by default), chosen by hash of the id; the texts scored are all. A text's
+    score is that of its worst bag of ``bag_words`` words, or with 0 that of
+    all its words averaged. Without labels of both kinds the score is the share of label 1. Null labels and ids
     teach nothing; a null id is scored and not held out; repeated rows are
     scored alike. Columns other than id and text never enter a score.
     """
-    model = fit(training_rows(docs, labels, "toxic", ~in_split(F.col("doc_id"), modulus, held_out), sample_rows))
+    model = fit(training_rows(docs, labels, "toxic", ~in_split(F.col("doc_id"), modulus, held_out), sample_rows), bag_words)
     out = score_toxicity(docs, model, threshold)
     return out.select("doc_id", in_split(F.col("doc_id"), modulus, held_out).alias("held_out"), "score", "predicted")
