@@ -48,7 +48,7 @@ def test_bpe_equals_library(spark):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = [*ODD, *((100 + i, "".join(rnd.choice("ab \n\t\x0b\x1c\x85　é中1'st.!") for _ in range(80))) for i in range(200)), (400, "ab" * 999), (401, " " * 700 + "z")]
+    texts = [*ODD, *((100 + i, "".join(rnd.choice("ab \n\t\x0b\x1c\x85　é中1'st.!") for _ in range(80))) for i in range(200)), (400, "ab" * 999), (401, " " * 700 + "z"), (402, "中文字符没有空格" * 400), (403, "".join(rnd.choice("etaoinshr") for _ in range(9000))), (404, "é中a" * 900)]
     got = {r.doc_id: r for r in bpe.bpe_round_trip(docs_of(spark, texts), RANKS, public_tokenizers.PATTERN, with_ids=True).collect()}
     for i, t in texts:
         want = enc.encode_ordinary(t or "")
@@ -321,7 +321,29 @@ def test_url_filter_follows_every_link(spark):
     got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert {i for i, v in got.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7, 8, 9}
     edges = {(r.u, r.v) for r in url_filter.link_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert {("http://b.com", "http://b.com/free"), (base + "q?id=1", "http://a.com/en/x?a=1&b=2")} <= edges
+    assert {("http://b.com/", "http://b.com/free"), (base + "q?id=1", "http://a.com/en/x?a=1&b=2")} <= edges
+
+
+def test_url_filter_equals_its_sql(spark):
+    """The SQL's closure over pages that do have aliases, some under hosts in upper case."""
+    import duckdb
+
+    canon = lambda t: f'<LINK href="{t}" rel=canonical>'
+    hosts = ["a.com", "B.com", "b.com", "c.net", "EXAMPLE.com", "d.org", "e.test"]
+    rows = []
+    for i in range(160):
+        n = i % 40
+        paths = [f"/{n}", f"/en/1{n}", f"/en/7{n}", f"/de/81{n}", f"/es/2{n}?q=1", f"/x{n}/../en/3{n}", f"/x/y{n}#z"]
+        targets = [f"http://{h}{p}" for h in hosts for p in paths] + [f"../en/9{n}", f"/en/8{n}", f"?a={n}&amp;b=2", "#top", f"page{n}", f"./q{n}/.", "mailto:x@y.z", f"//b.com/en/1{n}", ""]
+        html = rnd.choice(["", canon(rnd.choice(targets)), f"<meta content='0;url={rnd.choice(targets)}' http-equiv='Refresh'>", canon(rnd.choice(targets)) + canon(rnd.choice(targets)), "<link rel=stylesheet href=http://a.com/en/1> canonical"])
+        rows.append((i, rnd.choice([f"http://{rnd.choice(hosts)}{rnd.choice(paths)}", f"http://u{i}.test/x/{i}", None if i % 20 == 0 else f"https://v{i}.test"]), html))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [r[0] for r in rows], "url": pa.array([r[1] for r in rows], pa.string()), "html": [r[2] for r in rows]}))
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    want = {r[0]: r for r in con.execute(f"SELECT {', '.join(names)} FROM ({url_filter.SQL})").fetchall()}
+    got = {r.page_id: tuple(r[n] for n in names) for r in url_filter.filter_urls(df).collect()}
+    assert got == want and sum(r[3] is None and r[4] == "block" for r in got.values()) > 5
 
 
 def test_decontamination_slots(spark):
@@ -380,6 +402,84 @@ def test_classifiers_take_odd_rows(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def plain_hash(data: bytes) -> int:
+    arr = np.frombuffer(data, np.uint8)
+    return int(textbytes.RangeHash(arr)(np.array([0]), np.array([len(arr)]))[0])
+
+
+@pytest.mark.parametrize("bag", [0, 2, 6])
+def test_toxicity_equals_plain_scorer(bag):
+    """Scores by dictionaries and loops: subwords of each word, their mean in a bag, the worst bag."""
+    texts = [f"good {words(9, 30)}" for _ in range(30)] + [f"{words(4, 30)} vilest slurword {words(3, 30)}" for _ in range(30)]
+    m = toxicity.train([t.encode() for t in texts], np.array([0.0] * 30 + [1.0] * 30), buckets=1 << 12, epochs=8, bag_words=bag)
+    table = dict(enumerate(m.subword.astype(float).tolist()))
+
+    def score(text: str) -> float:
+        logits, found = [], __import__("re").findall("[0-9A-Za-z\x80-\U0010ffff]+", text)
+        for k in range(0, len(found), bag or max(1, len(found))):
+            total = n = 0
+            for w in found[k : k + (bag or len(found))]:
+                b = b"<" + w.encode() + b">"
+                grams = [b] + [b[i : i + g] for g in range(3, 7) if g < len(b) for i in range(len(b) - g + 1)]
+                total += sum(table[plain_hash(g) % (1 << 12)] for g in grams)
+                n += len(grams)
+            logits.append(total / n + m.bias)
+        return 1 / (1 + math.exp(-max(logits, default=m.bias)))
+
+    some = [*texts[:5], *texts[-5:], "", "  ", "é slurw0rd", "one", "a b c d e f g h", "slurword!"]
+    got = np.concatenate([m.score(d, o) for _, _, d, o in textbytes.chunks(pa.array(some))])
+    assert np.allclose(got, [score(t) for t in some], atol=1e-9)
+
+
+def test_quality_equals_plain_scorer():
+    """Scores by dictionaries: relative frequencies of each text's n-grams, taken alone, times their weights."""
+    texts = [words(20, 40) for _ in range(40)]
+    alone = [quality.vectors(*next((d, o) for _, _, d, o in textbytes.chunks(pa.array([t]))))[0] for t in texts]
+    m = quality.ftrl(alone, np.array([float("w1" in t) for t in texts]), epochs=3)
+    weight = {i: float(w) for i, w in enumerate(m.weights) if w}
+
+    def score(text: str) -> float:
+        total = m.bias
+        for _, _, data, offsets in textbytes.chunks(pa.array([text])):
+            for idx, _ in quality.features(data, offsets):
+                counts = Counter(idx.tolist())
+                total += sum(quality.MASS * c / len(idx) * weight.get(i, 0.0) for i, c in counts.items())
+        return 1 / (1 + math.exp(-total))
+
+    some = [*texts[:8], "", "w1x", "Ab, cd. EF-12!", " . ", texts[0] + " " + texts[1]]
+    got = np.concatenate([m.score(d, o) for _, _, d, o in textbytes.chunks(pa.array(some))])
+    assert np.allclose(got, [score(t) for t in some], atol=1e-6) and weight
+    # word n-grams of a text, counted by a dictionary, are as many as the hashed ones
+    idx, _ = quality.features(*next((d, o) for _, _, d, o in textbytes.chunks(pa.array([texts[0]]))))[1]
+    assert sorted(Counter(idx.tolist()).values()) == sorted(Counter(zip(texts[0].split(), texts[0].split()[1:], strict=False)).values())
+
+
+def test_repeated_rows_are_each_judged(spark):
+    twice = [(1, "one text here"), (1, "one text here"), (1, "another text under it"), (None, "x y"), (None, "x y")]
+    df, none = docs_of(spark, twice), docs_of(spark, []).limit(0)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for f in (
+        lambda d: quality.classify_quality(d, labels), lambda d: toxicity.classify_toxicity(d, labels), lambda d: token_count.token_counts(d, MODEL),
+        lambda d: bpe.bpe_round_trip(d, RANKS, public_tokenizers.PATTERN), lambda d: jaccard.jaccard_components(d), lambda d: suffix_dedup.remove_repeats(d, 400),
+    ):
+        assert f(df).count() == len(twice) and f(none).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.com/en/1", "")] * 3 + [(None, None, None)] * 2, "page_id long, url string, html string")
+    assert url_filter.filter_urls(pages).count() == 5 and url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_decontamination_of_long_texts(spark):
+    item = "Which of the seven rivers of the eastern plain carries the most water in spring"
+    long_ = [(1, words(60_000) + " " + item + " " + words(60_000)), (2, words(120_000))]
+    got = decontam.contaminated(docs_of(spark, long_), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 5)]
+
+
+def test_warc_of_long_payloads(spark):
+    pages = spark.createDataFrame([(1, "u", "é<" * 2_000_000), (2, "u", "WARC/1.1\r\nContent-Length: 999999999\r\n\r\n" * 400)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.warc_round_trip(pages, shared_path(spark, "warc-long")).collect()}
+    assert got[1].payload_bytes == 6_000_000 and got[2].payload_bytes == 400 * 41 and all(r.verified for r in got.values())
+
+
 def test_ftrl_learns_a_word():
     good, bad = pa.array([f"fine {words(8)}" for _ in range(60)]), pa.array([f"junk {words(8)}" for _ in range(60)])
     rows, y = [], []
