@@ -32,12 +32,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group of near-duplicates.
 
-    Rows that agree in id and text are one document. Different texts under one
-    id, or under a null id, are different documents and all stay.
+    Documents are rows, not ids: rows that agree in id and text are one, texts
+    under one id, or under a null id, are documents of their own. A null id
+    stays only in a group that has no other.
     """
-    groups = jaccard.jaccard_components(docs, WORDS, NUM, DEN, thin=True)
-    keep = groups.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(keep.hint("merge"), docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    groups = jaccard.jaccard_components(docs, WORDS, NUM, DEN, thin=True, rows=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))
+    keep = groups.groupBy(F.coalesce("root", "rid")).agg(first.alias("first")).select(F.col("first.rid").alias("_rid"))
+    rows = docs.withColumn("_rid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return rows.join(keep.hint("merge"), "_rid", "left_semi").dropDuplicates(["_rid"]).select(*docs.columns)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
