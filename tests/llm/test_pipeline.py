@@ -66,10 +66,30 @@ def test_texts_without_an_id_of_their_own(spark, docs):
     rows = [(None, "one text that nothing else is like at all"), (None, "quite another story about rivers and hills"), (None, "quite another story about rivers and hills"), (1, "first words under this very id"), (1, "second thing told by the same number"), (None, f"Here it is. {item}"), (None, None), (2, f"Here it is. {item}"), (2, "clean text under two")]
     odd = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], docs.schema)
     texts = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
-    assert texts(cp.near_duplicate_stage(spark, odd, SF)) == sorted({(i or 0, t or "") for i, t in rows})
+    near = " ".join(f"word{k}" for k in range(80))
+    more = odd.union(spark.createDataFrame([(3, near, "en", "web", 1), (7, near + " end", "en", "web", 1), (7, "a text of its own under seven", "en", "web", 1), (None, near, "en", "web", 1)], docs.schema))
+    want = {(i or 0, t or "") for i, t in rows} - {(0, f"Here it is. {item}")} | {(3, near), (7, "a text of its own under seven")}
+    assert texts(cp.near_duplicate_stage(spark, more, SF)) == sorted(want)
     assert texts(cp.decontamination_stage(spark, odd, SF)) == sorted((i or 0, t or "") for i, t in rows if item not in (t or ""))
 
 
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_take_odd_rows(spark, docs, name):
+    """Nulls in any column, empty and long texts, repeated rows."""
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "web", 0), (None, "x " * 40_000, None, "web", 80_000), (3, "ab" * 30_000, "en", None, None), (3, " \n ", "de", "s", 3)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    out = dict(cp.STAGES)[name](spark, odd, SF)
+    got = out.collect()
+    if name == "encoding":
+        assert len(got) == len(rows) and all((r.n_tokens == 0) == (r.decoded_sha256 == hashlib.sha256(b"").hexdigest()) for r in got)
+    else:
+        assert out.columns == docs.columns and {(r.doc_id, r.text) for r in got} <= {(i, t) for i, t, *_ in rows} | {(r.doc_id, r.text) for r in got if name == "repeats"}
+    if name == "near_duplicates":
+        assert len(got) == len(set(rows))
+    if name == "decontamination":
+        assert len(got) == len(rows)
+
+
 def test_stages_take_empty_tables(spark, docs):
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
