@@ -22,9 +22,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence documents: id (also the order of arrival), outlet, title (first line), text, language."""
+    """Evidence documents: id (also the order of arrival), outlet, title (first line), text, language, family.
+
+    Outlets of an even number are news, the others web.
+    """
     d = spread(table(spark, sf_dir, "documents"))
-    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), "lang", "text", F.substring_index("text", "\n", 1).alias("title"))
+    family = F.when(F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 2 == 0, "news").otherwise("web")
+    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("outlet"), "lang", "text", F.substring_index("text", "\n", 1).alias("title"), family.alias("family"))
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint as fp
+from ..functions import ids
 from ..functions import text as tx
+from ..functions import urls as ur
+from ..shared import cut, drop_cut
 
 NEAR, DERIVED = 0.72, 0.40
 
@@ -59,13 +62,25 @@ def lsh_candidates(hashes: DataFrame, hot: int = 120) -> DataFrame:
     """``a, b`` (a < b): documents that share a band.
 
     A band value with more than ``hot`` holders pairs each with the earliest
-    ``hot`` (the cap on candidates), so a common fingerprint stays linear.
+    ``hot`` (the cap on candidates), so a common fingerprint stays linear. Each
+    task keeps its earliest ``hot`` before the shuffle (a window group limit).
     """
     b = bands(hashes)
     early = b.withColumn("r", F.row_number().over(Window.partitionBy("band", "value").orderBy("id"))).where(F.col("r") <= hot).select("band", "value", F.col("id").alias("a"))
     return b.withColumnRenamed("id", "b").join(early, ["band", "value"]).where("a < b").select("a", "b").distinct()
 
 
+def title_candidates(docs: DataFrame) -> DataFrame:
+    """``a, b`` (a < b): a document and the earliest one of the same title key."""
+    keyed = docs.select(F.col("id").alias("b"), tx.title_key(F.col("title")).alias("k")).where("k is not null")
+    return keyed.join(keyed.groupBy("k").agg(F.min("b").alias("a")), "k").where("a < b").select("a", "b")
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """``a, b`` (a < b): documents that share a fingerprint's band, or a title key."""
+    return lsh_candidates(simhash(docs)).union(title_candidates(docs)).distinct()
+
+
 def similarity(pairs: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
     """``a, b, score``: the larger of Jaccard and containment either way of n-word shingles."""
     # tokens are a column of their own: inside the shingles' lambda they would be worked out for every shingle
@@ -77,24 +92,57 @@ def similarity(pairs: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
 
 
 def verdicts(scored: DataFrame, docs: DataFrame, near: float = NEAR, derived: float = DERIVED) -> DataFrame:
-    """``id, matched_id, relation, similarity``: each document against its most similar earlier one (ties: the earliest)."""
+    """``id, matched_id, relation, similarity``: each document against its most similar earlier one (ties: the earliest).
+
+    ``docs``: ``id, outlet, title, text, family``. Similar texts are copies,
+    syndicated on another outlet. Under the same headline a lower similarity is
+    enough, or the same wire credit: thin documents cannot be judged by their
+    bodies. What is left of overlap makes a news article derived.
+    """
     best = scored.groupBy("b").agg(F.max(F.struct(F.col("score"), (-F.col("a")).alias("na"))).alias("m")).select(F.col("b").alias("id"), (-F.col("m.na")).alias("matched_id"), F.col("m.score").alias("score"))
-    o = docs.select("id", "outlet")
-    out = best.join(o, "id").join(o.toDF("matched_id", "matched_outlet"), "matched_id")
-    relation = F.when(F.col("score") >= near, F.when(F.col("outlet") != F.col("matched_outlet"), "syndicated_copy").otherwise("near_duplicate")).when(F.col("score") >= derived, "derived_article").otherwise("independent")
+    o = docs.select("id", "outlet", "family", tx.title_key(F.col("title")).alias("tkey"), ids.wire_service(F.col("text"), F.col("outlet")).alias("wire"))
+    m = o.drop("family").toDF("matched_id", "matched_outlet", "matched_tkey", "matched_wire")
+    out = best.join(o, "id").join(m, "matched_id")
+    other, score = F.col("outlet") != F.col("matched_outlet"), F.col("score")
+    same_title = F.coalesce(F.col("tkey") == F.col("matched_tkey"), F.lit(False))
+    same_wire = F.coalesce(F.col("wire") == F.col("matched_wire"), F.lit(False))
+    relation = (
+        F.when(score >= near, F.when(other, "syndicated_copy").otherwise("near_duplicate"))
+        .when(same_title & (same_wire | (score >= derived)), F.when(same_wire | other, "syndicated_copy").otherwise("near_duplicate"))
+        .when((score >= derived) & (F.col("family") == "news"), "derived_article").otherwise("independent")
+    )
     return out.select("id", "matched_id", relation.alias("relation"), F.round("score", 3).alias("similarity"))
 
 
+def attributions(docs: DataFrame, links: DataFrame, most: int = 50) -> DataFrame:
+    """``id, matched_id``: news documents that link to a held document of another domain; the first such link counts.
+
+    ``docs``: ``id, url, family``; ``links``: ``id, links`` (urls in order, the
+    first ``most`` count). The held document is the earliest of its url key.
+    """
+    held = docs.select("id", ur.identity_key(F.col("url")).alias("key"), ur.registrable_domain(ur.host_of(F.col("url"))).alias("domain")).where("key is not null")
+    first = held.groupBy("key").agg(F.min("id").alias("matched_id"))
+    news = docs.where("family = 'news'").select("id").join(held.select("id", "domain"), "id", "left")
+    each = links.select("id", F.posexplode(F.slice("links", 1, most)).alias("pos", "link"))
+    each = each.select("id", "pos", ur.identity_key(F.col("link")).alias("key"), ur.registrable_domain(ur.host_of(F.col("link"))).alias("to"))
+    hits = each.join(news, "id").where(F.col("key").isNotNull() & ~F.col("to").eqNullSafe(F.col("domain"))).join(first, "key")
+    return hits.groupBy("id").agg(F.min_by("matched_id", "pos").alias("matched_id"))
+
+
 def roots(parents: DataFrame, child: str = "id", parent: str = "matched_id") -> DataFrame:
-    """``id, root`` of a forest of parent pointers, by pointer doubling: rounds grow with the logarithm of its depth."""
-    cur = parents.select(F.col(child).alias("id"), F.col(parent).alias("root"))
+    """``id, root`` of a forest of parent pointers, by pointer doubling: rounds grow with the logarithm of its depth.
+
+    Each round is written to the shared folder, so that a lost executor costs one round.
+    """
+    cur = cut(parents.select(F.col(child).alias("id"), F.col(parent).alias("root")), "roots")
     while True:
         up = cur.toDF("root", "next")
-        nxt = cur.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.col("next").isNotNull()).alias("moved")).persist()
-        moved = nxt.where("moved").limit(1).count()
-        cur = nxt.select("id", "root")
-        if not moved:
-            return cur
+        nxt = cut(cur.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        drop_cut(cur)
+        if nxt.where("moved").isEmpty():
+            return nxt.select("id", "root")
+        path, cur = nxt._sieveline_path, nxt.select("id", "root")
+        cur._sieveline_path = path
 
 
 def independence(docs: DataFrame, copies: DataFrame) -> DataFrame:

