@@ -13,17 +13,45 @@ WIRES = {
 }
 
 
+#: What a DOI looks like, and signs that end the sentence around it.
+DOI = r"""\b(10\.\d{4,9}/[^\s"'<>]+)"""
+DOI_TRAILING = r"""[.,;:)\]}>"']+$"""
+#: arXiv ids of the present and of the old scheme.
+ARXIV = r"(?:^|[^0-9.])(\d{4}\.\d{4,5})(?:v\d+)?(?![0-9])"
+ARXIV_OLD = r"(?i)\b([a-z-]+(?:\.[A-Z]{2})?/\d{7})"
+
+
+def _count(text: Column, sign: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+
+
+def _closed(doi: Column, trimmed: Column, opener: str, closer: str) -> Column:
+    """``trimmed`` with as many of the closing brackets that follow in ``doi`` as it has open ones."""
+    follow = F.length(F.regexp_extract(F.substring(doi, F.length(trimmed) + 1, 1 << 30), "^[" + "\\" + closer + "]*", 0))
+    need = F.greatest(F.lit(0), _count(trimmed, opener) - _count(trimmed, closer))
+    return F.concat(trimmed, F.repeat(F.lit(closer), F.least(need, follow)))
+
+
 def normalize_doi(raw: Column) -> Column:
-    """Bare lower-case DOI from a DOI, its url or prose; closing signs at the end go."""
-    doi = F.regexp_extract(F.coalesce(raw, F.lit("")), r"""\b(10\.\d{4,9}/[^\s"'<>]+)""", 1)
-    return F.nullif(F.lower(F.regexp_replace(doi, r"""[.,;:)\]}>"']+$""", "")), F.lit(""))
+    """Bare lower-case DOI from a DOI, its url (percent-encoded or not) or prose.
+
+    Closing signs at the end go, but for brackets that close one inside the DOI.
+    """
+    text = F.trim(F.coalesce(raw, F.lit("")))
+    path = F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    text = F.when(text.contains("://") & (plain != ""), plain).otherwise(text)
+    doi = F.regexp_extract(text, DOI, 1)
+    trimmed = F.regexp_replace(doi, DOI_TRAILING, "")
+    for opener, closer in (("(", ")"), ("[", "]")):
+        trimmed = _closed(doi, trimmed, opener, closer)
+    return F.nullif(F.lower(trimmed), F.lit(""))
 
 
 def normalize_arxiv_id(raw: Column) -> Column:
     """arXiv id without a version, from an id, a DOI or a url; null for other hosts' urls."""
     t = F.regexp_replace(F.trim(raw), r"(?i)^10\.48550/arxiv\.", "")
-    new = F.regexp_extract(t, r"(?:^|[^0-9.])(\d{4}\.\d{4,5})(?:v\d+)?(?![0-9])", 1)
-    old = F.regexp_extract(t, r"(?i)\b([a-z-]+(?:\.[A-Z]{2})?/\d{7})", 1)
+    new, old = F.regexp_extract(t, ARXIV, 1), F.regexp_extract(t, ARXIV_OLD, 1)
     foreign = t.contains("://") & ~F.lower(t).rlike("^[a-z]+://([^/]*[.])?arxiv[.]org")
     return F.when(~foreign, F.lower(F.coalesce(F.nullif(new, F.lit("")), F.nullif(old, F.lit("")))))
 
@@ -59,7 +87,7 @@ def id_ordinal(key: Column) -> Column:
 
 def extract_dois(text: Column, limit: int = 20) -> Column:
     """Distinct DOIs of a text in order, ``limit`` at most."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"""\b(10\.\d{4,9}/[^\s"'<>]+)"""), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DOI), F.lit(1))
     return F.slice(F.array_distinct(F.filter(F.transform(found, normalize_doi), lambda x: x.isNotNull())), 1, limit)
 
 

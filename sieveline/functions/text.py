@@ -11,18 +11,34 @@ BOILERPLATE = (r"(?im)^\s*(sign up|subscribe|share this|advertisement|read more)
 TITLE_PREFIX = r"^(the|a|an|exclusive|breaking|opinion|analysis|update \d+|updated|video|watch|live)\s+"
 #: Suffixes of the crude stem, tried in this order.
 SUFFIXES = ("iness", "ingly", "ness", "ing", "ies", "ied", "es", "ed", "ly", "s")
+#: Least number of characters, and shares of letters, blanks and plausible words, of legible text.
+PROSE = {"characters": 40, "letters": 0.5, "blanks": 0.06, "words": 0.35}
 #: Typographic signs and what they are compared as.
 QUOTES_FROM, QUOTES_TO = "‘’“”–— ", "''\"\"-- "
 
 
+def composed(text: Column) -> Column:
+    """The text in normal form KC, by the JVM's Unicode library; plain ASCII is not touched."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))).otherwise(text)
+
+
+def unaccented(text: Column) -> Column:
+    """Case folded, decomposed (normal form KD), and without combining marks."""
+    plain = F.regexp_replace(F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True)), r"\p{M}+", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.try_reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), plain, F.lit(True))).otherwise(F.lower(text))
+
+
 def best_text(text: Column, abstract: Column, title: Column) -> Column:
     """First of text, abstract and title that is not empty."""
     return F.coalesce(F.nullif(text, F.lit("")), F.nullif(abstract, F.lit("")), F.nullif(title, F.lit("")), F.lit(""))
 
 
 def normalize_whitespace(text: Column) -> Column:
-    """One line-feed style, single blanks, trimmed lines, at most one empty line in a row; null is empty."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    """Normal form KC, one line-feed style, single blanks, trimmed lines, at most one empty line in a row; null is empty."""
+    return _single_spaced(composed(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")))
+
+
+def _single_spaced(t: Column) -> Column:
     t = F.regexp_replace(t, r"[^\S\n]+", " ")
     t = F.regexp_replace(t, r" ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
@@ -33,12 +49,12 @@ def clean_text(text: Column) -> Column:
     t = normalize_whitespace(text)
     for pattern in BOILERPLATE:
         t = F.regexp_replace(t, pattern, "")
-    return normalize_whitespace(t)
+    return _single_spaced(t)
 
 
 def normalize_title(title: Column) -> Column:
-    """Lower-case words of a title, without accents outside ASCII letters, outlet suffix and one leading prefix."""
-    t = F.trim(F.lower(F.coalesce(title, F.lit(""))))
+    """Case-folded words of a title, without accents, outlet suffix and one leading prefix."""
+    t = F.trim(unaccented(F.coalesce(title, F.lit(""))))
     t = F.regexp_replace(t, r"\s+[|–—-]\s+[^|–—-]{1,40}$", "")
     t = F.regexp_replace(t, TITLE_PREFIX, "")
     return F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " "))
@@ -109,14 +125,14 @@ def is_weak_name(name: Column) -> Column:
 
 
 def looks_like_prose(text: Column) -> Column:
-    """Legible text: 40 characters, half letters, 6 % blanks, 35 % plausible words."""
+    """Legible text: long enough, with enough letters, blanks and plausible words (``PROSE``)."""
     t = F.coalesce(text, F.lit(""))
     n = F.length(t)
     letters = F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
     blanks = F.length(F.regexp_replace(t, r"[^\s]", ""))
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     good = F.filter(words, lambda w: w.rlike("^[A-Za-z]{2,15}[.,;:!?]?$"))
-    return (n >= 40) & (letters >= 0.5 * n) & (blanks >= 0.06 * n) & (F.size(good) >= 0.35 * F.size(words))
+    return (n >= PROSE["characters"]) & (letters >= PROSE["letters"] * n) & (blanks >= PROSE["blanks"] * n) & (F.size(good) >= PROSE["words"] * F.size(words))
 
 
 def escape_markdown(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""URL handling as column expressions (ASCII urls; international hosts pass unchanged)."""
+"""URL handling as column expressions."""
 
 from __future__ import annotations
 
@@ -45,6 +45,39 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: What a path keeps as it is when it is written anew; the rest is percent-encoded.
+SAFE_IN_PATH = "/%:@!$&'()*+,;=~-._"
+
+
+def _decoded(text: Column, plus: bool) -> Column:
+    """Percent-encoding undone, and ``+`` as a blank if ``plus``; text that is not well encoded stays."""
+    return F.coalesce(F.try_url_decode(text if plus else F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def _path_encoded(path: Column) -> Column:
+    """A path decoded and encoded again, so that its spellings agree."""
+    out = F.replace(F.url_encode(_decoded(path, False)), F.lit("+"), F.lit("%20"))
+    for c in SAFE_IN_PATH:
+        if not (c.isalnum() or c in "-._*"):  # these the encoder keeps
+            out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.when(path.rlike(r"[^A-Za-z0-9/:@!$&'()*+,;=~\-._]"), out).otherwise(path)
+
+
+def _form_encoded(text: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _params(query: Column) -> Column:
+    """Name and value of each parameter that has both, decoded."""
+    pairs = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=."))
+    return F.transform(pairs, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1), True).alias("k"), _decoded(F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, 1 << 30), True).alias("v")))
+
+
+def _ascii_host(host: Column) -> Column:
+    """An international host in its ASCII form; a name that has none stays."""
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host), host)).otherwise(host)
+
+
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _PARTS, group)
 
@@ -58,27 +91,31 @@ def with_scheme(url: Column) -> Column:
 
 def unwrap_redirect(url: Column) -> Column:
     """The destination that a known redirector's url carries, else the url."""
-    host, out = F.lower(_part(url, 2)), url
-    for name, params in REDIRECT_HOSTS.items():
-        for p in reversed(params):
-            target = F.try_url_decode(F.regexp_extract(_part(url, 5), rf"(?:^|&){p}=([^&]+)", 1))
-            out = F.when((host == name) & target.contains("://"), target).otherwise(out)
-    return out
+    wanted = F.create_map(*[x for name, params in REDIRECT_HOSTS.items() for x in (F.lit(name), F.array(*map(F.lit, params)))])[F.lower(_part(url, 2))]
+
+    def target(params: Column) -> Column:
+        # the first of the host's parameters, in that order, that holds a url
+        named = lambda p: F.get(F.filter(params, lambda x: (x["k"] == p) & _decoded(x["v"], False).contains("://")), F.lit(0))["v"]
+        return F.get(F.filter(F.transform(wanted, named), lambda v: v.isNotNull()), F.lit(0))
+
+    return F.when(wanted.isNotNull(), F.coalesce(with_scheme(_decoded(let(_params(_part(url, 5)), target), False)), url)).otherwise(url)
 
 
 def canonicalize(url: Column) -> Column:
     """A clean url that can still be fetched; null when unusable.
 
-    Lower-case scheme and host, no default port, no fragment, no trailing
-    slash, no tracking or empty parameters, the others sorted.
+    Lower-case scheme and host (ASCII form), no default port, no fragment, no
+    trailing slash, paths and parameters in one encoding, no tracking or empty
+    parameters, the others sorted. Redirectors are unwrapped, up to three in one another.
     """
-    return let(with_scheme(url), lambda w: let(unwrap_redirect(w), _canonical))
+    return let(let(let(let(with_scheme(url), unwrap_redirect), unwrap_redirect), unwrap_redirect), _canonical)
 
 
 def _canonical(u: Column) -> Column:
-    scheme, host, port, path, query = F.lower(_part(u, 1)), F.lower(_part(u, 2)), _part(u, 3), _part(u, 4), _part(u, 5)
+    scheme, host, port, path, query = F.lower(_part(u, 1)), _ascii_host(F.lower(_part(u, 2))), _part(u, 3), _path_encoded(_part(u, 4)), _part(u, 5)
     default = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]+=.") & ~F.lower(F.substring_index(p, "=", 1)).isin(*[t.lower() for t in TRACKING if t != "outputType"])))
+    kept = F.array_sort(F.filter(_params(query), lambda p: ~F.lower(p["k"]).isin(*[t for t in TRACKING if t != "outputType"])))
+    kept = F.transform(kept, lambda p: F.concat(_form_encoded(p["k"]), F.lit("="), _form_encoded(p["v"])))
     path = F.when(path == "", "/").when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
     path = F.when(path == "", "/").otherwise(path)
     out = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))

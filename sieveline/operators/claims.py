@@ -97,10 +97,27 @@ def _describe(p: str) -> Column:
     return F.concat(c("independent").cast("string"), F.lit(" independent "), word, F.when(c("independent") == 1, "source").otherwise("sources"), copies, F.lit(", "), years)
 
 
+#: Phrases that readers of an explanation look for. Name, rule over the wide summary, SQL text of the note.
+NOTES = (
+    ("self_reported", "s_documents > 0 and s_self_reported = s_documents", "'all support comes from the announcing party: evidence that it was claimed, not that it holds'"),
+    ("wire", "s_wire is not null and s_independent < s_documents", "concat('copies of one ', s_wire, ' story are counted once')"),
+    ("preprints", "s_preprints > 0 and s_primary = 0", "'preprints among the support are not peer reviewed'"),
+    ("retracted_support", "s_retracted > 0", "concat(s_retracted, case when s_retracted = 1 then ' retracted item' else ' retracted items' end, ' supporting it')"),
+    ("retracted_contradiction", "c_retracted > 0", "concat(c_retracted, case when c_retracted = 1 then ' retracted item' else ' retracted items' end, ' contradicting it')"),
+    ("superseded", "superseded", "'what contradicts it is more recent than all support'"),
+)
+
+
+def notes() -> Column:
+    """What a reader has to know about the evidence beside its number, in the order of ``NOTES``."""
+    return F.concat_ws("; ", *[F.when(F.expr(rule), F.expr(text)) for _, rule, text in NOTES])
+
+
 def explain() -> Column:
-    """Prose on the evidence, counted in independent sources."""
+    """Prose on the evidence, counted in independent sources, with notes in brackets; needs ``superseded``."""
     part = lambda p, verb: F.when(F.col(f"{p}_documents") > 0, F.concat(F.lit(verb), _describe(p)))
-    return F.coalesce(F.nullif(F.concat_ws("; ", part("s", "supported by "), part("c", "contradicted by "), part("q", "qualified by ")), F.lit("")), F.lit("no evidence linked"))
+    said = F.nullif(F.concat_ws("; ", part("s", "supported by "), part("c", "contradicted by "), part("q", "qualified by ")), F.lit(""))
+    return F.when(said.isNull(), F.lit("no evidence linked")).when(notes() == "", said).otherwise(F.concat(said, F.lit(" ("), notes(), F.lit(")")))
 
 
 def snapshot(assessed: DataFrame) -> DataFrame:

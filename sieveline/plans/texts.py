@@ -8,13 +8,15 @@ from .. import bindings as b
 from ..functions import fingerprint as fp
 from ..functions import text as tx
 from ..functions import urls as ur
+from ..operators import retrieval as ret
 from .registry import query
 
+# (the tables hold no characters that normal form KC changes and C does not)
 _WS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '\r\n?', chr(10), 'g'), '[^\S\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
 def ws_sql(column: str) -> str:
-    return _WS.format(column)
+    return _WS.format(f"nfc_normalize({column})")
 
 
 @query("normalize_whitespace", f"SELECT doc_id AS id, md5({ws_sql('text')}) AS h FROM documents")
@@ -30,7 +32,7 @@ def clean_text(spark, d):
     return b.documents(spark, d).select("id", F.length(tx.clean_text(F.col("text"))).cast("bigint").alias("n"))
 
 
-_TITLE = r"trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(split_part(text, chr(10), 1))), '\s+[|–—-]\s+[^|–—-]{1,40}$', ''), '^(the|a|an|exclusive|breaking|opinion|analysis|update \d+|updated|video|watch|live)\s+', ''), '[^a-z0-9]+', ' ', 'g'))"
+_TITLE = r"trim(regexp_replace(regexp_replace(regexp_replace(trim(replace(strip_accents(lower(split_part(text, chr(10), 1))), 'ß', 'ss')), '\s+[|–—-]\s+[^|–—-]{1,40}$', ''), '^(the|a|an|exclusive|breaking|opinion|analysis|update \d+|updated|video|watch|live)\s+', ''), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query("normalize_title", f"SELECT doc_id AS id, {_TITLE} AS title FROM documents")
@@ -86,10 +88,10 @@ def comparable(spark, d):
 @query("excerpt_appears_in", r"""WITH c AS (SELECT doc_id, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents), i AS (SELECT item_id, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM benchmark)
 SELECT item_id, count(*) AS documents, min(doc_id) AS first_document FROM i JOIN c ON contains(c.t, i.t) GROUP BY 1""")
 def excerpt_appears_in(spark, d):
-    """Which held passages are quoted verbatim, and where first: the passages are a bounded query set, broadcast in one block."""
-    items = b.table(spark, d, "benchmark").select("item_id", tx.comparable(F.col("text")).alias("needle")).where("needle <> ''")
+    """Which held passages are quoted verbatim, and where first."""
+    items = b.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tx.comparable(F.col("text")).alias("needle"))
     docs = b.documents(spark, d).select("id", tx.comparable(F.col("text")).alias("hay"))
-    return docs.join(F.broadcast(items), F.col("hay").contains(F.col("needle"))).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("id").alias("first_document"))
+    return ret.quoted(docs, items).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("documents"), F.min("id").alias("first_document"))
 
 
 @query("prepare_query", """SELECT item_id, array_to_string(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1), lambda w: '"' || w || '"'), ' OR ') AS q FROM benchmark""")
@@ -191,15 +193,13 @@ def wire_service(spark, d):
 
 
 # --- identifiers ------------------------------------------------------------
-_DOI_IN = "['https://doi.org/10.1000/X', 'doi: 10.5555/Ab.', 'see (10.1234/q(1)),', 'none ', '10.48550/arXiv.2401.0'][(item_id % 5) + 1] || item_id"
-
-
-@query("normalize_doi", """SELECT item_id, CASE item_id % 5 WHEN 0 THEN '10.1000/x' || item_id WHEN 1 THEN '10.5555/ab.' || item_id WHEN 2 THEN '10.1234/q(1)),' || item_id WHEN 4 THEN '10.48550/arxiv.2401.0' || item_id END AS doi FROM benchmark""")
+@query("normalize_doi", """SELECT item_id, CASE item_id % 5 WHEN 0 THEN '10.1000/x' || item_id WHEN 1 THEN '10.5555/ab/' || item_id WHEN 2 THEN '10.1234/q(1)' WHEN 3 THEN '10.1000/a(' || item_id || ')' WHEN 4 THEN '10.48550/arxiv.2401.0' || item_id END AS doi FROM benchmark""")
 def normalize_doi(spark, d):
     from ..functions import ids
 
-    heads = F.array(*map(F.lit, ("https://doi.org/10.1000/X", "doi: 10.5555/Ab.", "see (10.1234/q(1)),", "none ", "10.48550/arXiv.2401.0")))
-    x = b.table(spark, d, "benchmark").select("item_id", F.concat(F.get(heads, (F.col("item_id") % 5).cast("int")), F.col("item_id").cast("string")).alias("raw"))
+    forms = ("https://doi.org/10.1000/X%s", "doi: 10.5555/Ab/%s.", "see (10.1234/q(1)), of %s", "https://doi.org/10.1000%%2FA(%s).", "10.48550/arXiv.2401.0%s")
+    raw = F.element_at(F.array(*[F.format_string(f, F.col("item_id").cast("string")) for f in forms]), (F.col("item_id") % 5 + 1).cast("int"))
+    x = b.table(spark, d, "benchmark").select("item_id", raw.alias("raw"))
     return x.select("item_id", ids.normalize_doi(F.col("raw")).alias("doi"))
 
 
@@ -226,9 +226,9 @@ def content_hash(spark, d):
     return b.documents(spark, d).select("id", fp.content_hash(F.col("text"), F.col("lang")).alias("h"))
 
 
-@query("hashing_embed", "SELECT id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64)::INTEGER AS bucket, count(*) AS n FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents WHERE doc_id % 2 = 1) GROUP BY 1, 2")
+@query("hashing_embed", "SELECT id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64)::INTEGER AS bucket, count(*) AS n FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY 1, 2")
 def hashing_embed(spark, d):
-    w = b.documents(spark, d).where("id % 2 = 1").select("id", F.explode(tx.tokens(F.col("text"))).alias("w"))
+    w = b.documents(spark, d).select("id", F.explode(tx.tokens(F.col("text"))).alias("w"))
     return w.groupBy("id", F.pmod(F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long"), F.lit(64)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
 
