@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,25 +19,55 @@ RRF_K, TAIL, SEEDS = 60, 0.05, 5
 
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``id, term, tf``: the inverted index, bucketed by term wherever it is written."""
+    """``id, term, tf``: the inverted index."""
     return docs.select("id", F.explode(tx.tokens(F.col(text))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def replace_documents(index: DataFrame, new: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """An index with the postings of ``new`` documents (``id, text``) in place of their old ones, and without the documents ``gone``."""
+    out = index.join(new.select("id"), "id", "left_anti")
+    if gone is not None:
+        out = out.join(gone.select("id"), "id", "left_anti")
+    return out.unionByName(postings(new))
+
+
+def field_postings(docs: DataFrame, weights: Mapping[str, float], stem=None) -> DataFrame:
+    """``id, term, tf, n``: the inverted index over several columns; ``tf`` counts a term by its column's weight, ``n`` plainly.
+
+    ``stem``: a function on a frame ``term`` that adds ``stem``; it sees every
+    distinct term once.
+    """
+    parts = F.flatten(F.array(*[_weighted(c, w) for c, w in weights.items()]))
+    words = docs.select("id", F.explode(parts).alias("x")).select("id", "x.term", "x.weight")
+    if stem is not None:
+        words = words.join(stem(words.select("term").distinct()), "term").select("id", F.col("stem").alias("term"), "weight")
+    return words.groupBy("id", "term").agg(F.sum("weight").alias("tf"), F.count("*").alias("n"))
+
+
+def _weighted(column: str, weight: float) -> Column:
+    return F.transform(tx.tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("weight")))
+
+
+def bm25(index: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, floor: bool = False) -> DataFrame:
     """``query_id, id, score`` of documents that hold a query's terms; ``queries``: ``query_id, term``.
 
-    Lengths and document frequencies come from the whole index; only postings
-    of query terms are joined. The queries are bounded by the caller.
+    Lengths and document frequencies come from the whole index (``id, term, tf``
+    and, where ``tf`` is weighted, ``n``); only postings of query terms are
+    joined. Nothing but the corpus's two numbers is broadcast by hint. A term's
+    weight is ``log(1 + (N - df + 0.5) / (df + 0.5))``, or with ``floor`` that
+    without the one, 1e-6 at least.
     """
-    lengths = index.groupBy("id").agg(F.sum("tf").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    plain = "n" if "n" in index.columns else "tf"
+    lengths = index.groupBy("id").agg(F.sum(plain).alias("dl"))
+    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     terms = queries.distinct()
-    hit = index.join(F.broadcast(terms.select("term").distinct()), "term")
+    hit = index.join(terms.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    odds = (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    idf = F.greatest(F.log(odds), F.lit(1e-6)) if floor else F.log(odds + 1.0)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hit.join(F.broadcast(df), "term").join(lengths, "id").join(F.broadcast(stats)).join(F.broadcast(terms), "term")
-    return scored.groupBy("query_id", "id").agg(F.round(F.sum(idf * tf), 6).alias("score"))
+    weighed = hit.join(df, "term").join(lengths, "id").join(F.broadcast(stats)).select("id", "term", (idf * tf).alias("w"))
+    return weighed.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def ranked(scores: DataFrame, *by: str, name: str = "rank") -> DataFrame:
@@ -47,11 +81,87 @@ def top_pool(scores: DataFrame, pool: int, tail: float = TAIL) -> DataFrame:
     return ranked(scores, "query_id").where(F.col("rank") <= pool).withColumn("_best", best).where(F.col("score") >= tail * F.col("_best")).drop("_best")
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query_id, id, score``: cosine above zero, best ``k``; the query vectors are bounded by the caller."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    scored = vectors.join(F.broadcast(q)).where("id <> query_id").select("query_id", "id", F.round(fp.cosine(F.col("v"), F.col("qv")), 6).alias("score"))
-    return ranked(scored.where("score > 0"), "query_id").where(F.col("rank") <= k)
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, block_queries: int = 1024, block_vectors: int = 16_384) -> DataFrame:
+    """``query_id, id, score, rank``: cosine above zero, best ``k``, of a query set against all vectors, in blocks.
+
+    A task multiplies one block of queries with one block of vectors and keeps
+    each query's best ``k``. Vectors of different lengths, or of length zero,
+    are not compared; equal scores go to smaller ids.
+    """
+    ways = max(1, -(-vectors.count() // block_vectors))
+    asks = max(1, -(-queries.count() // block_queries))
+    kind = vectors.schema["id"].dataType.simpleString()
+    size = lambda c: F.size(c).alias("size")
+    left = queries.select(F.col("id").alias("query_id"), "v", size("v"), F.pmod(F.xxhash64("id"), F.lit(asks)).alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).alias("way"))
+    right = vectors.select("id", "v", size("v"), F.pmod(F.xxhash64("id"), F.lit(ways)).alias("way"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long"))).alias("ask"))
+
+    def unit(x: pd.DataFrame) -> np.ndarray:
+        v = np.array(x["v"].tolist(), np.float64).reshape(len(x), -1)
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+    def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "id": [], "score": []}
+        if len(q) and len(x):
+            x = x.sort_values("id")
+            ids, score = x["id"].to_numpy(), np.round(unit(q) @ unit(x).T, 6)
+            score[q["query_id"].to_numpy()[:, None] == ids[None, :]] = 0
+            best = np.argsort(-score, 1, kind="stable")[:, :k]
+            top = np.take_along_axis(score, best, 1)
+            row, col = np.nonzero(top > 0)
+            out = {"query_id": q["query_id"].to_numpy()[row], "id": ids[best[row, col]], "score": top[row, col]}
+        return pd.DataFrame(out)
+
+    by = ("size", "ask", "way")
+    # both sides are renamed, so that they share no attribute
+    hits = left.toDF(*left.columns).groupBy(*by).cogroup(right.toDF(*right.columns).groupBy(*by)).applyInPandas(run, f"query_id {queries.schema['id'].dataType.simpleString()}, id {kind}, score double")
+    return ranked(hits, "query_id").where(F.col("rank") <= k)
+
+
+def top_up(docs: DataFrame, held: DataFrame, limit: int) -> DataFrame:
+    """The first documents, by id, that ``held`` has not: at most ``limit``."""
+    return docs.join(held.select("id"), "id", "left_anti").orderBy("id").limit(limit)
+
+
+def hashing_embeddings(docs: DataFrame, dim: int = 64) -> DataFrame:
+    """``id, counts, norm``: hashed bag of words of each ``id, text``, sparse, with its Euclidean norm."""
+    bucket = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    words = docs.select("id", F.explode_outer(tx.tokens(F.col("text"))).alias("w"))
+    counts = words.groupBy("id", bucket(F.col("w")).alias("k")).agg(F.count("w").alias("n"))
+    entries = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "n")))
+    return counts.groupBy("id").agg(F.map_from_entries(entries).alias("counts"), F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("norm"))
+
+
+def quoted(docs: DataFrame, items: DataFrame, inner: int = 5) -> DataFrame:
+    """``query_id, id``: which texts (``id, hay``) hold which items (``query_id, needle``) verbatim.
+
+    Words inside an item, all but its first and last, stand in a text that holds
+    it as whole words in line. So items and texts are joined on the hash of
+    ``inner`` such words (of all, where there are fewer), and only those pairs
+    are compared; no text is compared with every item. Items of fewer than three
+    words, which have none inside, are compared with all texts one by one.
+    """
+    words = lambda c: tx.tokens(F.col(c))
+    mine = items.where("needle <> ''").withColumn("_w", words("needle"))
+    mine = mine.withColumn("_n", F.least(F.size("_w") - 2, F.lit(inner)))
+    keyed = mine.where("_n > 0").select("query_id", "needle", "_n", F.xxhash64(F.slice("_w", F.lit(2), F.col("_n"))).alias("_h"))
+    widths = [r[0] for r in keyed.select("_n").distinct().collect()]  # at most ``inner`` numbers
+    texts = docs.select("id", words("hay").alias("_w"))
+
+    def windows(n: int) -> DataFrame:
+        each = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.xxhash64(F.slice("_w", i, n)))
+        return texts.where(F.size("_w") >= n).select("id", F.lit(n).alias("_n"), F.explode(F.array_distinct(each)).alias("_h"))
+
+    pairs = None
+    for n in sorted(widths):
+        p = windows(n).join(keyed.where(F.col("_n") == n).select("query_id", "_n", "_h"), ["_n", "_h"]).select("query_id", "id").distinct()
+        pairs = p if pairs is None else pairs.union(p)
+    brief = mine.where("_n <= 0").select("query_id", "needle")
+    out = docs.join(brief, F.col("hay").contains(F.col("needle"))).select("query_id", "id")
+    if pairs is None:
+        return out
+    held = pairs.join(items, "query_id").join(docs, "id").where(F.col("hay").contains(F.col("needle"))).select("query_id", "id")
+    return held.union(out)
 
 
 def rrf(rankings: DataFrame, weight: Column, k: int = RRF_K) -> DataFrame:

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from .. import bindings as b
+from ..operators import retrieval as ret
 from ..session import ship_package
+from ..shared import shared_path
 from ..streaming import jobs
 from .registry import query
 
 
-def _checkpoint(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sieveline-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark, d):
     ship_package(spark)
     # the stream source reads folders: the table's file, or its folder
@@ -25,42 +20,72 @@ def _events(spark, d):
 
 @query("stream_window_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, d):
-    out = jobs.run_available(jobs.window_counts(_events(spark, d), late="400 days"), "complete", _checkpoint(spark))
-    return out.withColumn("start", F.date_trunc("day", "start").cast("timestamp_ntz"))
+    out = jobs.run_available(jobs.window_counts(_events(spark, d), late="400 days"), "complete", shared_path(spark, "windows"))
+    return out.select(F.date_trunc("day", "start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("stream_session_windows", """WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, g""")
 def stream_session_windows(spark, d):
-    return jobs.run_available(jobs.session_counts(_events(spark, d), late="400 days"), "complete", _checkpoint(spark))
+    return jobs.run_available(jobs.session_counts(_events(spark, d), late="400 days"), "complete", shared_path(spark, "sessions")).drop("_batch")
 
 
 @query("stream_budget", "SELECT user_id, round(sum(value), 2) AS used, count(*) AS calls FROM events GROUP BY 1")
 def stream_budget(spark, d):
-    return jobs.run_available(jobs.budget(_events(spark, d)), "complete", _checkpoint(spark)).withColumn("used", F.round("used", 2))
+    out = jobs.run_available(jobs.budget(_events(spark, d)), "update", shared_path(spark, "budget"))
+    return jobs.latest(out, "user_id").withColumn("used", F.round("used", 2))
 
 
 @query("stream_breaker", "WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, (coalesce(min(CASE WHEN event_type <> 'error' THEN r END), count(*) + 1) - 1)::INTEGER AS failures FROM r GROUP BY 1")
 def stream_breaker(spark, d):
-    out = jobs.run_available(jobs.breaker(_events(spark, d)), "update", _checkpoint(spark))
-    return out.groupBy("user_id").agg(F.last("failures").alias("failures")) if out.count() > out.select("user_id").distinct().count() else out
+    return jobs.latest(jobs.run_available(jobs.breaker(_events(spark, d)), "update", shared_path(spark, "breaker")), "user_id")
 
 
 @query("stream_dedup", "SELECT count(DISTINCT sha256(text)) AS texts FROM documents")
 def stream_dedup(spark, d):
     ship_package(spark)
-    docs = jobs.read_stream(spark, f"{d}/documents.parquet").withColumn("at", F.lit("2024-01-01").cast("timestamp_ntz"))
-    out = jobs.run_available(jobs.first_copies(docs, "at").select("doc_id"), "append", _checkpoint(spark))
+    docs = jobs.read_stream(spark, f"{d}/documents.parquet")
+    out = jobs.run_available(jobs.first_copies(docs).select("doc_id"), "append", shared_path(spark, "dedup"))
     return out.agg(F.count("*").alias("texts"))
 
 
-@query("stream_snapshot_diff", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+_CUT = "2024-01-16"
+
+
+@query("stream_snapshot_diff", f"""WITH r AS (SELECT event_type AS key, count(*) FILTER (ts < '{_CUT}') AS a, count(*) AS z FROM events GROUP BY 1)
+SELECT 0 AS version, key, 0 AS before, a AS after FROM r WHERE a > 0 UNION ALL SELECT 1, key, a, z FROM r WHERE z <> a""")
 def stream_snapshot_diff(spark, d):
-    """Each micro-batch writes a version of the counts; the last version is their sum over all batches."""
-    root = _checkpoint(spark)
+    """Two runs: the events of a month's first half, then the rest; each run's snapshot against the one before."""
+    root, e = shared_path(spark, "snapshots"), _events(spark, d)
+    first = jobs.snapshot_run(e.where(f"ts < timestamp_ntz'{_CUT}'"), "event_type", root, 0)
+    second = jobs.snapshot_run(e.where(f"ts >= timestamp_ntz'{_CUT}'"), "event_type", root, 1)
+    return first.unionByName(second)
+
 
-    def work(batch, number: int) -> None:
-        batch.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{root}/versions/v={number}")
+#: The embeddings that a top-up adds at most, in one search or one micro-batch.
+TOP_UP = 256
+_EMBED_SQL = f"""miss AS (SELECT doc_id AS id, text FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) ORDER BY doc_id LIMIT {TOP_UP}),
+w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM miss), h AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS k, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT miss.id, count(k)::INTEGER AS buckets, coalesce(max(n), 0) AS largest, round(coalesce(sqrt(sum(n * n)), 0), 4) AS norm FROM miss LEFT JOIN h ON h.id = miss.id GROUP BY 1"""
 
-    jobs.each_batch(_events(spark, d), work, f"{root}/log")
-    return spark.read.parquet(f"{root}/versions").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+def _shape(vectors):
+    """What the SQL can say of a hashed embedding."""
+    return vectors.select("id", F.size("counts").alias("buckets"), F.coalesce(F.array_max(F.map_values("counts")), F.lit(0)).alias("largest"), F.round("norm", 4).alias("norm"))
+
+
+@query("vector_top_up", f"WITH {_EMBED_SQL}")
+def vector_top_up(spark, d):
+    """Embeddings of the first documents that have none, a bounded number a search."""
+    held = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    return _shape(ret.hashing_embeddings(ret.top_up(b.documents(spark, d), held, TOP_UP)))
+
+
+@query("stream_topup", f"WITH {_EMBED_SQL}")
+def stream_topup(spark, d):
+    """The same on a stream: every micro-batch embeds at most ``TOP_UP`` documents that were not embedded before."""
+    ship_package(spark)
+    held = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    docs = jobs.read_stream(spark, f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    out = jobs.embed_stream(docs, held, TOP_UP, shared_path(spark, "topup"))
+    return _shape(out)

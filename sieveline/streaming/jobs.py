@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import retrieval as ret
+
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
     """Parquet files as an unbounded table, with the schema of what is there; ``path`` may be a folder or one file of it."""
@@ -22,12 +23,31 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> D
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, mode: str, checkpoint: str, name: str | None = None) -> DataFrame:
-    """Run until all that is there has been read; the result as a table."""
-    name = name or f"s_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, mode: str, root: str) -> DataFrame:
+    """Run until all that is there has been read; the result as a table in the shared folder ``root``, with ``_batch``.
+
+    Every micro-batch writes a folder of its own, which a repeated batch
+    replaces. Of a complete result the last batch's rows are returned; of an
+    update or append all rows, by which the caller can tell a key's last.
+    """
+    last = [-1]
+
+    def work(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/_batch={number}")
+        last[0] = number
+
+    each_batch(stream, work, f"{root}/log", mode)
+    spark = stream.sparkSession
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0))
+    out = spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out/_batch={last[0]}" if mode == "complete" else f"{root}/out")
+    return out
+
+
+def latest(out: DataFrame, *keys: str) -> DataFrame:
+    """Of the rows of an update result, the last of each key."""
+    rest = [c for c in out.columns if c not in (*keys, "_batch")]
+    return out.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in rest])
 
 
 def event_time(events: DataFrame, column: str = "ts") -> DataFrame:
@@ -52,10 +72,14 @@ def budget(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("used"), F.count("*").alias("calls"))
 
 
-def first_copies(docs: DataFrame, at: str, late: str = "1 day") -> DataFrame:
-    """The first arrival of each text; state older than the watermark is forgotten."""
-    d = event_time(docs, at).withWatermark(at, late)
-    return d.withColumn("h", F.sha2("text", 256)).dropDuplicatesWithinWatermark(["h"])
+def first_copies(docs: DataFrame, at: str | None = None, late: str = "1 day") -> DataFrame:
+    """The first arrival of each text; state older than the watermark is forgotten.
+
+    Without a column ``at``, the time is that of arrival, so that the watermark
+    moves with the stream and a text is held for ``late`` after it came.
+    """
+    d = docs.withColumn("_at", F.current_timestamp() if at is None else F.col(at).cast("timestamp")).withWatermark("_at", late)
+    return d.withColumn("_h", F.sha2("text", 256)).dropDuplicatesWithinWatermark(["_h"]).drop("_h", "_at")
 
 
 def breaker(events: DataFrame) -> DataFrame:
@@ -78,7 +102,53 @@ def breaker(events: DataFrame) -> DataFrame:
     return cols.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, failures int", "failures int", "update", GroupStateTimeout.NoTimeout)
 
 
-def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Run ``work`` on every micro-batch until all that is there has been read."""
-    q = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(work).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def snapshot_run(stream: DataFrame, by: str, root: str, version: int) -> DataFrame:
+    """One run over what has arrived: writes snapshot ``version`` of the counts by ``by``, returns its difference from the one before.
+
+    A snapshot is the one before with the run's counts added; every micro-batch
+    writes its counts to a folder of its own, so that a repeated batch counts
+    once. ``version, key, before, after`` of the keys that are new or changed.
+    """
+    spark = stream.sparkSession
+    parts = f"{root}/v{version}/parts"
+
+    def work(batch: DataFrame, number: int) -> None:
+        batch.groupBy(F.col(by).alias("key")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{parts}/b{number}")
+
+    each_batch(stream, work, f"{root}/v{version}/log")
+    schema = f"key {stream.schema[by].dataType.simpleString()}, n long"
+    none = spark.createDataFrame([], schema)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(parts)
+    new = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(parts) if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath) else none
+    before = spark.read.schema(schema).parquet(f"{root}/v{version - 1}/snapshot") if version else none
+    new.unionByName(before).groupBy("key").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{root}/v{version}/snapshot")
+    after = spark.read.schema(schema).parquet(f"{root}/v{version}/snapshot")
+    diff = after.join(before.withColumnRenamed("n", "before"), "key", "left").where("before is null or before <> n")
+    return diff.select(F.lit(version).alias("version"), "key", F.coalesce("before", F.lit(0)).alias("before"), F.col("n").alias("after"))
+
+
+def embed_stream(docs: DataFrame, held: DataFrame, limit: int, root: str) -> DataFrame:
+    """Embeddings of documents (``id, text``) as they arrive, at most ``limit`` a micro-batch, written to ``root``.
+
+    A document that ``held`` or an earlier batch has is passed over; what a
+    batch leaves over waits for the next top-up, which reads the table.
+    """
+    spark = docs.sparkSession
+    done: list[str] = []
+
+    def work(batch: DataFrame, number: int) -> None:
+        known = held
+        for path in done:
+            known = known.unionByName(spark.read.parquet(path).select("id"))
+        path = f"{root}/out/b{number}"
+        ret.hashing_embeddings(ret.top_up(batch, known, limit)).write.mode("overwrite").parquet(path)
+        done.append(path)
+
+    each_batch(docs, work, f"{root}/log")
+    return spark.read.parquet(*done) if done else ret.hashing_embeddings(spark.createDataFrame([], docs.schema))
