@@ -33,19 +33,19 @@ def citation_stats(spark, d):
     return b.citations(spark, d).agg(F.count("*").alias("total"), F.count("cited").alias("resolved"), (F.count("*") - F.count("cited")).alias("unresolved"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
 
 
-@query("references_of", f"{_C} SELECT citing, cited FROM cit WHERE citing IN (0, 3, 6, 9, 10)")
+@query("references_of", f"{_C} SELECT citing, cited FROM cit WHERE citing % 20 = 0")
 def references_of(spark, d):
-    return b.citations(spark, d).where(F.col("citing").isin(0, 3, 6, 9, 10)).select("citing", "cited")
+    return b.citations(spark, d).where("citing % 20 = 0").select("citing", "cited")
 
 
-@query("citing_of", f"{_C} SELECT cited, count(*) AS citing FROM cit WHERE cited < 30 GROUP BY 1")
+@query("citing_of", f"{_C} SELECT cited, count(*) AS citing FROM cit WHERE cited % 20 = 0 GROUP BY 1")
 def citing_of(spark, d):
-    return b.citations(spark, d).where("cited < 30").groupBy("cited").agg(F.count("*").alias("citing"))
+    return b.citations(spark, d).where("cited % 20 = 0").groupBy("cited").agg(F.count("*").alias("citing"))
 
 
-@query("join_edge_both_ends", f"{_C} SELECT DISTINCT citing, cited FROM cit WHERE cited IS NOT NULL AND (citing % 50 = 0 OR cited % 50 = 0)")
+@query("join_edge_both_ends", f"{_C} SELECT DISTINCT citing, cited FROM cit WHERE cited IS NOT NULL AND (citing % 20 = 0 OR (cited % 20 = 0 AND cited IN (SELECT doc_id FROM documents)))")
 def join_edge_both_ends(spark, d):
-    seeds = b.documents(spark, d).where("id % 50 = 0").select(F.col("id").alias("seed"))
+    seeds = b.documents(spark, d).where("id % 20 = 0").select(F.col("id").alias("seed"))
     return rel.edges_touching(b.citations(spark, d).where("cited is not null").select("citing", "cited"), seeds, "citing", "cited", "seed")
 
 
@@ -55,13 +55,13 @@ def citation_add(spark, d):
     return c.union(c).dropDuplicates(["citing", "cited", "cited_doi"])
 
 
-@query("resolve_citations", f"{_C}, doi AS (SELECT doc_id AS id, '10.1000/x' || doc_id AS doi FROM documents WHERE doc_id < 25) SELECT citing, coalesce(cit.cited, doi.id) AS cited FROM cit LEFT JOIN doi ON doi.doi = cit.cited_doi")
+@query("resolve_citations", f"{_C}, doi AS (SELECT doc_id AS id, '10.1000/x' || doc_id AS doi FROM documents) SELECT citing, coalesce(cit.cited, doi.id) AS cited FROM cit LEFT JOIN doi ON doi.doi = cit.cited_doi")
 def resolve_citations(spark, d):
-    doi = b.documents(spark, d).where("id < 25").select(F.col("id").alias("held"), F.concat(F.lit("10.1000/x"), F.col("id").cast("string")).alias("cited_doi"))
+    doi = b.documents(spark, d).select(F.col("id").alias("held"), F.concat(F.lit("10.1000/x"), F.col("id").cast("string")).alias("cited_doi"))
     return graph.resolve(b.citations(spark, d), doi).select("citing", "cited")
 
 
-_CHASE = f"""WITH RECURSIVE {b.CITATIONS_SQL}, walk(seed, id, hop) AS (SELECT doc_id, doc_id, 0 FROM documents WHERE doc_id % 100 = 1
+_CHASE = f"""WITH RECURSIVE {b.CITATIONS_SQL}, walk(seed, id, hop) AS (SELECT doc_id, doc_id, 0 FROM documents WHERE doc_id % 20 = 0
   UNION SELECT w.seed, c.cited, w.hop + 1 FROM walk w JOIN cit c ON c.citing = w.id WHERE c.cited IS NOT NULL AND w.hop < 3 AND c.cited IN (SELECT doc_id FROM documents))
 SELECT seed, id, min(hop)::INTEGER AS hop FROM walk GROUP BY 1, 2"""
 
@@ -71,7 +71,7 @@ def citation_chase(spark, d):
     docs = b.documents(spark, d).select("id")
     edges = b.citations(spark, d).where("cited is not null").select(F.col("citing").alias("src"), F.col("cited").alias("dst"))
     edges = edges.join(docs.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return graph.chase(docs.where("id % 100 = 1").select(F.col("id").alias("seed")), edges, 3)
+    return graph.chase(docs.where("id % 20 = 0").select(F.col("id").alias("seed")), edges, 3)
 
 
 @query("citation_edges_reverse", f"{_C} SELECT cited AS id, array_to_string(list_sort(list(citing)), ',') AS cited_by FROM cit WHERE cited IS NOT NULL GROUP BY 1")

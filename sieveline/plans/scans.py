@@ -61,9 +61,9 @@ def list_entities(spark, d):
     return b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name")).orderBy("name", "entity_id").limit(100)
 
 
-@query("list_relationships", "SELECT DISTINCT l_partkey AS subject_id, l_suppkey AS object_id FROM lineitem WHERE l_suppkey % 10 = 3")
+@query("list_relationships", "SELECT DISTINCT l_partkey AS subject_id, l_suppkey AS object_id FROM lineitem")
 def list_relationships(spark, d):
-    return b.table(spark, d, "lineitem").where("l_suppkey % 10 = 3").select(F.col("l_partkey").alias("subject_id"), F.col("l_suppkey").alias("object_id")).distinct()
+    return b.table(spark, d, "lineitem").select(F.col("l_partkey").alias("subject_id"), F.col("l_suppkey").alias("object_id")).distinct()
 
 
 @query("claim_pending", "SELECT o_orderkey AS claim_id, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderpriority, o_orderdate, o_orderkey LIMIT 20")
@@ -71,9 +71,9 @@ def claim_pending(spark, d):
     return b.claims(spark, d).where("state = 'O'").orderBy("priority", "created_at", "claim_id").limit(20).select("claim_id", "priority")
 
 
-@query("sort_nulls_last", "SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE ts END AS date_start FROM events WHERE user_id < 50 ORDER BY date_start ASC NULLS LAST, event_id LIMIT 200")
+@query("sort_nulls_last", "SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE ts END AS date_start FROM events ORDER BY date_start ASC NULLS LAST, event_id LIMIT 200")
 def sort_nulls_last(spark, d):
-    e = b.table(spark, d, "events").where("user_id < 50").select("event_id", F.when(F.col("event_type") != "view", F.col("ts")).alias("date_start"))
+    e = b.table(spark, d, "events").select("event_id", F.when(F.col("event_type") != "view", F.col("ts")).alias("date_start"))
     return e.orderBy(F.asc_nulls_last("date_start"), "event_id").limit(200)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..operators import passages as ps
-from ..sources import files, payloads
+from ..sources import files, payloads, queries
 from .registry import query
 
 
@@ -104,27 +104,19 @@ def canvas_json(spark, d):
     return b.documents(spark, d).select(F.to_json(F.struct(F.lit("node").alias("type"), "id", "outlet")).alias("value")).unionByName(edges)
 
 
-@query("evidence_envelope", """SELECT doc_id AS id, '<document id="' || doc_id || '" shown="' || least(length(text), 200) || '" total="' || length(text) || '">' AS head FROM documents""")
-def evidence_envelope(spark, d):
-    n = F.length("text")
-    return b.documents(spark, d).select("id", F.concat(F.lit('<document id="'), F.col("id").cast("string"), F.lit('" shown="'), F.least(n, F.lit(200)).cast("string"), F.lit('" total="'), n.cast("string"), F.lit('">')).alias("head"))
-
-
 @query("embedding_text", "SELECT doc_id AS id, md5(split_part(text, chr(10), 1) || chr(10) || substr(text, 1, 2000)) AS h FROM documents")
 def embedding_text(spark, d):
     return b.documents(spark, d).select("id", F.md5(F.concat_ws("\n", "title", F.substring("text", 1, 2000))).alias("h"))
 
 
-@query("arxiv_query", "SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2)[1:4], ' AND ') AS q FROM benchmark")
+@query("arxiv_query", r"SELECT item_id, array_to_string(list_transform(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_-]+'), lambda w: length(w) > 2)[1:6], lambda w: 'all:' || w), ' AND ') AS q FROM benchmark")
 def arxiv_query(spark, d):
-    from ..functions.text import tokens
+    return b.table(spark, d, "benchmark").select("item_id", queries.arxiv_terms(F.col("text")).alias("q"))
 
-    return b.table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.filter(tokens(F.col("text")), lambda w: F.length(w) > 2), 1, 4), " AND ").alias("q"))
 
+_FRAMING = ", ".join(f"'{w}'" for w in queries.FRAMING)
 
-@query("mastodon_tag", "SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 3 AND w NOT IN ('that', 'with', 'from', 'this'))[1] AS tag FROM benchmark")
-def mastodon_tag(spark, d):
-    from ..functions.text import tokens
 
-    words = F.filter(tokens(F.col("text")), lambda w: (F.length(w) > 3) & ~w.isin("that", "with", "from", "this"))
-    return b.table(spark, d, "benchmark").select("item_id", F.get(words, F.lit(0)).alias("tag"))
+@query("mastodon_tag", rf"SELECT item_id, list_filter(list_transform(regexp_split_to_array(trim(text), '\s+'), lambda w: lower(regexp_replace(w, '[^\p{{L}}\p{{N}}_]', '', 'g'))), lambda w: length(w) > 3 AND w NOT IN ({_FRAMING}))[1] AS tag FROM benchmark")
+def mastodon_tag(spark, d):
+    return b.table(spark, d, "benchmark").select("item_id", queries.hashtag(F.col("text")).alias("tag"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -160,23 +162,60 @@ def extract_pages(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     return src.mapInPandas(run, f"page_id {src.schema['page_id'].dataType.simpleString()}, title string, lang string, text string, links array<string>, canonical string")
 
 
+def read_bodies(bodies: DataFrame) -> DataFrame:
+    """``key, kind, title, text`` of fetched bodies (``key, content_type, body``): the declared type decides, the body where it says nothing.
+
+    A JSON page's text is its first of content, text, body, abstract,
+    description and summary; without one, the JSON itself.
+    """
+    declared = F.lower(F.coalesce("content_type", F.lit("")))
+    raw = F.encode(F.coalesce("body", F.lit("")), "UTF-8")
+    kind = F.when(declared.contains("html"), "html").when(declared.contains("json"), "json").when(declared.contains("pdf"), "pdf").when(declared.startswith("text/"), "text").otherwise(detect_kind(raw, F.lit("")))
+    parsed = F.from_json("body", "map<string,string>")
+    said = F.coalesce(*[F.nullif(parsed[k], F.lit("")) for k in ("content", "text", "body", "abstract", "description", "summary")], F.col("body"))
+    typed = bodies.select("key", kind.alias("kind"), "body", said.alias("said"))
+    pages = extract_pages(typed.where("kind = 'html'"), key="key", html="body").select(F.col("page_id").alias("key"), F.lit("html").alias("kind"), "title", "text")
+    rest = typed.where("kind <> 'html'").select("key", "kind", F.lit("").alias("title"), F.when(F.col("kind") == "json", F.col("said")).when(F.col("kind") != "pdf", F.col("body")).otherwise("").alias("text"))
+    return pages.unionByName(rest)
+
+
+def _outside(name: str, root: str) -> bool:
+    """Whether a local path is, behind its links, outside the folder that was named; other stores have no links."""
+    if not name.startswith("file:"):
+        return False
+    real = os.path.realpath(unquote(urlsplit(name).path))
+    return os.path.commonpath([real, os.path.realpath(root)]) != os.path.realpath(root)
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """``path, kind, title, text`` of every readable file under a folder; hidden and oversized files are left out.
+    """``path, kind, title, text, refused`` of every file under a folder.
 
-    Dates are never taken from the file system. Office files are named by kind,
-    with no text.
+    Hidden files, and what lies in hidden folders, are passed over. Files that
+    are too large, too deep, or links to outside the folder are refused, with the
+    reason and without their content being read. Dates are never taken from the
+    file system. Office files are named by kind, with no text.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.substring_index("path", "/", -1)
-    raw = raw.where((F.col("length") <= MAX_BYTES) & ~name.startswith(".")).select("path", detect_kind(F.col("content"), name).alias("kind"), "content")
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toUri().getPath().rstrip("/")
+    below = F.split(F.substring_index("path", root + "/", -1), "/")
+    raw = raw.where(~F.exists(below, lambda x: x.startswith(".")))
+    refused = F.when(F.size(below) - 1 > MAX_DEPTH, F.lit(f"deeper than {MAX_DEPTH} levels")).when(F.col("length") > MAX_BYTES, F.lit(f"larger than {MAX_BYTES} bytes"))
+    none = raw.where(refused.isNotNull()).select("path", F.lit(None).cast("string").alias("kind"), F.lit("").alias("title"), F.lit("").alias("text"), refused.alias("refused"))
+    raw = raw.where(refused.isNull()).select("path", detect_kind(F.col("content"), name).alias("kind"), "content")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             titles, texts = [], []
-            for kind, content in zip(batch["kind"], batch["content"], strict=True):
+            why = ["symlink points outside the folder" if _outside(p, root) else None for p in batch["path"]]
+            for kind, content, bad in zip(batch["kind"], batch["content"], why, strict=True):
                 title, text = "", ""
-                if kind == "html":
+                if bad:
+                    pass
+                elif kind == "html":
                     title, _, text, _, _ = parse_html(decode_bytes(content))
+                    title = title or json_ld(decode_bytes(content)).get("headline") or ""
                 elif kind == "pdf":
                     text = pdf_text(content)
                     title = text.split("\n", 1)[0][:120]
@@ -189,6 +228,6 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
                     title = title or (first if 0 < len(first) <= 120 else "")
                 titles.append(title)
                 texts.append(text)
-            yield pd.DataFrame({"path": batch["path"], "kind": batch["kind"], "title": titles, "text": texts})
+            yield pd.DataFrame({"path": batch["path"], "kind": batch["kind"], "title": titles, "text": texts, "refused": pd.Series(why, dtype=object)})
 
-    return raw.mapInPandas(run, "path string, kind string, title string, text string")
+    return raw.mapInPandas(run, "path string, kind string, title string, text string, refused string").unionByName(none)

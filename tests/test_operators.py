@@ -62,8 +62,8 @@ def test_dates(spark):
 
 def test_copies_are_one_source(spark):
     story = " ".join(f"word{i}" for i in range(60))
-    docs = spark.createDataFrame([(i, f"outlet{i % 3}", "t", story + (" extra" if i == 4 else "")) for i in range(5)] + [(9, "x", "t", "short")], "id long, outlet string, title string, text string")
-    v = dedup.verdicts(dedup.similarity(dedup.lsh_candidates(dedup.simhash(docs)), docs), docs)
+    docs = spark.createDataFrame([(i, f"outlet{i % 3}", "t", story + (" extra" if i == 4 else ""), "news") for i in range(5)] + [(9, "x", "t", "short", "web")], "id long, outlet string, title string, text string, family string")
+    v = dedup.verdicts(dedup.similarity(dedup.candidates(docs), docs), docs)
     keys = {r.id: r.independence_key for r in dedup.independence(docs, v.where("relation <> 'independent'")).collect()}
     assert {keys[i] for i in range(5)} == {0} and keys[9] == 9
 
