@@ -16,7 +16,7 @@ from .textbytes import IdentityHash, RangeHash, chunks
 #: Bytes of the grams among which a window's anchor is the smallest.
 GRAM = 32
 #: A longer text is scanned in pieces of this size, overlapping by one byte less than a window.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Suffixes sorted together, unless one group has more.
 BATCH = 60_000
 

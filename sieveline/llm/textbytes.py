@@ -111,7 +111,7 @@ class IdentityHash:
             return mix(h + mix((end - start).astype(np.uint64)))
 
 
-def chunks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows of a text column in runs of about ``limit`` bytes.
 
     Yields first row, row after the last, the run's UTF-8 bytes and the rows'
