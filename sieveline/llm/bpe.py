@@ -11,6 +11,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import ship_package
+
 NONE = np.int32(2**31 - 1)
 #: Pieces remembered by a Python worker before it starts afresh.
 REMEMBERED = 200_000
@@ -237,6 +239,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_
     empty texts have no tokens. Rows are independent: no shuffle, memory is
     bounded by a batch, repeated rows and other columns do not matter.
     """
+    ship_package(docs.sparkSession)
     src = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if with_ids else "")

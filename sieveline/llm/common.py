@@ -1,64 +1,16 @@
-"""Shared plumbing: table access and lineage cuts in the cluster's shared folder."""
+"""Shared plumbing: table access, and lineage cuts in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
+from ..shared import cut, drop_cut, drop_path, shared_dir, shared_path
+
+__all__ = ["cut", "drop_cut", "drop_path", "shared_dir", "shared_path", "ship_package", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables, read through Spark's own readers."""
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``.
-
-    Only where the session names none (single-machine tests) a temporary
-    folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sieveline-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/sieveline/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a shared table that nothing reads any more."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as a shared parquet table and read it back.
-
-    Cuts the lineage, and a lost executor costs only the tasks that ran on it.
-    """
-    spark = df.sparkSession
-    ship_package(spark)
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sieveline_path = path
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Remove the table behind a frame made by :func:`cut`."""
-    path = getattr(df, "_sieveline_path", None)
-    if path:
-        drop_path(df.sparkSession, path)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship_package
 from .textbytes import RangeHash, chunks, mix, runs
 
 #: Labelled rows that a model is fitted on at most: a bounded sample, by hash of the id.
@@ -162,6 +163,7 @@ def fit(train: DataFrame, *, buckets: int = BUCKETS) -> LogisticModel:
                     names=["id", "y", "idx", "val"],
                 )
 
+    ship_package(train.sparkSession)
     got = train.mapInArrow(run, "id string, y int, idx array<int>, val array<float>").toArrow().sort_by("id")
     # views of what was collected, widened one example at a time; given back to the system when fitted
     rows = [(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(got["idx"], got["val"], strict=True)]
@@ -173,6 +175,7 @@ def fit(train: DataFrame, *, buckets: int = BUCKETS) -> LogisticModel:
 
 def score_quality(docs: DataFrame, model: LogisticModel, threshold: float = 0.7, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` of every whole text; a null or empty text scores the bias. No shuffle."""
+    ship_package(docs.sparkSession)
     src = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +196,7 @@ def keep_quality(docs: DataFrame, model: LogisticModel, threshold: float, *, tex
             keep = np.concatenate([model.score(data, offsets) >= threshold for _, _, data, offsets in chunks(column)] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(keep))
 
+    ship_package(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -12,42 +12,52 @@ from .common import shared_path, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, fitted outside the held-out fold; label 1 at 0.7 or more."""
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.7)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record in the shared folder, read back; equal payloads of any size are revisits."""
     return warc.warc_round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc"), 0)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded by the public ranks and pattern, and decoded again."""
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url under the production rules and its aliases."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, fitted outside the held-out fold; label 1 at 0.7 or more."""
     return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.7)
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, components times 64 and floored."""
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), 20, 64, 20)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes that a repeated string of 400 bytes covers."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are similar to nine tenths."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold items of the benchmark, also with other numbers, names or units."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text by the public piece model, and whether they are more than 4096."""
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 

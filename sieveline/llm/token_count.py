@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import ship_package
 from .textbytes import chunks
 
 SPACE = "▁"
@@ -276,6 +277,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, *, key: str = "d
     shuffle; memory is bounded by a batch, whatever the number of rows; repeated
     rows and other columns do not matter.
     """
+    ship_package(docs.sparkSession)
     src = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean"
 

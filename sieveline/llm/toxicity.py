@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship_package
 from .quality import _KIND, in_split, training_rows
 from .textbytes import IdentityHash, RangeHash, chunks, runs
 
@@ -225,6 +226,7 @@ def fit(rows: DataFrame, bag_words: int = BAG) -> BagModel:
 
 def score_toxicity(docs: DataFrame, model: BagModel, threshold: float = 0.7, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` of every whole text; a text without words scores the bias. No shuffle."""
+    ship_package(docs.sparkSession)
     src = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ship_package
+
 MAGIC = "WARC/1.1\r\n"
 _MAGIC = MAGIC.encode()
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -167,6 +169,7 @@ def read_archives(spark: SparkSession, path: str, key: str = "bigint") -> DataFr
     archive has no records. ``verified`` says that a response's payload has the
     digest that its header names.
     """
+    ship_package(spark)
     rows = spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
     schema = FIELDS.format(key="string")
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
