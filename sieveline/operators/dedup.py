@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fingerprint as fp
@@ -39,17 +39,24 @@ def identity_verdicts(docs: DataFrame) -> DataFrame:
 def simhash(docs: DataFrame, n: int = 4) -> DataFrame:
     """``id, hi, lo``: halves of a 64-bit SimHash over n-word shingles; none under eight words.
 
-    Each bit is one conditional sum, so a gram is one row, not 64; a bit is set
-    when its votes are above zero.
+    A gram is one row, not 64: two bits' votes are counted in one number, of 31
+    bits each, so 32 sums do. A bit is set when more than half of the grams have it.
     """
     toks = docs.select("id", tx.tokens(F.col("text")).alias("w")).where(F.size("w") >= 8)
     grams = toks.select("id", F.explode(fp.shingles(F.col("w"), n)).alias("g"))
     hi, lo = fp.gram_bits(F.col("g"))
     grams = grams.select("id", hi.alias("h"), lo.alias("l"))
-    votes = [F.sum(F.when(F.shiftright(half, b).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)).alias(f"{half}{b}") for half in ("h", "l") for b in range(32)]
-    sums = grams.groupBy("id").agg(*votes)
-    pack = lambda half: sum((F.when(F.col(f"{half}{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for b in range(1, 32)), F.when(F.col(f"{half}0") > 0, 1).otherwise(0).cast("long"))
-    return sums.select("id", pack("h").alias("hi"), pack("l").alias("lo"))
+    bit = lambda half, b: F.shiftright(half, b).bitwiseAND(F.lit(1).cast("long"))
+    sums = grams.groupBy("id").agg(F.count("*").alias("n"), *[F.sum(bit("h", b) + F.shiftleft(bit("l", b), 31)).alias(f"v{b}") for b in range(32)])
+    votes = {"hi": lambda v: v.bitwiseAND(F.lit((1 << 31) - 1)), "lo": lambda v: F.shiftright(v, 31)}
+
+    def packed(name: str) -> Column:
+        out = F.lit(0).cast("long")
+        for b in range(32):
+            out = out + F.when(votes[name](F.col(f"v{b}")) * 2 > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0)).cast("long")
+        return out.alias(name)
+
+    return sums.select("id", packed("hi"), packed("lo"))
 
 
 def bands(hashes: DataFrame) -> DataFrame:

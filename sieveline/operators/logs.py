@@ -38,10 +38,17 @@ def budget_snapshot(usage: DataFrame, limits: DataFrame, near: float = 0.85) ->
 
 
 def budget_gate(calls: DataFrame, limit: float) -> DataFrame:
-    """Calls in order, each with what its provider had spent up to it, and whether it fits the allowance."""
-    w = Window.partitionBy("provider").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spent = F.round(F.sum("amount").over(w), 4)
-    return calls.withColumn("spent", spent).withColumn("allowed", F.col("spent") <= limit)
+    """Calls in order, each with what its provider had spent up to it, and whether it fits the allowance.
+
+    Days are summed first and their sums run on by provider; the calls
+    themselves are ordered within a day only, so no task holds a provider's history.
+    """
+    run = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dated = calls.withColumn("_day", F.to_date("ts"))
+    days = dated.groupBy("provider", "_day").agg(F.sum("amount").alias("_sum"))
+    days = days.select("provider", "_day", (F.sum("_sum").over(run("provider").orderBy("_day")) - F.col("_sum")).alias("_before"))
+    spent = F.round(F.col("_before") + F.sum("amount").over(run("provider", "_day").orderBy("ts", "call_id")), 4)
+    return dated.join(days, ["provider", "_day"]).withColumn("spent", spent).withColumn("allowed", F.col("spent") <= limit).drop("_day", "_before")
 
 
 def stop_rules(state: DataFrame) -> DataFrame:

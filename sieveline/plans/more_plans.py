@@ -44,10 +44,14 @@ def count_independent(spark, d):
     return dp._keys(spark, d).agg(F.count("*").alias("documents"), F.count_distinct("independence_key").alias("independent"))
 
 
-@query("classify_work", "SELECT l_suppkey AS id, CASE WHEN max(l_suppkey) % 3 = 0 THEN 'academic_preprint' ELSE 'academic_peer_reviewed' END AS kind FROM lineitem GROUP BY 1")
+_VENUE = "['arXiv (Cornell University)', 'Journal of Things', 'SSRN Electronic Journal', 'bioRxiv', 'Research Square notes', 'Proceedings'][(p_partkey % 6) + 1]"
+
+
+@query("classify_work", f"""SELECT p_partkey AS id, CASE WHEN regexp_matches(concat_ws(' ', p_type, {_VENUE}, CASE WHEN p_partkey % 7 = 0 THEN '10.48550/x' END, p_name), '{ids.PREPRINTS}') THEN 'academic_preprint' ELSE 'academic_peer_reviewed' END AS kind FROM part""")
 def classify_work(spark, d):
-    venue = F.when(F.col("l_suppkey") % 3 == 0, F.lit("arXiv (Cornell University)")).otherwise("Journal of Things")
-    return b.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), ids.classify_work(F.lit("article"), venue, F.lit(None).cast("string"), F.lit("")).alias("kind")).distinct()
+    venues = F.array(*map(F.lit, ("arXiv (Cornell University)", "Journal of Things", "SSRN Electronic Journal", "bioRxiv", "Research Square notes", "Proceedings")))
+    p = b.table(spark, d, "part").withColumn("venue", F.get(venues, (F.col("p_partkey") % 6).cast("int")))
+    return p.select(F.col("p_partkey").alias("id"), ids.classify_work(F.col("p_type"), F.col("venue"), F.when(F.col("p_partkey") % 7 == 0, "10.48550/x"), F.col("p_name")).alias("kind"))
 
 
 @query("family_for", f"WITH {b.EVIDENCE_SQL} SELECT CASE WHEN source_type LIKE 'academic%' THEN 'academic' WHEN source_type LIKE '%news%' THEN 'news' WHEN source_type = 'press_release' THEN 'corporate' WHEN source_type = 'regulatory_document' THEN 'government' ELSE 'web' END AS family, count(*) AS n FROM ev GROUP BY 1")
@@ -76,31 +80,41 @@ def sanitize_external_text(spark, d):
     return b.table(spark, d, "conversations").select("conv_id", "turn", tx.sanitize(F.col("text")).alias("safe"))
 
 
-@query("author_names", r"SELECT s_suppkey AS id, array_to_string(['Ann A', 'Bo ' || s_suppkey, 'Cy C'], '|') AS names FROM supplier")
+@query("author_names", r"""SELECT s_suppkey AS id, array_to_string(list_filter(list_transform(regexp_split_to_array(s_name || ';  ' || n_name || ' and ' || c_name || ', ' || r_name, '\s*(?:;|\||,|\band\b)\s*'), lambda x: trim(x)), lambda x: x <> ''), '|') AS names
+FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey JOIN customer ON c_custkey = s_suppkey""")
 def author_names(spark, d):
-    raw = F.concat(F.lit("Ann A;  Bo "), F.col("s_suppkey").cast("string"), F.lit(" and Cy C"))
-    return b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array_join(ids.split_authors(raw), "|").alias("names"))
+    n = b.table(spark, d, "nation").join(F.broadcast(b.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = b.table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(b.table(spark, d, "customer"), F.col("c_custkey") == F.col("s_suppkey"))
+    raw = F.concat("s_name", F.lit(";  "), "n_name", F.lit(" and "), "c_name", F.lit(", "), "r_name")
+    return j.select(F.col("s_suppkey").alias("id"), F.array_join(ids.split_authors(raw), "|").alias("names"))
+
+
+#: Texts that name DOIs: a document's first line, with references of its own id and others'.
+_REFS = "substring_index(text, chr(10), 1) || ' see 10.1000/A' || (doc_id % 30) || ', also doi:10.1000/b(' || (doc_id % 7) || ')). and 10.1000/a' || (doc_id % 30) || '; [10.12345/' || doc_id || ']'"
+_FOUND = r"""nm AS (SELECT doc_id, unnest(regexp_extract_all(split_part(text, chr(10), 1) || ' see 10.1000/A' || (doc_id % 30) || ', also doi:10.1000/b(' || (doc_id % 7) || ')). and 10.1000/a' || (doc_id % 30) || '; [10.12345/' || doc_id || ']', '\b10\.\d{4,9}/[^\s"''<>]+')) AS raw FROM documents),
+tr AS (SELECT doc_id, raw, regexp_replace(raw, '[.,;:)\]}>"'']+$', '') AS t FROM nm),
+dois AS (SELECT DISTINCT doc_id, lower(t || repeat(')', least(greatest(0, length(replace(t, ')', '')) - length(replace(t, '(', ''))), length(regexp_extract(substr(raw, length(t) + 1), '^\)*')))::INTEGER)) AS doi FROM tr)"""
 
 
-_REFS = "'see 10.1000/a' || (item_id % 30) || ', also doi:10.1000/B2. and 10.1000/a' || (item_id % 30)"
+def _named_dois(spark, d):
+    return b.table(spark, d, "documents").select("doc_id", F.explode(ids.extract_dois(F.expr(_REFS))).alias("doi"))
 
 
-@query("extract_doi", "SELECT item_id, '10.1000/a' || (item_id % 30) || '|10.1000/b2' AS dois FROM benchmark")
+@query("extract_doi", f"WITH {_FOUND} SELECT doc_id AS id, doi FROM dois")
 def extract_doi(spark, d):
-    return b.table(spark, d, "benchmark").select("item_id", F.array_join(ids.extract_dois(F.expr(_REFS)), "|").alias("dois"))
+    return _named_dois(spark, d).select(F.col("doc_id").alias("id"), "doi")
 
 
-@query("doi_chase", "SELECT '10.1000/a' || k AS doi, count(*) AS mentions FROM (SELECT item_id % 30 AS k FROM benchmark) WHERE k >= 10 GROUP BY 1")
+@query("doi_chase", f"WITH {_FOUND} SELECT doi, count(*) AS mentions FROM dois WHERE doi NOT IN (SELECT '10.1000/a' || (doc_id % 10) FROM documents) GROUP BY 1")
 def doi_chase(spark, d):
-    """DOIs named in texts that are not held yet."""
-    named = b.table(spark, d, "benchmark").select(F.explode(ids.extract_dois(F.expr(_REFS))).alias("doi")).where("doi <> '10.1000/b2'")
-    held = spark.createDataFrame([(f"10.1000/a{k}",) for k in range(10)], "doi string")
-    return named.groupBy("doi").agg(F.count("*").alias("mentions")).join(held, "doi", "left_anti")
+    """DOIs named in texts that no held document has."""
+    held = b.documents(spark, d).select(F.concat(F.lit("10.1000/a"), (F.col("id") % 10).cast("string")).alias("doi")).distinct()
+    return _named_dois(spark, d).groupBy("doi").agg(F.count("*").alias("mentions")).join(held, "doi", "left_anti")
 
 
-@query("doi_to_url", "SELECT item_id, 'https://doi.org/10.1000/x' || item_id AS url FROM benchmark")
+@query("doi_to_url", f"WITH {_FOUND} SELECT doc_id AS id, 'https://doi.org/' || doi AS url FROM dois")
 def doi_to_url(spark, d):
-    return b.table(spark, d, "benchmark").select("item_id", ids.doi_to_url(F.concat(F.lit("doi:10.1000/X"), F.col("item_id").cast("string"))).alias("url"))
+    return _named_dois(spark, d).select(F.col("doc_id").alias("id"), ids.doi_to_url(F.col("doi")).alias("url"))
 
 
 @query("extract_json", """SELECT event_id, (props::JSON ->> '$.k')::INTEGER AS k FROM events""")
