@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprint as fp
 from ..functions import text as tx
+from ..session import ship_package
 
 #: How much a vote of each retriever, and each kind of edge, is worth.
 RRF_WEIGHTS = {"lexical": 1.0, "graph": 0.8, "vector": 0.9}
@@ -88,6 +89,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, block_queries:
     each query's best ``k``. Vectors of different lengths, or of length zero,
     are not compared; equal scores go to smaller ids.
     """
+    ship_package(vectors.sparkSession)
     ways = max(1, -(-vectors.count() // block_vectors))
     asks = max(1, -(-queries.count() // block_queries))
     kind = vectors.schema["id"].dataType.simpleString()
@@ -176,20 +178,28 @@ def retriever_weight(column: str = "retriever") -> Column:
     return out
 
 
-def graph_expand(seeds: DataFrame, citations: DataFrame, copies: DataFrame) -> DataFrame:
+def graph_expand(seeds: DataFrame, citations: DataFrame, copies: DataFrame | None = None, shared: dict[str, DataFrame] | None = None) -> DataFrame:
     """``query_id, id, score, reasons`` of documents next to ranked seeds (``query_id, id, rank``).
 
-    Citations count by the seed's place (1, 1/2, 1/3 ...), copies of one source
-    in full; sums over edges; seeds themselves are left out. One equi-join for
-    each kind of edge.
+    Citations count by the seed's place (1, 1/2, 1/3 ...); what shares a claim
+    or an entity with a seed counts in full (``shared``: by kind of edge,
+    ``id, node``), and so do copies of its source, where they are asked for: in
+    a ranking a copy is the same story again. Sums over edges; seeds themselves
+    are left out. One equi-join for each kind of edge.
     """
     s = seeds.select("query_id", F.col("id").alias("seed"), (1.0 / F.col("rank")).alias("w"))
     edges = citations.where("cited is not null")
     out = s.join(edges, F.col("seed") == F.col("citing")).select("query_id", F.col("cited").alias("id"), (F.col("w") * EDGE_WEIGHTS["cites"]).alias("x"), F.lit("cites").alias("kind"))
     back = s.join(edges, F.col("seed") == F.col("cited")).select("query_id", F.col("citing").alias("id"), (F.col("w") * EDGE_WEIGHTS["cited_by"]).alias("x"), F.lit("cited_by").alias("kind"))
-    mine = s.join(copies.toDF("seed", "independence_key"), "seed").select("query_id", "independence_key").distinct()
-    same = mine.join(copies, "independence_key").select("query_id", "id", F.lit(EDGE_WEIGHTS["copy"]).alias("x"), F.lit("copy").alias("kind"))
-    every = out.union(back).union(same).join(s.select("query_id", F.col("seed").alias("id")), ["query_id", "id"], "left_anti")
+    every = out.union(back)
+    for kind, links in (shared or {}).items():
+        # each link of a seed to a node counts, with each link of others to it
+        ours = s.join(links.toDF("seed", "node"), "seed").groupBy("query_id", "node").agg(F.count("*").alias("n"))
+        every = every.union(ours.join(links, "node").select("query_id", "id", (F.col("n") * EDGE_WEIGHTS[kind]).alias("x"), F.lit(kind).alias("kind")))
+    if copies is not None:
+        mine = s.join(copies.toDF("seed", "independence_key"), "seed").select("query_id", "independence_key").distinct()
+        every = every.union(mine.join(copies, "independence_key").select("query_id", "id", F.lit(EDGE_WEIGHTS["copy"]).alias("x"), F.lit("copy").alias("kind")))
+    every = every.join(s.select("query_id", F.col("seed").alias("id")), ["query_id", "id"], "left_anti")
     return every.groupBy("query_id", "id").agg(F.round(F.sum("x"), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("reasons"))
 
 

@@ -108,11 +108,12 @@ def l2_normalize(spark, d):
     return _vectors(spark, d).select("id", F.round(F.sqrt(sq), 4).alias("norm"))
 
 
-_GRAPH = f"""{b.CITATIONS_SQL}, seed AS (SELECT query_id, id AS seed, 1.0 / rank AS w FROM lex WHERE rank <= 5),
+def _graph_sql(copies: bool) -> str:
+    more = "UNION ALL SELECT query_id, c.id, 0.3, 'copy' FROM (SELECT DISTINCT query_id, independence_key FROM seed JOIN cop ON cop.id = seed) s JOIN cop c USING (independence_key)" if copies else ""
+    return f"""{b.CITATIONS_SQL}, seed AS (SELECT query_id, id AS seed, 1.0 / rank AS w FROM lex WHERE rank <= 5),
 cop AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY md5(text)) AS independence_key FROM documents),
 ge AS (SELECT query_id, cited AS id, w AS x, 'cites' AS kind FROM seed JOIN cit ON citing = seed WHERE cited IS NOT NULL
-  UNION ALL SELECT query_id, citing, w, 'cited_by' FROM seed JOIN cit ON cited = seed
-  UNION ALL SELECT query_id, c.id, 0.3, 'copy' FROM (SELECT DISTINCT query_id, independence_key FROM seed JOIN cop ON cop.id = seed) s JOIN cop c USING (independence_key)),
+  UNION ALL SELECT query_id, citing, w, 'cited_by' FROM seed JOIN cit ON cited = seed {more}),
 gx AS (SELECT query_id, id, round(sum(x), 6) AS score, array_to_string(list_sort(list(DISTINCT kind)), ',') AS reasons FROM ge
   WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.query_id = ge.query_id AND s.seed = ge.id) GROUP BY 1, 2)"""
 
@@ -122,16 +123,17 @@ def _copies(spark, d):
     return h.join(h.groupBy("h").agg(F.min("id").alias("independence_key")), "h").select("id", "independence_key")
 
 
-def _graph_hits(spark, d, lexical):
-    return ret.graph_expand(lexical.where(F.col("rank") <= ret.SEEDS), b.citations(spark, d), _copies(spark, d))
+def _graph_hits(spark, d, lexical, copies=None):
+    return ret.graph_expand(lexical.where(F.col("rank") <= ret.SEEDS), b.citations(spark, d), copies)
 
 
-@query("graph_expand", f"WITH {_BM}, {_GRAPH} SELECT query_id, id, round(score, 4) AS score, reasons FROM gx")
+@query("graph_expand", f"WITH {_BM}, {_graph_sql(True)} SELECT query_id, id, round(score, 4) AS score, reasons FROM gx")
 def graph_expand(spark, d):
-    return _graph_hits(spark, d, _lexical(spark, d)).select("query_id", "id", F.round("score", 4).alias("score"), "reasons")
+    """What citations and copies lead to from the best hits."""
+    return _graph_hits(spark, d, _lexical(spark, d), _copies(spark, d)).select("query_id", "id", F.round("score", 4).alias("score"), "reasons")
 
 
-_HYB = f"""{_BM}, {_GRAPH}, {_VEC},
+_HYB = f"""{_BM}, {_graph_sql(False)}, {_VEC},
 gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM gx),
 gl AS (SELECT g.query_id, g.id, row_number() OVER (PARTITION BY g.query_id ORDER BY g.score DESC, g.id)::INTEGER AS rank FROM gx g JOIN lex USING (query_id, id)),
 allr AS (SELECT query_id, id, rank, 1.0 AS w, 'lexical' AS retriever FROM lex UNION ALL SELECT query_id, id, rank, 0.8, 'graph' FROM gl UNION ALL SELECT query_id, id, rank, 0.9, 'vector' FROM vec WHERE rank <= 10),

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Larger files are not read, deeper folders not entered.
 MAX_BYTES, MAX_DEPTH = 32 * 1024 * 1024, 8
 #: Elements whose text is not the page's.
@@ -152,6 +154,7 @@ def json_ld(html: str, depth: int = 4) -> dict:
 
 def extract_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """``page_id, title, lang, text, links, canonical`` of each page, batch by batch."""
+    ship_package(pages.sparkSession)
     src = pages.select(F.col(key).alias("page_id"), F.col(html).alias("html"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,6 +198,7 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     reason and without their content being read. Dates are never taken from the
     file system. Office files are named by kind, with no text.
     """
+    ship_package(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.substring_index("path", "/", -1)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
