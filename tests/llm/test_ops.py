@@ -475,9 +475,10 @@ def test_decontamination_of_long_texts(spark):
 
 
 def test_warc_of_long_payloads(spark):
-    pages = spark.createDataFrame([(1, "u", "é<" * 2_000_000), (2, "u", "WARC/1.1\r\nContent-Length: 999999999\r\n\r\n" * 400)], "page_id long, url string, html string")
+    magic = "WARC/1.1\r\nContent-Length: 999999999\r\n\r\n" * 400
+    pages = spark.createDataFrame([(1, "u", "é<" * 2_000_000), (2, "u", magic)], "page_id long, url string, html string")
     got = {r.page_id: r for r in warc.warc_round_trip(pages, shared_path(spark, "warc-long")).collect()}
-    assert got[1].payload_bytes == 6_000_000 and got[2].payload_bytes == 400 * 41 and all(r.verified for r in got.values())
+    assert got[1].payload_bytes == 6_000_000 and got[2].payload_bytes == len(magic.encode()) and all(r.verified for r in got.values())
 
 
 def test_ftrl_learns_a_word():
