@@ -20,6 +20,11 @@ def shingles(words: Column, n: int) -> Column:
     return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(grams))
 
 
+def hashed_shingles(words: Column, n: int) -> Column:
+    """The set of 64-bit hashes of :func:`shingles`."""
+    return F.array_distinct(F.transform(shingles(words, n), lambda g: F.xxhash64(g)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """|A n B| / |A u B|; 0 when one is empty."""
     both = F.size(F.array_intersect(a, b))

@@ -89,13 +89,17 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def similarity(pairs: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
-    """``a, b, score``: the larger of Jaccard and containment either way of n-word shingles."""
+    """``a, b, score``: the larger of Jaccard and containment either way of n-word shingles.
+
+    Sets hold 64-bit hashes of shingles, so that a pair carries numbers and not
+    texts. The overlap is counted once a pair, in a column of its own.
+    """
     # tokens are a column of their own: inside the shingles' lambda they would be worked out for every shingle
-    sets = docs.select("id", tx.tokens(F.col("text")).alias("w")).select("id", fp.shingles(F.col("w"), n).alias("s"))
+    sets = docs.select("id", tx.tokens(F.col("text")).alias("w")).select("id", fp.hashed_shingles(F.col("w"), n).alias("s"))
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    both = pairs.join(left, "a").join(right, "b")
-    score = F.greatest(fp.jaccard(F.col("sa"), F.col("sb")), fp.containment(F.col("sa"), F.col("sb")), fp.containment(F.col("sb"), F.col("sa")))
-    return both.select("a", "b", score.alias("score"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
+    # the overlap against the smaller set is never less than against the union
+    return both.select("a", "b", F.when(F.least("na", "nb") == 0, 0.0).otherwise(F.col("i") / F.least("na", "nb")).alias("score"))
 
 
 def verdicts(scored: DataFrame, docs: DataFrame, near: float = NEAR, derived: float = DERIVED) -> DataFrame:

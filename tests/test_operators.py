@@ -1,7 +1,9 @@
 """Operators on small frames with known answers."""
 
 import datetime as dt
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import dates, fingerprint, ids, text, urls
@@ -164,3 +166,21 @@ def test_passage_queries_take_the_whole_query_set(spark, sf):
     want = {r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id % 20 = 0").collect()}
     for name in ("select_passages", "bm25_passage"):
         assert {r.query_id for r in QUERIES[name](spark, sf).select("query_id").distinct().collect()} == want
+
+
+def test_similarity_equals_plain_sets(spark):
+    """Hashed shingles give the scores of sets of strings, also for repeated, short and empty texts."""
+    texts = {1: "a b c d e f g h", 2: "x a b c d e f g h y", 3: "a b c", 4: "", 5: None, 6: "a b c d e " * 4, 7: "A, b; c"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    got = {(r.a, r.b): r.score for r in dedup.similarity(spark.createDataFrame(pairs, "a long, b long"), docs).collect()}
+
+    def shingles(text):
+        w = re.findall("[a-z0-9]+", (text or "").lower())
+        return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    for a, b in pairs:
+        x, y = shingles(texts[a]), shingles(texts[b])
+        both = len(x & y)
+        want = max(both / len(x | y), both / len(x), both / len(y)) if x and y else 0.0
+        assert got[a, b] == pytest.approx(want), (a, b)
