@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, kdtree, quality, suffix_dedup, token_count, toxicity, url_filter, warc
+from . import bpe, centroids, decontam, jaccard, kdtree, mixing, quality, repair, suffix_dedup, token_count, toxicity, url_filter, warc
 from .common import shared_path, table
 
 
@@ -61,6 +61,21 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources, of half as much again, takes of every document; no source above two epochs."""
+    return mixing.mix(table(spark, sf_dir, "documents"), (3, 1, 2), (3, 2), 2).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged, and the cheapest edits that repair it."""
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five rounds of 40 centroids over all vectors, components times 256 and floored."""
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), 40, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
@@ -72,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_token_count": op10_token_count,
+    "op11_mixing": op11_mixing,
+    "op12_repair": op12_repair,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +98,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_exact_top_k": kdtree.SQL,
     "op8_jaccard_join": jaccard.SQL,
     "op9_decontamination": decontam.SQL,
+    "op11_mixing": mixing.SQL,
+    "op12_repair": repair.SQL,
+    "op13_centroids": centroids.SQL,
 }
