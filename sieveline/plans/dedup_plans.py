@@ -8,7 +8,7 @@ from .. import bindings as b
 from ..functions import fingerprint as fp
 from ..functions import ids
 from ..functions import text as tx
-from ..operators import dedup
+from ..operators import dedup, setjoin
 from .registry import query
 from .texts import _TITLE
 
@@ -167,3 +167,49 @@ def evaluate_independence(spark, d):
     q = b.table(spark, d, "labels").select("doc_id", "quality")
     j = s.join(q.toDF("a", "qa"), "a").join(q.toDF("b", "qb"), "b").select((F.col("score") >= 0.72).alias("p"), (F.col("qa") == F.col("qb")).alias("t"))
     return j.agg(F.count_if(F.col("p") & F.col("t")).alias("tp"), F.count_if(F.col("p") & ~F.col("t")).alias("fp"), F.count_if(~F.col("p") & F.col("t")).alias("fn"), F.count_if(~F.col("p") & ~F.col("t")).alias("tn"))
+
+
+_EXACT = f"""{_PAIRS}, {_SETS},
+sh AS (SELECT id, unnest(s) AS g FROM sets),
+cls AS (SELECT id, min(id) OVER (PARTITION BY list_sort(s)) AS first_id, len(s) AS n FROM sets WHERE len(s) > 0),
+scored AS (SELECT a, b, i / least(x.n, y.n) AS score FROM (SELECT p.id AS a, q.id AS b, count(*) AS i FROM sh p JOIN sh q USING (g) WHERE p.id < q.id GROUP BY 1, 2) JOIN cls x ON x.id = a JOIN cls y ON y.id = b
+  WHERE i >= ceil(0.4 * least(x.n, y.n) - 1e-9)),
+lnk AS (SELECT u AS id, count(DISTINCT f) AS links FROM (SELECT a AS u, y.first_id AS f, x.first_id AS o FROM scored JOIN cls x ON x.id = a JOIN cls y ON y.id = b
+  UNION ALL SELECT b, x.first_id, y.first_id FROM scored JOIN cls x ON x.id = a JOIN cls y ON y.id = b) WHERE f <> o GROUP BY 1),
+best AS (SELECT b AS id, arg_max(a, struct_pack(s := score, n := -a)) AS matched_id, max(score) AS score FROM scored GROUP BY b),""" + _SCORED[_SCORED.index("\ncredit AS"):]
+
+
+def _exact(spark, d, least=dedup.DERIVED):
+    docs = b.documents(spark, d)
+    sets = docs.select("id", tx.tokens(F.col("text")).alias("w")).select("id", fp.hashed_shingles(F.col("w"), 5).alias("s"))
+    return docs, setjoin.overlap_join(sets, least)
+
+
+@query("dedup_near_shingle", f"""WITH {_EXACT}
+SELECT v.id, v.matched_id, v.relation, v.similarity, coalesce(l.links, 0) AS links FROM ver v LEFT JOIN lnk l ON l.id = v.id""")
+def dedup_near_shingle(spark, d):
+    """Verdicts by the exact join of all shingle sets: no candidates by fingerprint, no cap."""
+    docs, found = _exact(spark, d)
+    ver = dedup.verdicts(found.where("matched_id is not null").select(F.col("matched_id").alias("a"), F.col("id").alias("b"), "score"), docs)
+    return ver.join(found.select("id", "links"), "id")
+
+
+@query("similarity_classes", f"""WITH {_EXACT}
+SELECT c.id, c.first_id, coalesce(l.links, 0) AS links FROM cls c LEFT JOIN lnk l ON l.id = c.id WHERE l.links > 0 OR c.first_id IN (SELECT first_id FROM cls GROUP BY 1 HAVING count(*) > 1)""".replace("0.4 * least", "0.72 * least"))
+def similarity_classes(spark, d):
+    """Documents that equal or resemble another by 0.72: the class of equal shingle sets, and how many other classes it links with."""
+    return _exact(spark, d, dedup.NEAR)[1].select("id", "first_id", "links")
+
+
+@query("lsh_recall", f"""WITH {_SCORED},
+sh AS (SELECT id, unnest(s) AS g FROM sets),
+truth AS (SELECT b, max(i / least(len(x.s), len(y.s))) AS score FROM (SELECT p.id AS a, q.id AS b, count(*) AS i FROM sh p JOIN sh q USING (g) WHERE p.id < q.id GROUP BY 1, 2) JOIN sets x ON x.id = a JOIN sets y ON y.id = b GROUP BY b),
+found AS (SELECT b, max(score) AS score FROM scored GROUP BY b)
+SELECT level, count(*) AS documents, count(*) FILTER (f.score >= level) AS found FROM truth t LEFT JOIN found f USING (b), (SELECT unnest([0.4, 0.72])::DOUBLE AS level) WHERE t.score >= level - 1e-9 GROUP BY 1""")
+def lsh_recall(spark, d):
+    """Of the documents with an earlier one so similar, by the exact join, those to which the fingerprints' candidates lead."""
+    docs, exact = _exact(spark, d)
+    lsh = dedup.similarity(dedup.candidates(docs), docs).groupBy(F.col("b").alias("id")).agg(F.max("score").alias("found"))
+    levels = F.explode(F.array(F.lit(dedup.DERIVED), F.lit(dedup.NEAR))).alias("level")
+    both = exact.where("score is not null").select("id", "score", levels).where("score >= level - 1e-9").join(lsh, "id", "left")
+    return both.groupBy("level").agg(F.count("*").alias("documents"), F.count_if(F.col("found") >= F.col("level")).alias("found"))
