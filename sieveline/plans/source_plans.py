@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..operators import passages as ps
-from ..sources import files, payloads, queries
+from ..sources import files, payloads, pdf, queries
 from .registry import query
 
 
@@ -18,6 +18,46 @@ def extract_page(spark, d):
     return e.select("page_id", "title", "lang", F.size("links").alias("links"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+_LD = r"""'<script type="application/ld+json">' || CASE page_id % 3
+  WHEN 0 THEN '{"@graph": [{"@type": "WebSite"}, {"headline": "Report ' || page_id || ' | Wire", "datePublished": "2021-03-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || 'T06:00:00Z", "author": [{"name": "Ada ' || page_id || '"}, "Bo Li and Cy Ho"], "publisher": {"name": "Wire"}}]}'
+  WHEN 1 THEN '{"mainEntityOfPage": {"mainEntity": {"uploadDate": "2020-01-02", "author": "Di Ng; E. Oz"}}}' ELSE '{broken' END || '</script><meta name="author" content="Late Name"><meta property="og:description" content="About ' || page_id || '">'"""
+
+
+@query("page_facts", r"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS t FROM pages)
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Report ' || page_id ELSE trim(regexp_replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) END AS title,
+  CASE page_id % 3 WHEN 0 THEN '2021-03-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || 'T06:00:00Z' WHEN 1 THEN '2020-01-02' ELSE '' END AS published,
+  CASE page_id % 3 WHEN 0 THEN 'Ada ' || page_id || ';Bo Li;Cy Ho;Late Name' WHEN 1 THEN 'Di Ng;E. Oz;Late Name' ELSE 'Late Name' END AS authors, CASE WHEN page_id % 3 = 0 THEN 'Wire' ELSE '' END AS site,
+  'About ' || page_id AS description FROM p""".replace("'\\s+'", r"'\s+'"))
+def page_facts(spark, d):
+    """Every page with a JSON-LD block of its own in the head: nested, in a graph, or broken; beside it metas. What the page says of itself."""
+    pages = b.table(spark, d, "pages").withColumn("block", F.expr(_LD.replace("::VARCHAR", "").replace("lpad((page_id % 28 + 1)", "lpad(cast(page_id % 28 + 1 as string)")))
+    e = files.extract_pages(pages.select("page_id", F.replace("html", F.lit("</head>"), F.concat("block", F.lit("</head>"))).alias("html")))
+    return e.select("page_id", "title", "published", F.array_join("authors", ";").alias("authors"), "site", "description")
+
+
+_PDF_KIND = ("plain", "mapped", "unmapped")
+
+
+@query("read_pdfs", r"""WITH d AS (SELECT doc_id, doc_id % 3 AS k, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') AS w FROM d),
+g AS (SELECT *, length(t) >= 40 AND NOT (length(regexp_replace(t, '[^A-Za-z]', '', 'g')) >= 0.5 * length(t) AND length(regexp_replace(t, '[^\s]', '', 'g')) >= 0.06 * length(t)
+  AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z]{2,15}[.,;:!?]?$'))) >= 0.35 * len(w)) AS noise FROM w)
+SELECT doc_id, CASE WHEN t = '' THEN 'no text could be extracted' WHEN noise OR (k = 2 AND length(t) >= 40) THEN 'extracted text is not legible' END AS refused,
+  CASE WHEN k = 2 THEN NULL WHEN noise THEN 0 ELSE length(t) END AS n_chars, CASE WHEN k = 2 THEN NULL WHEN noise THEN md5('') ELSE md5(t) END AS h FROM g""")
+def read_pdfs(spark, d):
+    """Every whole text as a PDF, read back: with plain strings, with glyph numbers and a map in object streams, and with the map left out (refused)."""
+    docs = b.table(spark, d, "documents").select("doc_id", "text")
+
+    def write(batches):
+        for batch in batches:
+            made = [pdf.write_pdf(t or "", _PDF_KIND[i % 3]) for i, t in zip(batch["doc_id"], batch["text"], strict=True)]
+            yield batch[["doc_id"]].assign(content=made)
+
+    got = files.read_pdfs(docs.mapInPandas(write, "doc_id long, content binary"), key="doc_id")
+    known = F.col("key") % 3 != 2
+    return got.select(F.col("key").alias("doc_id"), "refused", F.when(known, F.length("text")).cast("long").alias("n_chars"), F.when(known, F.md5("text")).alias("h"))
+
+
 @query("split_passages")
 def split_passages(spark, d):
     return ps.split_passages(b.documents(spark, d).select("id", "text")).select("id", "passage", "start", F.length("text").alias("n_chars"))

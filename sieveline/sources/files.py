@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
-import zlib
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote, urlsplit
@@ -14,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..session import ship_package
+from .pdf import pdf_text, pdf_title
 
 #: Larger files are not read, deeper folders not entered.
 MAX_BYTES, MAX_DEPTH = 32 * 1024 * 1024, 8
@@ -50,13 +50,18 @@ class _Page(HTMLParser):
         self.title, self.lang, self.links, self.meta = "", "", [], {}
         self.all, self.article = [], []
         self.stack: list[str] = []
+        self.said: list[tuple[str, str]] = []
+        self.block: list[str] | None = None
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag == "html":
             self.lang = a.get("lang") or ""
-        elif tag == "meta" and (key := a.get("property") or a.get("name")) and a.get("content"):
+        elif tag == "meta" and (key := a.get("property") or a.get("name") or a.get("itemprop")) and (a.get("content") or "").strip():
             self.meta.setdefault(key.lower(), a["content"])
+            self.said.append((key.lower(), a["content"].strip()))
+        elif tag == "script" and "ld+json" in (a.get("type") or "").lower():
+            self.block = []
         elif tag == "link" and (a.get("rel") or "").lower() == "canonical" and a.get("href"):
             self.meta.setdefault("canonical", a["href"])
         elif tag == "a" and a.get("href") and len(self.links) < 200:
@@ -67,11 +72,16 @@ class _Page(HTMLParser):
             self.handle_data("\n")
 
     def handle_endtag(self, tag):
+        if tag == "script" and self.block is not None:
+            self.said.append(("ld+json", "".join(self.block)))
+            self.block = None
         while tag in self.stack and self.stack.pop() != tag:
             pass
 
     def handle_data(self, data):
-        if "title" in self.stack and "body" not in self.stack:
+        if self.block is not None:
+            self.block.append(data)
+        elif "title" in self.stack and "body" not in self.stack:
             self.title += data
         elif not CHROME.intersection(self.stack):
             self.all.append(data)
@@ -79,90 +89,141 @@ class _Page(HTMLParser):
                 self.article.append(data)
 
 
-def parse_html(html: str) -> tuple[str, str, str, list[str], str]:
-    """Title, language, text (of the article where there is one), links, canonical url."""
+def parse_html(html: str) -> tuple[str, str, str, list[str], str, dict]:
+    """Title, language, text (of the article where there is one), links, canonical url, and :func:`page_facts`."""
     page = _Page()
     page.feed(html or "")
     page.close()
     text = "".join(page.article if "".join(page.article).strip() else page.all)
     lines = [" ".join(x.split()) for x in text.split("\n")]
-    title = page.meta.get("og:title") or " ".join(page.title.split())
-    return title, page.lang, "\n".join(x for x in lines if x), page.links, page.meta.get("canonical") or page.meta.get("og:url") or ""
+    facts = page_facts(page.said)
+    title = _unsuffixed(" ".join((facts["title"] or page.title).split()), facts["site"])
+    return title, page.lang, "\n".join(x for x in lines if x), page.links, page.meta.get("canonical") or page.meta.get("og:url") or "", facts
+
+
+#: Keys under which pages state their date and their authors, lower case.
+DATE_KEYS = frozenset("article:published_time datepublished og:published_time publishdate publish-date date dc.date dc.date.issued citation_publication_date parsely-pub-date".split())
+AUTHOR_KEYS = frozenset("author article:author citation_author parsely-author".split())
+#: Keys of JSON-LD nodes that hold nodes, those that date one, and levels that are followed.
+LD_INNER, LD_DATES, LD_DEPTH = ("@graph", "mainEntity", "mainEntityOfPage"), ("datePublished", "dateCreated", "uploadDate"), 4
+#: What separates authors' names, and titles from the outlet's name.
+NAME_BREAKS, TITLE_BREAKS = (";", " and ", "|", ","), (" | ", " - ", " – ", " — ", " :: ", " · ")
+
+
+def ld_nodes(data: object, depth: int = 0) -> Iterator[dict]:
+    """Nodes of a JSON-LD block and of those within, to ``LD_DEPTH`` levels."""
+    if depth > LD_DEPTH:
+        return
+    if isinstance(data, list):
+        for x in data:
+            yield from ld_nodes(x, depth + 1)
+    elif isinstance(data, dict):
+        yield data
+        for key in LD_INNER:
+            yield from ld_nodes(data.get(key), depth + 1)
+
+
+def names_in(value: object) -> list[str]:
+    """Names in a text that lists them, in a node, or in a list of either."""
+    if isinstance(value, list):
+        return [n for x in value for n in names_in(x)]
+    if isinstance(value, dict):
+        return names_in(value["name"]) if isinstance(value.get("name"), str) else []
+    text = " ".join(value.split()) if isinstance(value, str) else ""
+    if not text or len(text) > 300:
+        return []
+    for sep in NAME_BREAKS:
+        if sep in text:
+            return [p for p in (x.strip(" ,;|") for x in text.split(sep)) if 1 < len(p) <= 120][:20]
+    return [text] if len(text) <= 120 else []
+
+
+def _unsuffixed(title: str, site: str) -> str:
+    """A title without the outlet's name behind it."""
+    for sep in TITLE_BREAKS if site else ():
+        if title.lower().endswith((sep + site).lower()) and len(title) > len(sep + site) + 5:
+            return title[: -len(sep + site)].strip()
+    return title
+
+
+def page_facts(said: Iterable[tuple[str, str]]) -> dict:
+    """title, published, authors, site and description, of what a page says in its order: ``(key, content)`` of metas, and JSON-LD.
+
+    The first to say something is believed; authors are gathered. Blocks that
+    are no JSON are passed over.
+    """
+    facts = {"title": "", "published": "", "authors": [], "site": "", "description": ""}
+
+    def first(key: str, value: object) -> None:
+        if isinstance(value, str) and value and not facts[key]:
+            facts[key] = value
+
+    def author(value: object) -> None:
+        facts["authors"] += [n for n in dict.fromkeys(names_in(value)) if n not in facts["authors"]]
+
+    for key, content in said:
+        if key == "ld+json":
+            try:
+                nodes = list(ld_nodes(json.loads(content)))
+            except (ValueError, RecursionError):
+                continue
+            for node in nodes:
+                first("published", next((str(node[k]) for k in LD_DATES if node.get(k)), ""))
+                author(node.get("author"))
+                first("site", next(iter(names_in(node.get("publisher"))), ""))
+                first("title", node.get("headline"))
+        elif key in ("og:title", "twitter:title"):
+            first("title", content)
+        elif key in ("og:description", "description"):
+            first("description", content)
+        elif key == "og:site_name":
+            first("site", content)
+        elif key in DATE_KEYS:
+            first("published", content)
+        elif key in AUTHOR_KEYS:
+            author(content)
+    return facts
 
 
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-_SHOWN = re.compile(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]+>|\bT\*|\bTd\b|\bTD\b|\bET\b", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+def extract_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``page_id, title, lang, text, links, canonical, published, authors, site, description`` of each page, batch by batch.
 
+    ``published`` is as the page states it. A page that says nothing has empty fields.
+    """
+    ship_package(pages.sparkSession)
+    src = pages.select(F.col(key).alias("page_id"), F.col(html).alias("html"))
 
-def _unescape(m: re.Match) -> bytes:
-    return bytes([int(m.group(1), 8) & 255]) if m.group(1).isdigit() else _ESCAPES.get(m.group(1), m.group(1))
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [parse_html(h) for h in batch["html"]]
+            columns = {n: [r[k] for r in rows] for k, n in enumerate(("title", "lang", "text", "links", "canonical"))}
+            yield pd.DataFrame({"page_id": batch["page_id"]} | columns | {n: [r[5][n] for r in rows] for n in ("published", "authors", "site", "description")})
 
+    kind = src.schema["page_id"].dataType.simpleString()
+    return src.mapInPandas(run, f"page_id {kind}, title string, lang string, text string, links array<string>, canonical string, published string, authors array<string>, site string, description string")
 
-def pdf_text(raw: bytes) -> str:
-    """Text that a PDF's content streams show, line by line; empty where its fonts hide it (scans need OCR)."""
-    out = []
-    for m in _STREAM.finditer(raw):
-        data = m.group(1)
-        try:
-            data = zlib.decompress(data)
-        except zlib.error:
-            pass  # a stream that is not compressed
-        if b"Tj" not in data and b"TJ" not in data:
-            continue
-        for token in _SHOWN.findall(data):
-            if token[:1] == b"(":
-                out.append(re.sub(rb"\\([0-7]{1,3}|.)", _unescape, token[1:-1], flags=re.S).decode("latin-1"))
-            elif token[:1] == b"<":
-                digits = re.sub(rb"\s", b"", token[1:-1]).decode()
-                text = bytes.fromhex(digits + "0" * (len(digits) % 2))
-                out.append(text[2:].decode("utf-16-be", "replace") if text[:2] == b"\xfe\xff" else text.decode("latin-1"))
-            else:
-                out.append("\n")
-    return re.sub(r"\n\s*\n+", "\n", "".join(out)).strip()
-
-
-def json_ld(html: str, depth: int = 4) -> dict:
-    """Headline, date, authors and publisher from a page's JSON-LD blocks, to ``depth`` levels; the first of each stays."""
-    found: dict = {}
-
-    def name(x):
-        return x.get("name") if isinstance(x, dict) else x
-
-    def walk(x, left: int) -> None:
-        if left < 0:
-            return
-        if isinstance(x, list):
-            for y in x:
-                walk(y, left - 1)
-        elif isinstance(x, dict):
-            for key, to in (("headline", "headline"), ("datePublished", "published"), ("publisher", "publisher"), ("author", "authors")):
-                if x.get(key) and to not in found:
-                    v = x[key]
-                    found[to] = [n for n in map(name, v if isinstance(v, list) else [v]) if n] if to == "authors" else name(v)
-            for y in x.values():
-                if isinstance(y, (dict, list)):
-                    walk(y, left - 1)
-
-    for block in re.findall(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script>", html or "", re.S | re.I):
-        try:
-            walk(json.loads(block), depth)
-        except ValueError:
-            continue
-    return found
 
+def gated(rows: DataFrame) -> DataFrame:
+    """``text`` and ``refused`` of rows read from PDFs: text that is long enough to judge and reads as noise is refused, not passed on."""
+    noise = (F.length("text") >= tx.PROSE["characters"]) & ~tx.looks_like_prose(F.col("text"))
+    why = F.when(F.col("refused").isNotNull(), F.col("refused")).when(F.col("text") == "", "no text could be extracted").when(noise, "extracted text is not legible")
+    is_pdf = F.col("kind") == "pdf"
+    return rows.withColumns({"refused": F.when(is_pdf, why).otherwise(F.col("refused")), "text": F.when(is_pdf & noise, "").otherwise(F.col("text"))})
 
-def extract_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``page_id, title, lang, text, links, canonical`` of each page, batch by batch."""
-    ship_package(pages.sparkSession)
-    src = pages.select(F.col(key).alias("page_id"), F.col(html).alias("html"))
+
+def read_pdfs(files: DataFrame, key: str = "key", content: str = "content") -> DataFrame:
+    """``key, kind, title, text, refused`` of PDF files held as bytes. The title is the stated one, else the first line."""
+    ship_package(files.sparkSession)
+    src = files.select(F.col(key).alias("key"), F.col(content).alias("content"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [parse_html(h) for h in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "title": [r[0] for r in rows], "lang": [r[1] for r in rows], "text": [r[2] for r in rows], "links": [r[3] for r in rows], "canonical": [r[4] for r in rows]})
+            texts = [pdf_text(bytes(c)) if c is not None else "" for c in batch["content"]]
+            titles = [(pdf_title(bytes(c)) if c is not None else "") or t.split("\n", 1)[0][:120] for c, t in zip(batch["content"], texts, strict=True)]
+            yield pd.DataFrame({"key": batch["key"], "kind": "pdf", "title": titles, "text": texts})
 
-    return src.mapInPandas(run, f"page_id {src.schema['page_id'].dataType.simpleString()}, title string, lang string, text string, links array<string>, canonical string")
+    rows = src.mapInPandas(run, f"key {src.schema['key'].dataType.simpleString()}, kind string, title string, text string")
+    return gated(rows.withColumn("refused", F.lit(None).cast("string")))
 
 
 def read_bodies(bodies: DataFrame) -> DataFrame:
@@ -218,11 +279,10 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
                 if bad:
                     pass
                 elif kind == "html":
-                    title, _, text, _, _ = parse_html(decode_bytes(content))
-                    title = title or json_ld(decode_bytes(content)).get("headline") or ""
+                    title, _, text, _, _, _ = parse_html(decode_bytes(content))
                 elif kind == "pdf":
                     text = pdf_text(content)
-                    title = text.split("\n", 1)[0][:120]
+                    title = pdf_title(content) or text.split("\n", 1)[0][:120]
                 elif kind in ("text", "markdown", "json"):
                     text = decode_bytes(content)
                     if kind == "markdown" and text.startswith("---\n") and (end := text.find("\n---", 4)) > 0:
@@ -234,4 +294,4 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
                 texts.append(text)
             yield pd.DataFrame({"path": batch["path"], "kind": batch["kind"], "title": titles, "text": texts, "refused": pd.Series(why, dtype=object)})
 
-    return raw.mapInPandas(run, "path string, kind string, title string, text string, refused string").unionByName(none)
+    return gated(raw.mapInPandas(run, "path string, kind string, title string, text string, refused string")).unionByName(none)

@@ -157,7 +157,7 @@ def test_pdf_and_json_ld(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(raw)
     assert files.read_folder(spark, str(tmp_path)).first().title == "Hello (PDF)"
     html = '<script type="application/ld+json">{"@graph": [{"headline": "H", "author": [{"name": "A"}, "B"], "publisher": {"name": "P"}}]}</script><script type="application/ld+json">{bad</script>'
-    assert files.json_ld(html) == {"headline": "H", "authors": ["A", "B"], "publisher": "P"}
+    assert files.parse_html(html)[5] == {"title": "H", "published": "", "authors": ["A", "B"], "site": "P", "description": ""}
 
 
 def test_passage_queries_take_the_whole_query_set(spark, sf):
