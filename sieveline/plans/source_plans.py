@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..operators import passages as ps
-from ..sources import files, payloads, pdf, queries
+from ..shared import shared_path
+from ..sources import files, payloads, pdf, queries, recorded
 from .registry import query
 
 
@@ -160,3 +161,47 @@ _FRAMING = ", ".join(f"'{w}'" for w in queries.FRAMING)
 @query("mastodon_tag", rf"SELECT item_id, list_filter(list_transform(regexp_split_to_array(trim(text), '\s+'), lambda w: lower(regexp_replace(w, '[^\p{{L}}\p{{N}}_]', '', 'g'))), lambda w: length(w) > 3 AND w NOT IN ({_FRAMING}))[1] AS tag FROM benchmark")
 def mastodon_tag(spark, d):
     return b.table(spark, d, "benchmark").select("item_id", queries.hashtag(F.col("text")).alias("tag"))
+
+
+_RECORDED = """rec AS (SELECT doc_id, ['openalex', 'crossref', 'gdelt'][doc_id % 3 + 1] AS provider, (2015 + doc_id % 8)::INTEGER AS year,
+  (2015 + doc_id % 8)::VARCHAR || '-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS published, lang, split_part(text, chr(10), 1) AS title, text FROM documents)"""
+
+
+def record_responses(spark, d) -> str:
+    """Every document as a record of one of three providers, in responses as these give them; the folder."""
+    i = F.col("doc_id")
+    year, month, day = (F.lit(2015) + i % 8).cast("int"), (i % 12 + 1).cast("int"), (i % 28 + 1).cast("int")
+    stated = F.date_format(F.make_date(year, month, day), "yyyy-MM-dd")
+    url = F.concat(F.lit("https://x.org/"), i.cast("string"))
+    docs = b.table(spark, d, "documents").select("doc_id", "lang", "text", F.substring_index("text", "\n", 1).alias("title"), year.alias("year"), stated.alias("published"), url.alias("url"), F.floor(i / 500).alias("page"))
+    records = (
+        (0, "openalex", ("url AS id", "title AS display_name", "published AS publication_date", "lang AS language", "text AS abstract"), lambda r: F.struct(r.alias("results"))),
+        (1, "crossref", ("url AS DOI", "array(title) AS title", "named_struct('date-parts', array(cast(split(published, '-') as array<int>))) AS issued", "lang AS language", "url AS URL", "text AS abstract"), lambda r: F.struct(F.struct(r.alias("items")).alias("message"))),
+        (2, "gdelt", ("url", "title", "concat(replace(published, '-', ''), 'T000000Z') AS seendate", "lang AS language", "text AS body"), lambda r: F.struct(r.alias("articles"))),
+    )
+    path = shared_path(spark, "responses")
+    out = None
+    for k, provider, fields, whole in records:
+        mine = docs.where(F.col("doc_id") % 3 == k).select("year", "page", F.struct(*map(F.expr, fields)).alias("r"))
+        # a page holds at most 500 ids
+        lines = mine.groupBy("year", "page").agg(F.to_json(whole(F.collect_list("r"))).alias("value")).select(F.lit(provider).alias("provider"), "year", "value")
+        out = lines if out is None else out.unionByName(lines)
+    out.write.partitionBy("provider", "year").text(path)
+    return path
+
+
+@query("recorded_search", f"""WITH {_RECORDED} SELECT provider, year, lang, count(*) AS n, min(published) AS first_day, max(published) AS last_day, sum(length(text))::BIGINT AS chars, count(DISTINCT title) AS titles
+FROM rec WHERE provider IN ('openalex', 'crossref') AND published >= '2017-06-15' AND published < '2021-01-01' AND lang = 'en' AND contains(text, 'the ') GROUP BY ALL""")
+def recorded_search(spark, d):
+    """All documents as recorded responses, searched by provider, days, language and a word: the filters go down to the source."""
+    hits = recorded.recorded(spark, record_responses(spark, d))
+    day = F.col("published")
+    hits = hits.where(F.col("provider").isin("openalex", "crossref") & (day >= "2017-06-15") & (day < "2021-01-01") & (F.col("lang") == "en") & F.col("text").contains("the "))
+    return hits.groupBy("provider", "year", "lang").agg(F.count("*").alias("n"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.sum(F.length("text")).alias("chars"), F.count_distinct("title").alias("titles"))
+
+
+@query("recorded_all", f"""WITH {_RECORDED} SELECT provider, CASE provider WHEN 'openalex' THEN doc_id::VARCHAR ELSE 'https://x.org/' || doc_id END AS external_id, year, published, lang, md5(title) AS title, md5(text) AS text FROM rec""")
+def recorded_all(spark, d):
+    """Every record of every response, read back in one shape."""
+    hits = recorded.recorded(spark, record_responses(spark, d))
+    return hits.select("provider", "external_id", "year", "published", "lang", F.md5("title").alias("title"), F.md5("text").alias("text"))
