@@ -7,9 +7,15 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators import retrieval as ret
+from ..session import ship_package
+
+
+#: Folders that a micro-batch's entries in the ledger of embeddings are dealt into.
+LEDGER_BUCKETS = 16
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
@@ -82,24 +88,69 @@ def first_copies(docs: DataFrame, at: str | None = None, late: str = "1 day") ->
     return d.withColumn("_h", F.sha2("text", 256)).dropDuplicatesWithinWatermark(["_h"]).drop("_h", "_at")
 
 
-def breaker(events: DataFrame) -> DataFrame:
-    """``user_id, failures``: consecutive failures so far, kept as state by user.
+class Breaker(StatefulProcessor):
+    """Consecutive failures of one key by the time of its calls, in whatever order these arrive.
 
-    Calls of a batch are taken in order of time; state is one number and the
-    latest time, whatever the history's length.
+    State is the latest success, the failures after it that a late success may
+    still cut off, and the number of those that none can: failures behind the
+    watermark are only counted. A timer at the last open failure settles keys
+    that get no more calls.
     """
 
-    def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        ok = (rows["event_type"] != "error").to_numpy()
-        last_ok = ok.nonzero()[0]
-        failures = int(len(ok) - 1 - last_ok[-1]) if len(last_ok) else failures + len(ok)
-        state.update((failures,))
-        yield pd.DataFrame({"user_id": [key[0]], "failures": [failures]})
-
-    cols = event_time(events).select("user_id", "event_id", "ts", "event_type")
-    return cols.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, failures int", "failures int", "update", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "ok_at bigint, ok_id bigint, failures bigint")
+        self.open = handle.getListState("open", "at bigint, id bigint")
+
+    def _held(self) -> tuple[tuple[int, int], int, list[tuple[int, int]]]:
+        known = self.settled.get()
+        ok, failures = ((known[0], known[1]), known[2]) if known is not None else ((-(1 << 62), -(1 << 62)), 0)
+        return ok, failures, [(x[0], x[1]) for x in self.open.get()]
+
+    def _keep(self, ok: tuple[int, int], failures: int, open_: list[tuple[int, int]], watermark: int) -> int:
+        """Settle what lies behind the watermark (in ms), store the rest, and return the failures in all."""
+        rest = [f for f in open_ if f[0] >= watermark * 1000]
+        failures += len(open_) - len(rest)
+        self.settled.update((*ok, failures))
+        self.open.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if rest:
+            self.open.put(rest)
+            self.handle.registerTimer(max(f[0] for f in rest) // 1000 + 1)
+        return failures + len(rest)
+
+    def handleInputRows(self, key: tuple, rows: Iterable[pd.DataFrame], timer_values: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        ok, failures, open_ = self._held()
+        calls = pd.concat(list(rows))
+        each = list(zip(calls["at"].tolist(), calls["event_id"].tolist(), calls["ok"].tolist(), strict=True))
+        last = max((c[:2] for c in each if c[2]), default=ok)
+        if last > ok:  # what is settled is older than any success that is not too late
+            ok, failures = last, 0
+        open_ = [f for f in open_ + [c[:2] for c in each if not c[2]] if f > ok]
+        n = self._keep(ok, failures, open_, timer_values.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"user_id": [key[0]], "failures": [n]})
+
+    def handleExpiredTimer(self, key: tuple, timer_values: TimerValues, expired: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        ok, failures, open_ = self._held()
+        self._keep(ok, failures, open_, timer_values.getCurrentWatermarkInMs())
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def breaker(events: DataFrame, late: str = "400 days") -> DataFrame:
+    """``user_id, failures``: consecutive failures so far by event time, kept as state by user; calls ``late`` behind the newest are dropped.
+
+    Ties of time go by event id. Files may come in any order.
+    """
+    spark = events.sparkSession
+    ship_package(spark)
+    # user-defined state with timers needs this store
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    calls = event_time(events).withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("at"), (F.col("event_type") != "error").alias("ok"))
+    return calls.groupBy("user_id").transformWithStateInPandas(Breaker(), "user_id bigint, failures int", "Update", "EventTime")
 
 
 def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -138,17 +189,40 @@ def embed_stream(docs: DataFrame, held: DataFrame, limit: int, root: str) -> Dat
 
     A document that ``held`` or an earlier batch has is passed over; what a
     batch leaves over waits for the next top-up, which reads the table.
+
+    ``root/ledger`` says which ids are done, a folder a micro-batch, beside
+    their vectors in ``root/out``. Both are read from the folder, so a restarted
+    query goes on where it stopped: a batch that is repeated replaces its own
+    folders, and counts only what other batches have written. The ledger is
+    dealt by bucket of the id, and a batch reads the buckets that its own ids
+    fall in, of all batches: one column of numbers, no vector and no text.
     """
     spark = docs.sparkSession
-    done: list[str] = []
+    kind = docs.schema["id"].dataType.simpleString()
+    bucket = F.pmod(F.xxhash64("id"), F.lit(LEDGER_BUCKETS)).cast("int")
 
     def work(batch: DataFrame, number: int) -> None:
-        known = held
-        for path in done:
-            known = known.unionByName(spark.read.parquet(path).select("id"))
-        path = f"{root}/out/b{number}"
-        ret.hashing_embeddings(ret.top_up(batch, known, limit)).write.mode("overwrite").parquet(path)
-        done.append(path)
+        ours = batch.withColumn("_bucket", bucket)
+        mine = [r[0] for r in ours.select("_bucket").distinct().collect()]  # at most LEDGER_BUCKETS numbers
+        seen = _ledger(spark, root, kind).where((F.col("_batch") != number) & F.col("_bucket").isin(mine)).select("id", "_bucket")
+        fresh = ours.join(seen, ["_bucket", "id"], "left_anti").drop("_bucket")
+        made = ret.hashing_embeddings(ret.top_up(fresh, held, limit))
+        made.write.mode("overwrite").parquet(f"{root}/out/b{number}")
+        # the vectors are there before the ledger says so
+        ids = spark.read.parquet(f"{root}/out/b{number}").select("id", bucket.alias("_bucket"))
+        ids.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{root}/ledger/_batch={number}")
 
     each_batch(docs, work, f"{root}/log")
-    return spark.read.parquet(*done) if done else ret.hashing_embeddings(spark.createDataFrame([], docs.schema))
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/out")
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        return ret.hashing_embeddings(spark.createDataFrame([], docs.schema))
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/out")
+
+
+def _ledger(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """``id, _batch, _bucket`` of what is embedded, by the folder; empty where there is none."""
+    schema = f"id {kind}, _batch int, _bucket int"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/ledger")
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{root}/ledger").parquet(f"{root}/ledger")
