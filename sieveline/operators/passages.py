@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,21 +13,19 @@ from ..session import ship_package
 
 #: A passage's size, and the size below which it joins the one before.
 LIMIT, SHORT = 900, 200
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|\n|$)\s*")
+_SENTENCE_END = re.compile(r"[.!?]+(?=\s)\s*|\n\s*")
 
 
 def cut_text(text: str) -> list[tuple[int, int]]:
-    """Offsets of passages: sentences packed up to LIMIT, never over an empty line, longer ones cut hard; a short rest joins its predecessor."""
+    """Offsets of passages: sentences packed up to LIMIT, never over an empty line, longer ones cut hard; a short rest joins its predecessor. Only blanks are in none."""
     out: list[tuple[int, int]] = []
     for para in re.finditer(r"(?:[^\n]|\n(?!\s*\n))+", text):
         start = end = para.start()
-        for m in _SENTENCE.finditer(text, para.start(), para.end()):
-            if m.end() == m.start():
-                continue
-            a, b = m.span()
+        ends = [m.end() for m in _SENTENCE_END.finditer(text, para.start(), para.end())]
+        for b in ends if ends and ends[-1] == para.end() else [*ends, para.end()]:
             if b - start > LIMIT and end > start:
                 out.append((start, end))
-                start = a
+                start = end
             while b - start > LIMIT:
                 out.append((start, start + LIMIT))
                 start += LIMIT
@@ -41,16 +38,24 @@ def cut_text(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
-def split_passages(docs: DataFrame) -> DataFrame:
-    """``id, passage, start, text``: verbatim slices of each ``id, text``, numbered from 0."""
+class Passages:
+    """The table function behind :func:`split_passages`: a text to its passages."""
+
+    def eval(self, text: str) -> Iterator[tuple[int, int, str]]:
+        for k, (a, b) in enumerate(cut_text(text or "")):
+            yield k, a, text[a:b]
+
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, k, a, t[a:b]) for i, t in zip(batch["id"], batch["text"].fillna(""), strict=True) for k, (a, b) in enumerate(cut_text(t))]
-            yield pd.DataFrame(rows, columns=["id", "passage", "start", "text"])
+def passage_function() -> Callable:
+    """``passages(text)`` as an Arrow table function: ``passage, start, text``; for lateral joins, or to register for SQL."""
+    return F.udtf(Passages, returnType="passage int, start int, text string", useArrow=True)
 
+
+def split_passages(docs: DataFrame) -> DataFrame:
+    """``id, passage, start, text``: verbatim slices of each ``id, text``, numbered from 0, by a lateral join with the table function."""
     ship_package(docs.sparkSession)
-    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, passage int, start int, text string")
+    cut = passage_function()(F.col("body").outer())
+    return docs.select("id", F.col("text").alias("body")).lateralJoin(cut).select("id", "passage", "start", "text")
 
 
 def bm25(passages: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import bindings as b
@@ -64,6 +65,16 @@ def split_passages(spark, d):
     return ps.split_passages(b.documents(spark, d).select("id", "text")).select("id", "passage", "start", F.length("text").alias("n_chars"))
 
 
+@query("passage_offsets", r"SELECT doc_id AS id, length(regexp_replace(text, '\s', '', 'g')) AS solid, 0::BIGINT AS wrong FROM documents WHERE regexp_matches(text, '\S')")
+def passage_offsets(spark, d):
+    """Passages against the text they are cut from: how many are not the slice their offset names or overlap the one before, and the text they hold without blanks (all of it)."""
+    docs = b.documents(spark, d).select("id", "text")
+    cut = ps.split_passages(docs).select("id", "passage", "start", F.col("text").alias("slice"))
+    each = cut.join(docs, "id").withColumn("before", F.lag(F.col("start") + F.length("slice")).over(Window.partitionBy("id").orderBy("passage")))
+    bad = (F.substring("text", F.col("start") + 1, F.length("slice")) != F.col("slice")) | (F.coalesce("before", F.lit(0)) > F.col("start"))
+    return each.groupBy("id").agg(F.sum(F.length(F.regexp_replace("slice", r"\s", ""))).alias("solid"), F.count_if(bad).alias("wrong"))
+
+
 @query("passage_paragraphs", r"SELECT id, count(*) AS paragraphs, max(length(p)) AS longest FROM (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS p FROM documents) WHERE trim(p) <> '' GROUP BY 1")
 def passage_paragraphs(spark, d):
     p = b.documents(spark, d).select("id", F.explode(F.split("text", "\n")).alias("p")).where("trim(p) <> ''")

@@ -184,3 +184,14 @@ def test_similarity_equals_plain_sets(spark):
         both = len(x & y)
         want = max(both / len(x | y), both / len(x), both / len(y)) if x and y else 0.0
         assert got[a, b] == pytest.approx(want), (a, b)
+
+
+def test_passages_lose_nothing_but_blanks():
+    import random
+
+    g = random.Random(2)
+    for _ in range(300):
+        t = "".join(g.choice(["a.b", "word ", "3.14", "...", ". ", "! ", "?x", "\n", "\n\n", " \n \n", "é" * g.randrange(400), "x" * g.randrange(1200), "\t"]) for _ in range(g.randrange(1, 40)))
+        cuts = passages.cut_text(t)
+        assert "".join("".join(t[a:b].split()) for a, b in cuts) == "".join(t.split())
+        assert all(a < b <= c for (a, b), (c, _) in zip(cuts, cuts[1:], strict=False)) and all(b - a <= passages.LIMIT + passages.SHORT for a, b in cuts)
