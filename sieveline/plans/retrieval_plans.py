@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..functions import fingerprint as fp
 from ..functions import text as tx
+from ..operators import index
 from ..operators import retrieval as ret
+from ..shared import shared_path
 from .registry import query
 
 #: The query set: every row whose id is divisible by this, with its whole text or vector.
@@ -74,6 +76,34 @@ def index_build(spark, d):
     return _index(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+_TOP = "SELECT query_id, id, round(score, 4) AS score, rank FROM rk WHERE rank <= 10"
+
+
+def stored_index(spark, d):
+    """The documents' index, written to the shared folder."""
+    ix = index.Index(spark, shared_path(spark, "index"))
+    ix.add(b.documents(spark, d).select("id", "text"))
+    return ix
+
+
+@query("index_search", f"WITH {_BM} {_TOP}")
+def index_search(spark, d):
+    """Each query's ten best, from the stored index: only blocks whose bound reaches the tenth score are opened."""
+    return stored_index(spark, d).search(_queries(spark, d), 10).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+
+
+_CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN substr(text, 1, 40) || ' replaced' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7)"
+
+
+@query("index_replace", f"WITH {_BM.replace('FROM documents) GROUP BY', f'FROM {_CHANGED}) GROUP BY')} {_TOP}")
+def index_replace(spark, d):
+    """The same after a tenth of the documents were replaced and another removed."""
+    ix, docs = stored_index(spark, d), b.documents(spark, d)
+    new = docs.where("id % 10 = 3").select("id", F.concat(F.substring("text", 1, 40), F.lit(" replaced")).alias("text"))
+    ix.replace(new, docs.where("id % 10 = 7").select("id"))
+    return ix.search(_queries(spark, d), 10).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+
+
 _VEC = """v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 vs AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score, a.label = b.label AS rel FROM v a JOIN v b ON a.id % 20 = 0 AND a.id <> b.id),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM vs WHERE score > 0),
