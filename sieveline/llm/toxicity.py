@@ -21,10 +21,12 @@ BUCKETS, DIM = 1 << 17, 12
 #: Subwords are the byte n-grams of a word between boundary marks, and the word itself.
 GRAMS = range(3, 7)
 #: Words in a bag: a text is read in bags of neighbouring words, each averaged, and its score is that of
-#: its worst bag. With 0 a text is one bag, all its subwords averaged.
-BAG = 6
+#: its worst bag. With 0 a text is one bag, all its subwords averaged. One word of a long text decides, and
+#: an average hides it: between the two training folds of sf0.1, label 1 is recalled to 0.69 by bags of 24
+#: words, 0.74 by 12, 0.79 by 6, 0.86 by 3 and 0.90 by 2 (seeing three quarters of the subwords).
+BAG = 2
 #: Share of a bag's subwords that a training step sees.
-KEEP = 0.5
+KEEP = 0.75
 #: Words remembered by a Python worker before it starts afresh.
 REMEMBERED = 300_000
 
@@ -149,7 +151,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, buckets: int = BUCKETS, dim
         w = word[np.repeat(bag_cut[b] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         m = counts[w]
         k = np.repeat(cut[w] - np.cumsum(m) + m, m) + np.arange(m.sum())
-        # half of the subwords are hidden, so that a misspelt word's remaining ones suffice
+        # some of the subwords are hidden, so that a misspelt word's remaining ones suffice
         seen = rng.random(len(k)) < KEEP
         who = np.repeat(np.repeat(np.arange(len(b)), n), m)
         seen[np.flatnonzero(np.diff(who, prepend=-1))] = True

@@ -391,6 +391,10 @@ def test_toxicity_held_out(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     assert accuracy(rows, labels, True) >= 0.95
+    toxic = [r for r in rows if r.held_out and labels.get(r.doc_id) == 1]
+    named = [r for r in rows if r.held_out and labels.get(r.doc_id) is not None and r.predicted == 1]
+    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
+    assert sum(labels[r.doc_id] for r in named) >= 0.85 * len(named)
 
 
 def test_classifiers_take_odd_rows(spark):
