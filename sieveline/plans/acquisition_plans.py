@@ -27,13 +27,15 @@ def load_corpus(spark, d):
     return corpus.load_corpus(spark, path, lines=True).select("label", "family", "doi", F.length("text").alias("n_chars"))
 
 
-@query("ingest_files")
+@query("ingest_files", r"""SELECT page_id, 'html' AS kind, NULL::VARCHAR AS refused,
+  trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
 def ingest_files(spark, d):
-    """The pages written as files under a folder (the table's number of files), and ingested: what was read, and what was refused why."""
+    """Every page as a file of its own in a folder, and the folder ingested: what was read, and what was refused why."""
     path = shared_path(spark, "files")
-    b.table(spark, d, "pages").select("html").write.option("lineSep", "\n").text(path)
+    pages = b.table(spark, d, "pages").select("page_id", "html")
+    pages.repartition("page_id").write.partitionBy("page_id").option("lineSep", "\n").text(path)
     got = files.read_folder(spark, path)
-    return got.select("kind", "refused", F.length("text").alias("n_chars"), F.md5("text").alias("h"))
+    return got.select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long").alias("page_id"), "kind", "refused", "title")
 
 
 _TYPES = "['text/html; charset=utf-8', 'application/json', 'text/plain'][(page_id % 3) + 1]"
@@ -51,16 +53,15 @@ def fetched_body(spark, d):
 
 
 # --- queries ----------------------------------------------------------------
-_QSET = """qs AS (SELECT item_id AS query_id, array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:5], ' ') AS text,
+_QSET = """qs AS (SELECT item_id AS query_id, regexp_replace(text, '\\s+', ' ', 'g') AS text,
   CASE WHEN item_id % 2 = 0 THEN TIMESTAMP '2020-01-01' + to_days((item_id % 1000)::INTEGER) END AS after, CASE WHEN item_id % 3 = 0 THEN TIMESTAMP '2024-06-30' END AS before,
   CASE WHEN item_id % 4 = 1 THEN 'english' END AS language, CASE WHEN item_id % 5 = 1 THEN 'example.org' END AS domain, item_id % 2 = 1 AS open_access, CASE WHEN item_id % 6 = 1 THEN 'article' END AS work_type, (item_id % 300)::INTEGER AS wanted FROM benchmark)"""
 
 
 def _queries(spark, d):
     i = F.col("item_id")
-    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
     return b.table(spark, d, "benchmark").select(
-        i.alias("query_id"), F.array_join(F.slice(words, 1, 5), " ").alias("text"),
+        i.alias("query_id"), F.regexp_replace("text", r"\s+", " ").alias("text"),
         F.when(i % 2 == 0, F.date_add(F.lit("2020-01-01").cast("date"), (i % 1000).cast("int")).cast("timestamp_ntz")).alias("after"), F.when(i % 3 == 0, F.lit("2024-06-30").cast("timestamp_ntz")).alias("before"),
         F.when(i % 4 == 1, "english").alias("language"), F.when(i % 5 == 1, "example.org").alias("domain"), (i % 2 == 1).alias("open_access"), F.when(i % 6 == 1, "article").alias("work_type"), (i % 300).cast("int").alias("wanted"),
     )
@@ -139,12 +140,13 @@ def provider_citation_edges(spark, d):
     return aq.citation_edges(payloads)
 
 
-@query("doi_lookup", "SELECT item_id, doc_id AS id FROM benchmark JOIN documents ON doc_id % 1000 = item_id % 40 AND doc_id % 2 = 0")
+@query("doi_lookup", "SELECT item_id, doc_id AS id FROM benchmark JOIN documents ON doc_id = item_id * 3")
 def doi_lookup(spark, d):
+    """Every document has a DOI of its own; each item asks for one, in another way of writing it."""
     i = F.col("item_id")
-    forms = F.array(*[F.format_string(f, (i % 40).cast("string")) for f in ("10.1000/X%s", "doi:10.1000/x%s.", "https://doi.org/10.1000/X%s")])
+    forms = F.array(*[F.format_string(f, (i * 3).cast("string")) for f in ("10.1000/X%s", "doi:10.1000/x%s.", "https://doi.org/10.1000/X%s")])
     wanted = b.table(spark, d, "benchmark").select("item_id", F.get(forms, (i % 3).cast("int")).alias("doi"))
-    held = b.documents(spark, d).where("id % 2 = 0").select("id", F.concat(F.lit("10.1000/x"), (F.col("id") % 1000).cast("string")).alias("doi"))
+    held = b.documents(spark, d).select("id", F.concat(F.lit("10.1000/x"), F.col("id").cast("string")).alias("doi"))
     return aq.by_doi(wanted, held).select("item_id", "id")
 
 
@@ -190,14 +192,14 @@ def enrich_sources(spark, d):
 _DENSE = "list_transform(range(64), lambda k: coalesce(m[k], 0)::DOUBLE)"
 
 
-@query("passage_vectors", f"""WITH p AS (SELECT doc_id * 1000 + i AS id, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE i < 1000),
+@query("passage_vectors", f"""WITH p AS (SELECT doc_id * 4294967296 + i AS id, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 w AS (SELECT id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS w FROM p UNION ALL SELECT -1 - item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM benchmark WHERE item_id % 20 = 0),
 c AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS k, count(*) AS n FROM w GROUP BY 1, 2), m AS (SELECT id, map_from_entries(list(ROW(k, n))) AS m FROM c GROUP BY 1), v AS (SELECT id, {_DENSE} AS v FROM m),
 s AS (SELECT -1 - q.id AS query_id, v.id, round(list_cosine_similarity(q.v, v.v), 6) AS score FROM v q JOIN v ON q.id < 0 AND v.id >= 0)
 SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 10""")
 def passage_vectors(spark, d):
     """The lines of all documents nearest to each question, by hashed vectors."""
-    lines = b.documents(spark, d).select("id", F.posexplode(F.split("text", "\n")).alias("i", "text")).where("i < 999").select((F.col("id") * 1000 + F.col("i") + 1).alias("id"), "text")
+    lines = b.documents(spark, d).select("id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select((F.col("id") * (1 << 32) + F.col("i") + 1).alias("id"), "text")
     questions = b.table(spark, d, "benchmark").where("item_id % 20 = 0").select((-1 - F.col("item_id")).alias("id"), "text")
     dense = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.col("counts")[k], F.lit(0)).cast("double")).alias("v")
     vectors = lambda df: ret.hashing_embeddings(df).where("norm > 0").select("id", dense)

@@ -11,6 +11,7 @@ from .. import bindings as b
 from ..operators import passages as ps
 from ..shared import shared_path
 from ..sources import files, payloads, pdf, queries, recorded
+from .claim_plans import _A, _assessed
 from .registry import query
 
 
@@ -137,18 +138,18 @@ def provider_payloads(spark, d):
     return sample_hits(spark)
 
 
-@query("report_markdown")
+@query("report_markdown", f"""{_A} SELECT '## ' || status || ' (' || count(*) || ')' AS value FROM a GROUP BY status
+UNION ALL SELECT '- claim:' || claim_id || ' **' || status || '** ' || explanation FROM a""")
 def report_markdown(spark, d):
     """The report's findings as Markdown lines, ready for ``write.text``."""
-    from .claim_plans import _assessed
-
     a = _assessed(spark, d)
     head = a.groupBy("status").agg(F.count("*").alias("n")).select(F.concat(F.lit("## "), "status", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("value"))
     lines = a.select(F.concat(F.lit("- claim:"), F.col("claim_id").cast("string"), F.lit(" **"), "status", F.lit("** "), "explanation").alias("value"))
     return head.unionByName(lines)
 
 
-@query("canvas_json")
+@query("canvas_json", f"""WITH {b.CITATIONS_SQL} SELECT '{{"type":"node","id":' || doc_id || ',"outlet":"' || source || '"}}' AS value FROM documents
+UNION ALL SELECT '{{"type":"edge","from":' || citing || ',"to":' || cited || '}}' FROM cit WHERE cited IS NOT NULL""")
 def canvas_json(spark, d):
     """Nodes and edges of the citation graph as JSON lines."""
     c = b.citations(spark, d).where("cited is not null")

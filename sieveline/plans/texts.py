@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions import fingerprint as fp
+from ..functions import ids
 from ..functions import text as tx
 from ..functions import urls as ur
 from ..operators import retrieval as ret
@@ -182,21 +183,22 @@ def classify_url(spark, d):
     return u.select("page_id", ur.classify(F.col("url"), is_news=F.col("page_id") % 9 == 8).alias("source_type"))
 
 
-@query("wire_service", r"""SELECT doc_id AS id, CASE lower(regexp_extract(t, '(?i)\(\s*(reuters|associated press|afp|bloomberg)\s*\)', 1)) WHEN 'reuters' THEN 'Reuters' WHEN 'associated press' THEN 'Associated Press' WHEN 'afp' THEN 'Agence France-Presse' WHEN 'bloomberg' THEN 'Bloomberg' END AS wire
-FROM (SELECT doc_id, ['CITY (Reuters) - ', 'CITY ( AFP ) - ', 'By nobody - ', 'X (Bloomberg) '][(doc_id % 4) + 1] || substr(text, 1, 50) AS t FROM documents)""")
-def wire_service(spark, d):
-    from ..functions import ids
+_WIRES = "|".join(ids.WIRES)
+
 
+@query("wire_service", rf"""WITH t AS (SELECT doc_id, substr(['CITY (Reuters) - ', 'CITY ( AFP ) - ', 'By nobody - ', 'X (Bloomberg) '][(doc_id % 4) + 1] || text, 1, 600) AS t FROM documents)
+SELECT doc_id AS id, MAP {{{", ".join(f"'{k}': '{v}'" for k, v in ids.WIRES.items())}}}[lower(coalesce(nullif(regexp_extract(t, '(?i)\(\s*({_WIRES})\s*\)', 1), ''),
+  nullif(regexp_extract(t, '(?i)(?:^|\n)\s*(?:by\s+)?({_WIRES})\s*[–—-]\s', 1), '')))] AS wire FROM t""".replace("\\\\", "\\"))
+def wire_service(spark, d):
+    """Whole texts behind an opening that may credit a service; credits count where an opening can stand."""
     heads = F.array(*map(F.lit, ("CITY (Reuters) - ", "CITY ( AFP ) - ", "By nobody - ", "X (Bloomberg) ")))
-    t = b.documents(spark, d).select("id", F.concat(F.get(heads, (F.col("id") % 4).cast("int")), F.substring("text", 1, 50)).alias("t"))
+    t = b.documents(spark, d).select("id", F.concat(F.get(heads, (F.col("id") % 4).cast("int")), "text").alias("t"))
     return t.select("id", ids.wire_service(F.col("t")).alias("wire"))
 
 
 # --- identifiers ------------------------------------------------------------
 @query("normalize_doi", """SELECT item_id, CASE item_id % 5 WHEN 0 THEN '10.1000/x' || item_id WHEN 1 THEN '10.5555/ab/' || item_id WHEN 2 THEN '10.1234/q(1)' WHEN 3 THEN '10.1000/a(' || item_id || ')' WHEN 4 THEN '10.48550/arxiv.2401.0' || item_id END AS doi FROM benchmark""")
 def normalize_doi(spark, d):
-    from ..functions import ids
-
     forms = ("https://doi.org/10.1000/X%s", "doi: 10.5555/Ab/%s.", "see (10.1234/q(1)), of %s", "https://doi.org/10.1000%%2FA(%s).", "10.48550/arXiv.2401.0%s")
     raw = F.element_at(F.array(*[F.format_string(f, F.col("item_id").cast("string")) for f in forms]), (F.col("item_id") % 5 + 1).cast("int"))
     x = b.table(spark, d, "benchmark").select("item_id", raw.alias("raw"))
@@ -205,8 +207,6 @@ def normalize_doi(spark, d):
 
 @query("normalize_arxiv_id", """SELECT item_id, '2401.0' || lpad((item_id % 10000)::VARCHAR, 4, '0') AS arxiv_id FROM benchmark""")
 def normalize_arxiv_id(spark, d):
-    from ..functions import ids
-
     n = F.concat(F.lit("2401.0"), F.lpad((F.col("item_id") % 10000).cast("string"), 4, "0"))
     raw = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("arXiv:"), n, F.lit("v2"))).when(F.col("item_id") % 3 == 1, F.concat(F.lit("https://arxiv.org/abs/"), n)).otherwise(F.concat(F.lit("10.48550/arXiv."), n))
     return b.table(spark, d, "benchmark").select("item_id", ids.normalize_arxiv_id(raw).alias("arxiv_id"))
@@ -214,8 +214,6 @@ def normalize_arxiv_id(spark, d):
 
 @query("parse_id", r"SELECT c_custkey AS id, 'customer' AS prefix, c_custkey AS ordinal, true AS valid FROM customer")
 def parse_id(spark, d):
-    from ..functions import ids
-
     x = b.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("key"))
     return x.select("id", ids.id_prefix(F.col("key")).alias("prefix"), ids.id_ordinal(F.col("key")).alias("ordinal"), ids.is_id(F.col("key")).alias("valid"))
 
