@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..functions import fingerprint as fp
 from ..functions import text as tx
-from ..operators import index
+from ..operators import cells, index
 from ..operators import retrieval as ret
 from ..shared import shared_path
 from .registry import query
@@ -120,6 +120,13 @@ def _vector_hits(spark, d, k=POOL):
     return ret.vector_search(v.select("id", "v"), v.where(F.col("id") % EVERY == 0).select("id", "v"), k)
 
 
+@query("vector_cells", f"WITH {_VEC} SELECT query_id, id, rank FROM vr WHERE rank <= 10")
+def vector_cells(spark, d):
+    """Each query vector's ten nearest, from cells: blocks that cannot hold one are not compared."""
+    v = _vectors(spark, d).select("id", "v")
+    return cells.cell_search(v, v.where(F.col("id") % EVERY == 0), 10)[0].select("query_id", "id", "rank")
+
+
 @query("vector_search", f"WITH {_VEC} SELECT query_id, id, rank FROM vec WHERE rank <= 10")
 def vector_search(spark, d):
     return _vector_hits(spark, d, 10).select("query_id", "id", "rank")

@@ -30,7 +30,7 @@ _LD = r"""'<script type="application/ld+json">' || CASE page_id % 3
 SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Report ' || page_id ELSE trim(regexp_replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) END AS title,
   CASE page_id % 3 WHEN 0 THEN '2021-03-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || 'T06:00:00Z' WHEN 1 THEN '2020-01-02' ELSE '' END AS published,
   CASE page_id % 3 WHEN 0 THEN 'Ada ' || page_id || ';Bo Li;Cy Ho;Late Name' WHEN 1 THEN 'Di Ng;E. Oz;Late Name' ELSE 'Late Name' END AS authors, CASE WHEN page_id % 3 = 0 THEN 'Wire' ELSE '' END AS site,
-  'About ' || page_id AS description FROM p""".replace("'\\s+'", r"'\s+'"))
+  'About ' || page_id AS description FROM p""")
 def page_facts(spark, d):
     """Every page with a JSON-LD block of its own in the head: nested, in a graph, or broken; beside it metas. What the page says of itself."""
     pages = b.table(spark, d, "pages").withColumn("block", F.expr(_LD.replace("::VARCHAR", "").replace("lpad((page_id % 28 + 1)", "lpad(cast(page_id % 28 + 1 as string)")))

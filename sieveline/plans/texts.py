@@ -188,7 +188,7 @@ _WIRES = "|".join(ids.WIRES)
 
 @query("wire_service", rf"""WITH t AS (SELECT doc_id, substr(['CITY (Reuters) - ', 'CITY ( AFP ) - ', 'By nobody - ', 'X (Bloomberg) '][(doc_id % 4) + 1] || text, 1, 600) AS t FROM documents)
 SELECT doc_id AS id, MAP {{{", ".join(f"'{k}': '{v}'" for k, v in ids.WIRES.items())}}}[lower(coalesce(nullif(regexp_extract(t, '(?i)\(\s*({_WIRES})\s*\)', 1), ''),
-  nullif(regexp_extract(t, '(?i)(?:^|\n)\s*(?:by\s+)?({_WIRES})\s*[–—-]\s', 1), '')))] AS wire FROM t""".replace("\\\\", "\\"))
+  nullif(regexp_extract(t, '(?i)(?:^|\n)\s*(?:by\s+)?({_WIRES})\s*[–—-]\s', 1), '')))] AS wire FROM t""")
 def wire_service(spark, d):
     """Whole texts behind an opening that may credit a service; credits count where an opening can stand."""
     heads = F.array(*map(F.lit, ("CITY (Reuters) - ", "CITY ( AFP ) - ", "By nobody - ", "X (Bloomberg) ")))
