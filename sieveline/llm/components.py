@@ -15,8 +15,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     larger neighbours on the smallest node it knows, which halves paths, so the
     number of rounds grows with the logarithm of a component's diameter. Every
     round's edges are written to the shared folder. Groups are reduced with
-    partially aggregated ``min``; no neighbour list is ever collected, so a hub
-    with a third of all edges costs one aggregated row per task.
+    partially aggregated ``min``; no neighbour list is ever collected. The join
+    that brings a node's smallest neighbour back to its edges shuffles a hub's
+    edges to the hub, as rows: adaptive execution splits that join where it is
+    skewed, or broadcasts the other side where that is small.
 
     Nulls and self loops are ignored, repeated edges count once, an empty table
     gives an empty result. Returns ``node, component`` for nodes with an edge.
