@@ -33,8 +33,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep the document of smallest id of each group of near-duplicates.
 
     Documents are rows, not ids: rows that agree in id and text are one, texts
-    under one id, or under a null id, are documents of their own. A null id
-    stays only in a group that has no other.
+    under one id, or under a null id, are documents of their own; a null and an
+    empty text under one id are one. A null id stays only in a group that has
+    no other.
     """
     groups = jaccard.jaccard_components(docs, WORDS, NUM, DEN, thin=True, rows=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"))
