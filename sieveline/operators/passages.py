@@ -62,14 +62,14 @@ def bm25(passages: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.
     """``query_id, id, passage, score``: BM25 within each document, on folded words.
 
     A word in half of a document's passages or more says nothing and is skipped.
-    The queries are bounded by the caller and broadcast.
+    Whether the queries are broadcast is left to their size.
     """
     words = passages.select("id", "passage", F.explode(tx.tokens(F.col("text"))).alias("w")).select("id", "passage", tx.fold(F.col("w")).alias("term"))
     tf = words.groupBy("id", "passage", "term").agg(F.count("*").alias("tf"))
     dl = words.groupBy("id", "passage").agg(F.count("*").alias("dl"))
     stat = passages.groupBy("id").agg(F.count("*").alias("n")).join(dl.groupBy("id").agg(F.sum("dl").alias("total")), "id").withColumn("avg", F.col("total") / F.col("n"))
     q = queries.select("query_id", F.explode(F.filter(tx.tokens(F.col("text")), lambda w: F.length(w) > 1)).alias("w")).select("query_id", tx.fold(F.col("w")).alias("term")).distinct()
-    hit = tf.join(F.broadcast(q), "term")
+    hit = tf.join(q, "term")
     df = hit.groupBy("query_id", "id", "term").agg(F.count("*").alias("df"))
     j = hit.join(df, ["query_id", "id", "term"]).join(dl, ["id", "passage"]).join(stat, "id")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

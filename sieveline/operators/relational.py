@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def get_many(df: DataFrame, ids: Sequence, key: str) -> DataFrame:
     """Rows of the listed ids, with ``pos``, their place in the list (the caller bounds the list)."""
     wanted = df.sparkSession.createDataFrame([(i, p) for p, i in enumerate(ids)], f"{key} {df.schema[key].dataType.simpleString()}, pos int")
-    return df.join(F.broadcast(wanted), key)
+    return df.join(wanted, key)  # a small list is broadcast by its size
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
