@@ -186,6 +186,22 @@ def test_similarity_equals_plain_sets(spark):
         assert got[a, b] == pytest.approx(want), (a, b)
 
 
+def test_pairs_carry_shared_members_only(spark):
+    """Pairs of texts that share nothing, and of equal ones, cost no set on the way; overlaps are those of whole sets."""
+    own = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    texts = {i: own(i, 400) for i in range(20)} | {20: own(0, 400), 21: own(1, 200) + " " + own(99, 30), 22: None, 23: ""}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
+    out = dedup.overlaps(pairs, docs)
+    got = {(r.a, r.b): (r.na, r.nb, r.i) for r in out.collect()}
+    assert len(got) == 24 * 23 // 2 and got[0, 20] == (396, 396, 396) and got[1, 21] == (396, 226, 196) and got[22, 23] == (0, 0, 0)
+    assert all(i == 0 for k, (_, _, i) in got.items() if k not in ((0, 20), (1, 21)))
+    # no set of a text goes along with the pair, and only texts 1 and 21 have to be met
+    assert "array_intersect" in out._jdf.queryExecution().optimizedPlan().toString()
+    thin = [f for f in out.inputFiles() if "/shared-" in f]
+    assert thin and {len(r.t) for r in spark.read.parquet(*sorted(set(thin))).collect()} == {196}
+
+
 def test_passages_lose_nothing_but_blanks():
     import random
 
