@@ -130,3 +130,13 @@ def test_capped_lists(spark):
     got = {r.k: ([x.v for x in r["items"]], r.omitted) for r in views.capped(rows, "k", "at", ["v"], 3).collect()}
     assert got == {1: (["x0", "x1", "x2"], 2), 2: (["y"], 0)}
     assert rows.where(F.col("k") == 9).count() == 0 and views.capped(rows.limit(0), "k", "at", ["v"]).count() == 0
+
+
+def test_doi_lookup_grows_with_the_documents(spark, sf):
+    """An item finds every document that holds its DOI, not one."""
+    from sieveline.plans import QUERIES
+
+    items = [r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    ids = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = sorted((i, x) for i in items for x in ids if x % 1000 == i % 40)
+    assert any(x % 2 for _, x in want) and sorted((r.item_id, r.id) for r in QUERIES["doi_lookup"](spark, sf).collect()) == want
