@@ -75,3 +75,10 @@ def test_overlaps_in_steps(monkeypatch):
     flat = lambda s: (np.array([m for t in s for m in t], np.int64), np.array([i for i, t in enumerate(s) for _ in t], np.int64))
     got = setjoin.overlaps(*flat(x), *flat(y), 12, 9)
     assert got.tolist() == [[len(set(a) & set(b)) for b in y] for a in x]
+
+
+def test_members_of_the_same_sets_are_one_entry(spark):
+    """Two copies of 300 members share one entry of that weight, not 300 rows; what all three have is another, lone members none."""
+    sets = [(1, [*range(300), 1000, 1001]), (2, [*range(300), 1000, 2001]), (3, [1000, 3001]), (4, [4001])]
+    out = {r.id: [(e.df, e.w) for e in r.t] for r in setjoin.shared_members(spark.createDataFrame(sets, "id long, s array<long>")).collect()}
+    assert out == {1: [(2, 300), (3, 1)], 2: [(2, 300), (3, 1)], 3: [(3, 1)]}
