@@ -60,7 +60,7 @@ def copies_of(corpus: DataFrame) -> DataFrame:
     keys = F.array(F.col("doi"), ur.identity_key(F.col("url")), F.md5(F.lower(F.regexp_replace("text", r"\s+", " "))))
     each = docs.select("id", F.posexplode(keys).alias("scheme", "value")).where("value is not null")
     exact = dedup.first_seen(each).where("first_id < id").groupBy("id").agg(F.min_by("first_id", "scheme").alias("matched_id"))
-    near = dedup.verdicts(dedup.similarity(dedup.candidates(docs), docs), docs).where("relation <> 'independent'").select("id", "matched_id")
+    near = dedup.verdicts(dedup.scored_candidates(docs), docs).where("relation <> 'independent'").select("id", "matched_id")
     out = exact.unionByName(near.join(exact, "id", "left_anti"))
     if "links" in corpus.columns:
         out = out.unionByName(dedup.attributions(docs, corpus.where("links is not null").select("id", "links")).join(out, "id", "left_anti"))
