@@ -25,3 +25,14 @@ def test_vectors_in_steps(spark):
     v = spark.createDataFrame(rows, "id long, v array<double>")
     found = [sorted(map(tuple, ret.vector_search(v, v.where("id % 3 = 0"), 5, step=n).select("query_id", "id", "score", "rank").collect())) for n in (3, 1024)]
     assert found[0] and found[0] == found[1]
+
+
+def test_texts_are_read_once_and_postings_dealt_once(spark):
+    """Scores come from the postings and lengths that were written, and the postings meet the lengths and add up in one exchange by document."""
+    docs = spark.createDataFrame([(i, f"alpha w{i} beta w{i % 3} " * (1 + i % 4)) for i in range(40)], "id long, text string")
+    q = spark.createDataFrame([(10, "alpha"), (10, "w1"), (20, "w2"), (20, "nowhere")], "query_id long, term string")
+    out = ret.bm25(ret.postings(docs, terms=q), q, sizes=ret.lengths(docs))
+    assert {f.split("/sieveline/")[1].split("-")[0] for f in out.inputFiles()} == {"sizes", "postings", "asked"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    assert len({(r.query_id, r.id) for r in out.collect()}) == out.count() >= 40
