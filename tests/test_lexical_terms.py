@@ -36,3 +36,11 @@ def test_texts_are_read_once_and_postings_dealt_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
     assert len({(r.query_id, r.id) for r in out.collect()}) == out.count() >= 40
+
+
+def test_lines_are_hashed_once(spark, sf):
+    """The vectors of lines are written before the search, which counts and compares them: no text is hashed twice."""
+    from sieveline.plans import QUERIES
+
+    found = {f.split("/")[-2].split("-")[0] for f in QUERIES["passage_vectors"](spark, sf).inputFiles()}
+    assert found == {"vectors"}
