@@ -89,3 +89,31 @@ def test_empty_index(spark, tmp_path):
     assert [(r.query_id, r.id) for r in ix.search(ask(spark), 3).orderBy("query_id", "rank").collect()] == [(1, 2), (1, 3), (5, 2)]
     ix.replace(spark.createDataFrame([], "id long, text string"), spark.createDataFrame([(2,), (3,)], "id long"))
     assert ix.search(ask(spark), 3).collect() == []
+
+
+def test_words_are_dealt_out_once(spark, tmp_path):
+    """Between a text and its block's postings stands one exchange, of one row a document."""
+    docs = spark.createDataFrame([(2, "a b a"), (1, "É b KK"), (3, None), (4, "...")], "id long, text string")
+    packed = index.Index(spark, f"file://{tmp_path}/ix")._placed(docs, 128)
+    plan = packed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    rows = {r.term: r for r in packed.collect()}
+    assert set(rows) == {"", "a", "b", "kk"} and list(zip(rows[""].ids, rows[""].dls, strict=True)) == [(1, 2), (2, 3)]
+    assert [(rows["a"].n, rows["a"].most_tf, rows["a"].least_dl), rows["a"].hits] == [(1, 2, 3), [1 | 2 << index.AT]]
+
+
+def test_replacement_over_small_batches(spark, tmp_path):
+    """Blocks whose rows come in several batches, blocks of which all documents leave, and a second replacement."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = dict(texts(0, 60))
+        df = lambda r: spark.createDataFrame(list(r.items()), "id long, text string")
+        ix = index.Index(spark, f"file://{tmp_path}/ix")
+        ix.add(df(rows), block_docs=4)
+        for new, gone in ((dict(texts(5, 20)), range(30, 45)), ({7: "rare", 8: None}, [0, 59])):
+            ix.replace(df(new), spark.createDataFrame([(i,) for i in gone], "id long"), block_docs=4)
+            rows = {i: t for i, t in (rows | new).items() if i not in gone}
+            assert found(ix.search(ask(spark), 10)) == plain(df(rows), ask(spark), 10)
+            assert sorted(r.id for r in ix.docs().collect()) == sorted(i for i, t in rows.items() if t)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
