@@ -33,7 +33,7 @@ def persist(spark, d):
     """What becomes of each arrival: exact copy first, else by similarity to earlier documents."""
     docs = b.documents(spark, d)
     exact = dedup.identity_verdicts(docs).select("id", F.col("matched_id").alias("first_id"))
-    near = dp._verdicts(spark, d).select("id", F.col("matched_id").alias("near_id"), "relation")
+    near = dp._verdicts(spark, d, dp.HOT).select("id", F.col("matched_id").alias("near_id"), "relation")
     j = docs.select("id").join(exact, "id", "left").join(near, "id", "left")
     copy, derived, held = F.col("relation").isin("syndicated_copy", "near_duplicate"), F.col("relation") == "derived_article", F.col("first_id").isNotNull()
     return j.select("id", F.when(held, F.col("first_id")).when(copy | derived, F.col("near_id")).alias("parent"), F.when(held, "exact").when(copy, "duplicate").when(derived, "derived").otherwise("new").alias("outcome"))
