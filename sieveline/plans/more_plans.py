@@ -26,14 +26,14 @@ def build_document(spark, d):
     return x.select("id", fp.content_hash(F.col("text")).alias("content_hash"), tx.title_key(F.col("title")).alias("title_key"), F.length(tx.truncate(F.col("text"), 400_000)).alias("n_chars"), F.col("lang").alias("language"), "outlet")
 
 
-@query("persist", f"""WITH {dp._SCORED}, f AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY {_HASH1}) AS first_id FROM documents)
+@query("persist", f"""WITH {dp._ALL}, f AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY {_HASH1}) AS first_id FROM documents)
 SELECT f.id, CASE WHEN first_id < f.id THEN first_id WHEN relation IN ('syndicated_copy', 'near_duplicate', 'derived_article') THEN matched_id END AS parent,
 CASE WHEN first_id < f.id THEN 'exact' WHEN relation IN ('syndicated_copy', 'near_duplicate') THEN 'duplicate' WHEN relation = 'derived_article' THEN 'derived' ELSE 'new' END AS outcome FROM f LEFT JOIN ver ON ver.id = f.id""")
 def persist(spark, d):
     """What becomes of each arrival: exact copy first, else by similarity to earlier documents."""
     docs = b.documents(spark, d)
     exact = dedup.identity_verdicts(docs).select("id", F.col("matched_id").alias("first_id"))
-    near = dp._verdicts(spark, d, dp.HOT).select("id", F.col("matched_id").alias("near_id"), "relation")
+    near = dp._verdicts(spark, d).select("id", F.col("matched_id").alias("near_id"), "relation")
     j = docs.select("id").join(exact, "id", "left").join(near, "id", "left")
     copy, derived, held = F.col("relation").isin("syndicated_copy", "near_duplicate"), F.col("relation") == "derived_article", F.col("first_id").isNotNull()
     return j.select("id", F.when(held, F.col("first_id")).when(copy | derived, F.col("near_id")).alias("parent"), F.when(held, "exact").when(copy, "duplicate").when(derived, "derived").otherwise("new").alias("outcome"))
