@@ -82,3 +82,24 @@ def test_members_of_the_same_sets_are_one_entry(spark):
     sets = [(1, [*range(300), 1000, 1001]), (2, [*range(300), 1000, 2001]), (3, [1000, 3001]), (4, [4001])]
     out = {r.id: [(e.df, e.w) for e in r.t] for r in setjoin.shared_members(spark.createDataFrame(sets, "id long, s array<long>")).collect()}
     assert out == {1: [(2, 300), (3, 1)], 2: [(2, 300), (3, 1)], 3: [(3, 1)]}
+
+
+def test_a_member_is_no_row(spark, monkeypatch):
+    """What sets share, with each set's size, as by brute force; on the way to their parts members are packed, not a row each."""
+    rows = some_sets()
+    df = spark.createDataFrame(rows, "id int, s array<long>").repartition(3)
+    out = setjoin.sized_members(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    holders: dict = {}
+    for i, s in rows:
+        for m in s or []:
+            holders.setdefault(m, set()).add(i)
+    got = {r.id: r for r in out.collect()}
+    for i, s in rows:
+        groups: dict = {}
+        for m in s or []:
+            if len(holders[m]) > 1:
+                groups.setdefault(frozenset(holders[m]), []).append(m)
+        assert got[i].n == len(s or []) and sorted((e.df, e.w) for e in got[i].t) == sorted((len(g), len(m)) for g, m in groups.items())
+    assert len(got) == len(rows) and out.schema["id"].dataType == df.schema["id"].dataType
