@@ -103,3 +103,13 @@ def test_a_member_is_no_row(spark, monkeypatch):
                 groups.setdefault(frozenset(holders[m]), []).append(m)
         assert got[i].n == len(s or []) and sorted((e.df, e.w) for e in got[i].t) == sorted((len(g), len(m)) for g, m in groups.items())
     assert len(got) == len(rows) and out.schema["id"].dataType == df.schema["id"].dataType
+
+
+def test_recall_looks_for_shared_members_once(spark, sf, monkeypatch):
+    """The exact join and the candidates of ``lsh_recall`` read one table of what texts share."""
+    from sieveline.plans import QUERIES
+
+    calls, real = [], setjoin.sized_members
+    monkeypatch.setattr(setjoin, "sized_members", lambda s: calls.append("sized") or real(s))
+    monkeypatch.setattr(setjoin, "shared_members", lambda s: pytest.fail("dealt out again"))
+    assert QUERIES["lsh_recall"](spark, sf).count() <= 2 and calls == ["sized"]
